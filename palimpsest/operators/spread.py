@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 SALTS = 16
 WIDTH = 1 << 20
+HOT_ROWS = 1 << 22
 
 
 def lookup(
@@ -35,6 +36,38 @@ def lookup(
     return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
 
 
+def lookup_large(
+    big: DataFrame,
+    small: DataFrame,
+    on: Sequence[str],
+    spread_by: Sequence[str],
+    how: str = "inner",
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """`lookup` for a `small` side too large to repeat as a whole.
+
+    Only values held by more than `hot_rows` rows of `big` are salted, and only
+    their rows of `small` repeated, in proportion. There are at most
+    |big| / `hot_rows` such values, which bounds what is broadcast.
+    """
+    keys = [F.col(f"`{c}`") for c in on]
+    hot = (
+        big.groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .where(F.col("_n") > hot_rows)
+        .select(*keys, F.ceil(F.col("_n") / F.lit(hot_rows)).cast("int").alias("_parts"))
+    )
+    parts = F.coalesce("_parts", F.lit(1))
+    spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in spread_by]), parts).cast("int")
+    salted = big.join(F.broadcast(hot), list(on), "left").withColumn("_salt", spread).drop("_parts")
+    repeated = (
+        small.join(F.broadcast(hot), list(on), "left")
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1)))
+        .drop("_parts")
+    )
+    return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
+
+
 def running_last(
     df: DataFrame,
     part: Sequence[str],

@@ -124,3 +124,124 @@ UNION ALL
 SELECT 'cell:status:' || cast(k AS string), 'theirs', NULL, 2 FROM {orders_base} WHERE k % 270 = 0
 """,
 )
+
+# Our side removes every 29th customer together with its orders, their side adds
+# orders: each is sound alone, together some new orders have no customer.
+view("orders_pruned", "SELECT * FROM {orders_ours} WHERE cust IS NULL OR cust % 29 <> 0")
+view("customer_pruned", "SELECT * FROM {customer} WHERE c_custkey % 29 <> 0")
+
+# --- an edit log on customers -------------------------------------------------
+
+view(
+    "balances",
+    """
+SELECT c_custkey AS k, cast(c_acctbal AS decimal(12,2)) AS val, c_mktsegment AS kind
+FROM {customer} WHERE c_custkey % 2 = 0
+""",
+)
+view(
+    "edit_log",
+    """
+SELECT user_id AS k, event_id AS seq,
+       CASE event_type WHEN 'signup' THEN 'insert' WHEN 'error' THEN 'delete' ELSE 'update' END AS op,
+       cast(value AS decimal(12,2)) AS val, CASE WHEN event_id % 7 = 0 THEN NULL ELSE event_type END AS kind,
+       CASE event_type WHEN 'view' THEN 'val' WHEN 'click' THEN 'kind' ELSE 'val,kind' END AS assigned
+FROM {events}
+""",
+)
+
+# --- bad input ----------------------------------------------------------------
+
+view(
+    "customer_raw",
+    """
+SELECT c_custkey, CASE WHEN c_custkey % 43 = 0 THEN NULL ELSE c_name END AS c_name,
+       CASE WHEN c_custkey % 37 = 0 THEN 'n/a' ELSE cast(cast(c_acctbal AS decimal(12,2)) AS string) END AS c_acctbal,
+       CASE WHEN c_custkey % 41 = 0 THEN 99 ELSE c_nationkey END AS c_nationkey, c_mktsegment
+FROM {customer}
+""",
+)
+
+# --- re-keyed rows ------------------------------------------------------------
+
+view(
+    "customer_new",
+    """
+SELECT CASE WHEN c_custkey % 13 = 0 THEN c_custkey + 100000000 ELSE c_custkey END AS key,
+       CASE WHEN c_custkey % 39 = 0 THEN c_name || ' II' ELSE c_name END AS name, c_nationkey AS nation,
+       CASE WHEN c_custkey % 26 = 0 THEN 'MOVED' ELSE c_mktsegment END AS segment,
+       CASE WHEN c_custkey % 65 = 0 THEN NULL ELSE cast(cast(c_acctbal AS decimal(12,2)) AS string) END AS balance
+FROM {customer}
+""",
+)
+view(
+    "customer_old",
+    """
+SELECT c_custkey AS key, c_name AS name, c_nationkey AS nation, c_mktsegment AS segment,
+       cast(cast(c_acctbal AS decimal(12,2)) AS string) AS balance
+FROM {customer}
+""",
+)
+
+# --- commit graphs ------------------------------------------------------------
+# Event ids follow time, so the latest earlier commit is the greatest earlier id.
+
+view(
+    "commits",
+    """
+SELECT user_id AS project_id, event_id AS commit_id, ts, event_type,
+       CASE WHEN event_type IN ('error', 'signup') THEN 'feature' ELSE 'main' END AS branch,
+       coalesce(
+         max(event_id) OVER (PARTITION BY user_id, event_type IN ('error', 'signup') ORDER BY event_id
+                             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+         CASE WHEN event_type IN ('error', 'signup') THEN
+           max(CASE WHEN event_type NOT IN ('error', 'signup') THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id
+               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END) AS parent_id,
+       CASE WHEN event_type = 'purchase' THEN
+         max(CASE WHEN event_type IN ('error', 'signup') THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id
+               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END AS parent2_id
+FROM {events}
+""",
+)
+view(
+    "branches",
+    """
+SELECT project_id, branch AS name, project_id * 2 + CASE WHEN branch = 'main' THEN 0 ELSE 1 END AS branch_id,
+       max(commit_id) AS head_commit_id
+FROM {commits} GROUP BY project_id, branch
+""",
+)
+# Both heads of a project against each other, and each head against the last
+# merge commit of the project.
+view(
+    "commit_pairs",
+    """
+SELECT m.head_commit_id AS a, f.head_commit_id AS b FROM {branches} m JOIN {branches} f
+  ON m.project_id = f.project_id WHERE m.name = 'main' AND f.name = 'feature'
+UNION ALL
+SELECT f.head_commit_id, m.head_commit_id FROM {branches} m JOIN {branches} f
+  ON m.project_id = f.project_id WHERE m.name = 'main' AND f.name = 'feature'
+UNION ALL
+SELECT max(commit_id) - 0, min(commit_id) FROM {commits} WHERE parent2_id IS NOT NULL GROUP BY project_id
+""",
+)
+# A proposal mostly expects the commit before it, sometimes one further back.
+view(
+    "head_proposals",
+    """
+SELECT user_id AS branch_id, event_id AS seq, event_id AS commit_id,
+       CASE WHEN event_id % 5 = 0 THEN lag(event_id, 2) OVER (PARTITION BY user_id ORDER BY event_id)
+            ELSE lag(event_id, CASE WHEN event_id % 3 = 0 THEN 2 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY event_id) END
+       AS expected_head
+FROM {events}
+""".replace("lag(event_id, CASE WHEN event_id % 3 = 0 THEN 2 ELSE 1 END) OVER", "lag(event_id, 1) OVER"),
+)
+view("branch_starts", "SELECT user_id AS branch_id, min(event_id) AS head_commit_id FROM {events} GROUP BY user_id")
+# Tables of each commit's snapshot: one to five per commit.
+view(
+    "commit_tables",
+    """
+SELECT c.commit_id, r.r_regionkey AS table_id, r.r_name AS name FROM {commits} c JOIN {region} r
+  ON r.r_regionkey <= c.commit_id % 5
+""",
+)
