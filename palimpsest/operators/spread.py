@@ -55,15 +55,15 @@ def lookup_large(
         big.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_n"))
         .where(F.col("_n") > hot_rows)
-        .select(*keys, F.ceil(F.col("_n") / F.lit(hot_rows)).cast("int").alias("_parts"))
+        .select(*keys, F.ceil(F.col("_n") / F.lit(hot_rows)).cast("int").alias("_salts"))
     )
-    parts = F.coalesce("_parts", F.lit(1))
+    parts = F.coalesce("_salts", F.lit(1))
     spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in spread_by]), parts).cast("int")
-    salted = big.join(F.broadcast(hot), list(on), "left").withColumn("_salt", spread).drop("_parts")
+    salted = big.join(F.broadcast(hot), list(on), "left").withColumn("_salt", spread).drop("_salts")
     repeated = (
         small.join(F.broadcast(hot), list(on), "left")
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1)))
-        .drop("_parts")
+        .drop("_salts")
     )
     return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
 
