@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from palimpsest.operators import catalog_checks, catalog_diff
+from pyspark.sql import functions as F
+
+from palimpsest.functions.types import render_type
+from palimpsest.operators import catalog_checks, catalog_diff, catalog_merge
 from palimpsest.operators.catalog import describe_constraints, describe_indexes
 from workloads.data import Data, oracle
 from workloads.fleet_data import catalog
@@ -205,3 +208,169 @@ def catalog_problems(d):
 )
 def catalog_problem_counts(d):
     return catalog_checks.check_catalog(catalog(d, "broken")).groupBy("code").count().withColumnRenamed("count", "n")
+
+
+# --- merge --------------------------------------------------------------------
+
+
+def _side(s: str) -> str:
+    """Columns, constraints and indexes of a side as (project, table, kind, id, value)."""
+    return f"""SELECT project_id, table_id, 'column' AS what, column_id AS id, name || '~' || type_base || '(' || cast(type_param AS string) || ')~'
+   || cast(nullable AS string) || '~' || default_expr AS v FROM {{columns_{s}}}
+ UNION ALL SELECT project_id, table_id, 'constraint', constraint_id, kind || '|' || coalesce(cast(c1 AS string), '') || '|→|'
+   || coalesce(cast(ref_table_id AS string), '') || '|' || coalesce(cast(r1 AS string), '') || '|' || on_delete || '||' || expr FROM {{constraints_{s}}}
+ UNION ALL SELECT project_id, table_id, 'index', index_id, name || '~' || cast(i1 AS string) || '|' || cast(i2 AS string) || '|'
+   || cast(is_unique AS string) || method FROM {{indexes_{s}}}"""
+
+
+_SIDES = "sb AS (" + _side("base") + "), so AS (" + _side("ours") + "), st AS (" + _side("theirs") + ")"
+_K = "a.project_id = b.project_id AND a.table_id = b.table_id"
+# Tables in the three versions, whether a side changed them, and what becomes of them.
+_MODES = f"""{_SIDES},
+mo AS (SELECT DISTINCT coalesce(a.project_id, b.project_id) AS project_id, coalesce(a.table_id, b.table_id) AS table_id FROM sb a
+  FULL JOIN so b ON {_K} AND a.what = b.what AND a.id = b.id WHERE a.v IS DISTINCT FROM b.v),
+mt AS (SELECT DISTINCT coalesce(a.project_id, b.project_id) AS project_id, coalesce(a.table_id, b.table_id) AS table_id FROM sb a
+  FULL JOIN st b ON {_K} AND a.what = b.what AND a.id = b.id WHERE a.v IS DISTINCT FROM b.v),
+ids AS (SELECT project_id, table_id FROM {{tables_base}} UNION SELECT project_id, table_id FROM {{tables_ours}} UNION SELECT project_id, table_id FROM {{tables_theirs}}),
+tt AS (SELECT i.project_id, i.table_id, b.name AS bn, o.name AS oname, t.name AS tn,
+  (o.name IS DISTINCT FROM b.name OR EXISTS (SELECT 1 FROM mo WHERE mo.project_id = i.project_id AND mo.table_id = i.table_id)) AS mod_o,
+  (t.name IS DISTINCT FROM b.name OR EXISTS (SELECT 1 FROM mt WHERE mt.project_id = i.project_id AND mt.table_id = i.table_id)) AS mod_t
+  FROM ids i LEFT JOIN {{tables_base}} b ON b.project_id = i.project_id AND b.table_id = i.table_id
+  LEFT JOIN {{tables_ours}} o ON o.project_id = i.project_id AND o.table_id = i.table_id
+  LEFT JOIN {{tables_theirs}} t ON t.project_id = i.project_id AND t.table_id = i.table_id),
+te AS (SELECT *, (bn IS NOT NULL AND oname IS NULL AND tn IS NOT NULL AND mod_t) AS og, (bn IS NOT NULL AND oname IS NOT NULL AND tn IS NULL AND mod_o) AS tg,
+  'table_existence:' || cast(project_id AS string) || ':' || cast(table_id AS string) AS eid FROM tt),
+modes AS (SELECT *, CASE WHEN oname IS NOT NULL AND tn IS NOT NULL THEN 'merge' WHEN bn IS NULL AND oname IS NOT NULL THEN 'ours'
+  WHEN bn IS NULL THEN 'theirs' WHEN og AND ANSWER = 'theirs' THEN 'theirs' WHEN tg AND coalesce(ANSWER, 'ours') <> 'theirs' THEN 'ours' ELSE 'gone' END AS mode FROM te),"""
+
+
+def _props(s: str) -> str:
+    """A side's columns of the tables that are merged or taken from it."""
+    return f"""(SELECT c.project_id, c.table_id, c.column_id, c.name, c.type_base || '(' || cast(c.type_param AS string) || ')' AS type, c.nullable, c.default_expr AS def,
+   c.position, m.mode FROM {{columns_{s}}} c JOIN modes m ON m.project_id = c.project_id AND m.table_id = c.table_id)"""
+
+
+_COLS = f"""cj AS (SELECT coalesce(o.project_id, t.project_id, b.project_id) AS project_id, coalesce(o.table_id, t.table_id, b.table_id) AS table_id,
+  coalesce(o.column_id, t.column_id, b.column_id) AS column_id, coalesce(o.mode, t.mode, b.mode) AS mode,
+  b.column_id IS NOT NULL AS hb, o.column_id IS NOT NULL AS ho, t.column_id IS NOT NULL AS ht,
+  {", ".join(f"{s}.{p} AS {s}_{p}" for s in "bot" for p in ("name", "type", "nullable", "def", "position"))}
+  FROM {_props("base")} b FULL JOIN {_props("ours")} o ON b.project_id = o.project_id AND b.table_id = o.table_id AND b.column_id = o.column_id
+  FULL JOIN {_props("theirs")} t ON coalesce(b.project_id, o.project_id) = t.project_id AND coalesce(b.table_id, o.table_id) = t.table_id AND coalesce(b.column_id, o.column_id) = t.column_id),
+ck AS (SELECT *, cast(project_id AS string) || ':' || cast(table_id AS string) || ':' || cast(column_id AS string) AS kt,
+  (b_name IS DISTINCT FROM o_name OR b_type IS DISTINCT FROM o_type OR b_nullable IS DISTINCT FROM o_nullable OR b_def IS DISTINCT FROM o_def) AS d_o,
+  (b_name IS DISTINCT FROM t_name OR b_type IS DISTINCT FROM t_type OR b_nullable IS DISTINCT FROM t_nullable OR b_def IS DISTINCT FROM t_def) AS d_t
+  FROM cj WHERE mode <> 'gone')"""
+
+
+def _csplit(p: str) -> str:
+    return f"(mode = 'merge' AND hb AND ho AND ht AND o_{p} <> t_{p} AND b_{p} <> o_{p} AND b_{p} <> t_{p})"
+
+
+def _cvalue(p: str, prefix: str | None) -> str:
+    cast_null = f"(SELECT choice FROM ans WHERE ans.conflict_id = '{prefix}:' || kt)" if prefix else "cast(NULL AS string)"
+    custom = f"(SELECT custom FROM ans WHERE ans.conflict_id = '{prefix}:' || kt)" if prefix else f"o_{p}"
+    pick = f"CASE WHEN {cast_null} = 'theirs' THEN t_{p} WHEN {cast_null} = 'custom' THEN {custom} ELSE o_{p} END" if prefix else f"o_{p}"
+    return f"""CASE WHEN mode = 'ours' THEN o_{p} WHEN mode = 'theirs' THEN t_{p} WHEN hb AND ho AND ht THEN
+   CASE WHEN {_csplit(p)} THEN {pick} WHEN b_{p} = o_{p} THEN t_{p} ELSE o_{p} END WHEN ho THEN o_{p} ELSE t_{p} END"""
+
+
+def _merged_columns(resolved: bool) -> str:
+    keep = """((mode = 'ours' AND ho) OR (mode = 'theirs' AND ht) OR (mode = 'merge' AND ((hb AND ho AND ht) OR NOT hb
+   OR (hb AND ho AND NOT ht AND d_o))))"""
+    return f"""cm AS (SELECT project_id, table_id, column_id, {_cvalue("name", "column_name" if resolved else None)} AS name,
+  {_cvalue("type", "column_type" if resolved else None)} AS type, {_cvalue("nullable", None)} AS nullable, {_cvalue("def", None)} AS def,
+  CASE WHEN mode = 'merge' THEN CASE WHEN hb THEN 0 WHEN ho THEN 1 ELSE 2 END WHEN mode = 'ours' THEN 0 ELSE 0 END AS origin,
+  CASE WHEN mode = 'ours' THEN o_position WHEN mode = 'theirs' THEN t_position ELSE coalesce(b_position, o_position, t_position) END AS pos
+  FROM ck WHERE {keep})"""
+
+
+_ANS = """ans AS (SELECT * FROM {fleet_answers} WHERE choice <> 'custom' OR custom NOT LIKE '%('),"""
+_TABLES_MERGED = """tm AS (SELECT project_id, table_id, CASE WHEN mode = 'ours' THEN oname WHEN mode = 'theirs' THEN tn
+   WHEN oname <> tn AND bn <> oname AND bn <> tn THEN TPICK WHEN bn = oname THEN tn ELSE oname END AS name,
+   CASE WHEN bn IS NOT NULL THEN 0 WHEN oname IS NOT NULL THEN 1 ELSE 2 END AS origin, table_id AS ordinal FROM modes WHERE mode <> 'gone')"""
+_TANS = "(SELECT {} FROM ans WHERE ans.conflict_id = 'table_name:' || cast(modes.project_id AS string) || ':' || cast(modes.table_id AS string))"
+_TPICK = f"CASE WHEN {_TANS.format('choice')} = 'theirs' THEN tn WHEN {_TANS.format('choice')} = 'custom' THEN {_TANS.format('custom')} ELSE oname END"
+
+
+def merge_sql(resolved: bool) -> str:
+    answer = "(SELECT choice FROM ans WHERE ans.conflict_id = te.eid)" if resolved else "cast(NULL AS string)"
+    tables = _TABLES_MERGED.replace("TPICK", _TPICK if resolved else "oname")
+    head = _ANS if resolved else ""
+    return f"{head} {_MODES.replace('ANSWER', answer)} {tables}, {_COLS}, {_merged_columns(resolved)}"
+
+
+_MERGE = merge_sql(False)
+_POSITIONS = """SELECT project_id, table_id, column_id, name, type, nullable, def AS default_expr,
+  cast(row_number() OVER (PARTITION BY project_id, table_id ORDER BY origin, pos, column_id) AS int) AS position FROM cm"""
+
+
+def _fleet_merge(d, answers=None):
+    return catalog_merge.merge_catalogs(catalog(d, "base"), catalog(d, "ours"), catalog(d, "theirs"), answers)
+
+
+def _flat(columns):
+    return columns.select(
+        "project_id",
+        "table_id",
+        "column_id",
+        "name",
+        render_type(F.col("type_base"), F.col("type_params")).alias("type"),
+        "nullable",
+        "default_expr",
+        "position",
+    )
+
+
+@query("catalog_merge", f"WITH {_MERGE} {_POSITIONS}")
+def catalog_merge_query(d):
+    return _flat(_fleet_merge(d).merged.columns)
+
+
+@query("catalog_merge_tables", f"WITH {_MERGE} SELECT project_id, table_id, name FROM tm")
+def catalog_merge_tables(d):
+    return _fleet_merge(d).merged.tables.select("project_id", "table_id", "name")
+
+
+_COLUMN_CONFLICTS = " UNION ALL ".join(
+    f"SELECT project_id, '{prefix}:' || kt AS conflict_id, '{cls}' AS class, '{label}' AS property FROM ck WHERE {_csplit(p)}"
+    for p, prefix, cls, label in [
+        ("name", "column_name", "rename_rename", "name"),
+        ("type", "column_type", "retype_retype", "type"),
+        ("def", "column_default", "default_default", "default"),
+    ]
+) + """ UNION ALL SELECT project_id, 'column_existence:' || kt, 'delete_modify', 'existence' FROM ck
+ WHERE mode = 'merge' AND ((hb AND NOT ho AND ht AND d_t) OR (hb AND ho AND NOT ht AND d_o))"""
+_TABLE_CONFLICTS = """SELECT project_id, eid AS conflict_id, 'delete_modify' AS class, 'existence' AS property FROM te WHERE og OR tg
+ UNION ALL SELECT project_id, 'table_name:' || cast(project_id AS string) || ':' || cast(table_id AS string), 'rename_rename', 'name' FROM tt
+ WHERE oname <> tn AND bn <> oname AND bn <> tn
+ UNION ALL SELECT project_id, 'name_collision:' || cast(project_id AS string) || ':' || cast(f AS string) || ':' || cast(project_id AS string) || ':' || cast(table_id AS string), 'name_collision', 'name'
+ FROM (SELECT *, row_number() OVER (PARTITION BY project_id, name ORDER BY origin, ordinal, table_id) AS rn,
+   first_value(table_id) OVER (PARTITION BY project_id, name ORDER BY origin, ordinal, table_id) AS f FROM tm) WHERE rn > 1
+ UNION ALL SELECT project_id, 'name_collision:' || cast(project_id AS string) || ':' || cast(table_id AS string) || ':' || cast(f AS string) || ':' || cast(project_id AS string) || ':'
+   || cast(table_id AS string) || ':' || cast(column_id AS string), 'name_collision', 'name'
+ FROM (SELECT *, row_number() OVER (PARTITION BY project_id, table_id, name ORDER BY origin, pos, column_id) AS rn,
+   first_value(column_id) OVER (PARTITION BY project_id, table_id, name ORDER BY origin, pos, column_id) AS f FROM cm) WHERE rn > 1"""
+
+
+@query("catalog_conflicts", f"WITH {_MERGE} {_COLUMN_CONFLICTS} UNION ALL {_TABLE_CONFLICTS}")
+def catalog_conflicts(d):
+    found = _fleet_merge(d).conflicts.where(
+        "NOT conflict_id LIKE 'constraint%' AND NOT conflict_id LIKE 'index%' AND class <> 'pk_pk' "
+        "AND NOT (class = 'name_collision' AND base_value LIKE 'no index%')"
+    )
+    return found.select("project_id", "conflict_id", "class", "property")
+
+
+@query("catalog_merge_resolved", f"WITH {merge_sql(True)} SELECT project_id, table_id, column_id, name, type, nullable, def AS default_expr FROM cm")
+def catalog_merge_resolved(d):
+    return _flat(_fleet_merge(d, d["fleet_answers"]).merged.columns).drop("position")
+
+
+@query(
+    "name_collisions",
+    """SELECT project_id, table_id, cast(table_id AS string) AS object_id, 'table' AS scope FROM (SELECT *, row_number() OVER (PARTITION BY project_id, name ORDER BY ordinal, table_id) AS rn FROM {tables_broken}) WHERE rn > 1
+UNION ALL SELECT project_id, table_id, cast(column_id AS string), 'column' FROM (SELECT *, row_number() OVER (PARTITION BY project_id, table_id, name ORDER BY position, column_id) AS rn FROM {columns_broken}) WHERE rn > 1
+UNION ALL SELECT project_id, table_id, cast(index_id AS string), 'index' FROM (SELECT *, row_number() OVER (PARTITION BY project_id, name ORDER BY ordinal, table_id, index_id) AS rn FROM {indexes_broken}) WHERE rn > 1""",
+)
+def name_collisions(d):
+    return catalog_merge.name_collisions(catalog(d, "broken")).select("project_id", "table_id", "object_id", "scope")

@@ -216,3 +216,26 @@ def catalog(d: Data, side: str) -> Catalog:
         .drop("c1", "r1"),
         d[f"indexes_{side}"].withColumn("columns", index_cols).drop("i1", "i2"),
     ).map(cut)
+
+
+# Answers to conflicts of the fleet merge, by id.
+view(
+    "fleet_answers",
+    """
+SELECT 'table_name:' || cast(project_id AS string) || ':' || cast(table_id AS string) AS conflict_id,
+       CASE WHEN table_id % 4 = 0 THEN 'theirs' WHEN table_id % 4 = 1 THEN 'custom' ELSE 'ours' END AS choice,
+       CASE WHEN table_id % 4 = 1 THEN 'picked_' || cast(table_id AS string) END AS custom
+FROM {tables_base} WHERE table_id % 14 = 0
+UNION ALL
+SELECT 'table_existence:' || cast(project_id AS string) || ':' || cast(table_id AS string),
+       CASE WHEN table_id % 2 = 0 THEN 'theirs' ELSE 'ours' END, NULL
+FROM {tables_base} WHERE table_id % 23 = 0 OR table_id % 29 = 0
+UNION ALL
+SELECT 'column_name:' || cast(project_id AS string) || ':' || cast(table_id AS string) || ':' || cast(column_id AS string), 'theirs', NULL
+FROM {columns_base} WHERE column_id % 30 = 0
+UNION ALL
+SELECT 'column_type:' || cast(project_id AS string) || ':' || cast(table_id AS string) || ':' || cast(column_id AS string), 'custom',
+       CASE WHEN column_id % 2 = 0 THEN 'numeric(10,2)' ELSE 'numeric(' END
+FROM {columns_base} WHERE column_id % 27 = 0
+""",
+)
