@@ -16,37 +16,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.operators.lists import rank_lists
 from palimpsest.operators.spread import lookup_large
 from palimpsest.session import cut
 
 
-def rank_lists(nodes: DataFrame) -> DataFrame:
-    """`(id, head, dist)` for `(id, pred)` where nobody is pred of two nodes.
-
-    Pointer doubling: after each round a node points twice as far back. Nodes
-    that have arrived are targets only, so no round joins on a hot head.
-    """
-    state = cut(
-        nodes.select(
-            "id",
-            F.coalesce("pred", "id").alias("at"),
-            F.when(F.col("pred").isNull(), 0).otherwise(1).cast("long").alias("dist"),
-            F.col("pred").isNull().alias("done"),
-        )
-    )
-    while not state.where(~F.col("done")).isEmpty():
-        targets = state.select(
-            F.col("id").alias("at"), F.col("at").alias("t_at"), F.col("dist").alias("t_dist"), F.col("done").alias("t_done")
-        )
-        moved = (
-            state.where(~F.col("done"))
-            .join(targets, "at")
-            .select("id", F.col("t_at").alias("at"), (F.col("dist") + F.col("t_dist")).alias("dist"), F.col("t_done").alias("done"))
-        )
-        state = cut(state.where("done").unionByName(moved))
-    return state.select("id", F.col("at").alias("head"), "dist")
-
-
 @dataclass(frozen=True)
 class Graph:
     """A commit graph cut into chains."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions.types import render_type
 from palimpsest.operators import catalog_checks, catalog_diff, catalog_merge
 from palimpsest.operators.catalog import describe_constraints, describe_indexes
+from palimpsest.plans import migration
 from workloads.data import Data, oracle
 from workloads.fleet_data import catalog
 
@@ -374,3 +375,87 @@ UNION ALL SELECT project_id, table_id, cast(index_id AS string), 'index' FROM (S
 )
 def name_collisions(d):
     return catalog_merge.name_collisions(catalog(d, "broken")).select("project_id", "table_id", "object_id", "scope")
+
+
+# --- evolution plans ----------------------------------------------------------
+
+
+def _canonical(x: str) -> str:
+    return f"({x}.kind || '|' || coalesce(cast({x}.c1 AS string), '') || '|' || coalesce(cast({x}.ref_table_id AS string), '') || '|' || coalesce(cast({x}.r1 AS string), '') || '|' || {x}.on_delete || '|' || {x}.expr)"
+
+
+def plan_sql(frm: str, to: str) -> str:
+    both = f"""bt AS (SELECT coalesce(a.project_id, b.project_id) AS project_id, coalesce(a.table_id, b.table_id) AS table_id, a.name AS fn, b.name AS tn
+  FROM {{tables_{frm}}} a FULL JOIN {{tables_{to}}} b ON {_K})"""
+    t = "JOIN bt ON bt.project_id = s.project_id AND bt.table_id = s.table_id"
+    no = lambda src, i, extra: f"NOT EXISTS (SELECT 1 FROM {src} y WHERE y.project_id = s.project_id AND y.table_id = s.table_id AND y.{i} = s.{i} {extra})"
+    iy = "AND y.name = s.name AND y.i1 IS NOT DISTINCT FROM s.i1 AND y.i2 IS NOT DISTINCT FROM s.i2 AND y.is_unique = s.is_unique AND y.method = s.method"
+    ky = f"AND {_canonical('y')} = {_canonical('s')}"
+
+    def cname(side: str, tname: str) -> str:
+        first = f"coalesce((SELECT x.name FROM {{columns_{side}}} x WHERE x.project_id = s.project_id AND x.table_id = s.table_id AND x.column_id = s.c1), '')"
+        return f"""CASE WHEN s.name <> '' THEN s.name WHEN kind = 'primary_key' THEN {tname} || '_pkey' WHEN kind = 'unique' THEN {tname} || '_' || {first} || '_key'
+   WHEN kind = 'foreign_key' THEN {tname} || '_' || {first} || '_fkey' ELSE {tname} || '_' || {first} || '_check' END"""
+
+    cf, ct = _columns(frm).replace(" AS txt", " AS txt, nullable, default_expr"), _columns(to).replace(" AS txt", " AS txt, nullable, default_expr")
+    on3 = "a.project_id = b.project_id AND a.table_id = b.table_id AND a.column_id = b.column_id"
+    alive = "bt.fn IS NOT NULL AND bt.tn IS NOT NULL"
+    jc = f"FROM pa a JOIN pb b ON {on3} JOIN bt ON bt.project_id = b.project_id AND bt.table_id = b.table_id"
+    same2 = "x.project_id = y.project_id AND x.table_id = y.table_id AND x.column_id = y.column_id"
+    hold = f"(SELECT count(*) FROM pa x JOIN pb y ON {same2} WHERE x.project_id = b.project_id AND x.table_id = b.table_id AND x.name = b.name AND"
+    rows = [
+        f"SELECT s.project_id, 1 AS phase, 'drop_index' AS action, bt.fn AS tbl, s.name AS object, cast(NULL AS string) AS from_value, cast(NULL AS string) AS to_value, cast(NULL AS string) AS warning_code FROM {{indexes_{frm}}} s {t} WHERE bt.tn IS NOT NULL AND {no(f'{{indexes_{to}}}', 'index_id', iy)}",
+        f"SELECT s.project_id, CASE WHEN kind = 'foreign_key' THEN 2 ELSE 3 END, 'drop_constraint', bt.fn, {cname(frm, 'bt.fn')}, kind, NULL, NULL FROM {{constraints_{frm}}} s {t} WHERE bt.tn IS NOT NULL AND {no(f'{{constraints_{to}}}', 'constraint_id', ky)}",
+        f"SELECT s.project_id, 4, 'drop_column', bt.fn, s.name, s.txt, NULL, NULL FROM pa s {t} WHERE {alive} AND {no('pb', 'column_id', '')}",
+        "SELECT project_id, 5, 'drop_table', fn, NULL, NULL, NULL, NULL FROM bt WHERE tn IS NULL",
+        "SELECT project_id, 6, 'rename_table', fn, cast(table_id AS string), fn, tn, NULL FROM bt WHERE fn <> tn",
+        f"SELECT b.project_id, 7, 'rename_column', bt.tn, cast(b.column_id AS string), a.name, b.name, CASE WHEN {hold} (x.name = y.name)) > 0 OR {hold} (x.name <> y.name)) > 1 OR EXISTS (SELECT 1 FROM pa x JOIN pb y ON {same2} WHERE x.project_id = b.project_id AND x.table_id = b.table_id AND y.name = b.name AND x.name <> y.name AND x.column_id < b.column_id) THEN 'name_taken' END {jc} WHERE {alive} AND a.name <> b.name",
+        f"SELECT s.project_id, 8, 'create_table', tn, NULL, NULL, cast((SELECT count(*) FROM pb x WHERE x.project_id = s.project_id AND x.table_id = s.table_id) AS string) || ' columns, ' || cast((SELECT count(*) FROM {{constraints_{to}}} x WHERE x.project_id = s.project_id AND x.table_id = s.table_id AND x.kind <> 'foreign_key') AS string) || ' constraints', NULL FROM bt s WHERE fn IS NULL",
+        f"SELECT s.project_id, 9, 'add_column', bt.tn, s.name, NULL, s.txt, CASE WHEN NOT s.nullable AND s.default_expr = '' THEN 'add_not_null_no_default' END FROM pb s {t} WHERE {alive} AND {no('pa', 'column_id', '')}",
+        f"SELECT b.project_id, 10, 'alter_type', bt.tn, b.name, a.type, b.type, 'retype_needs_using' {jc} WHERE {alive} AND a.type <> b.type",
+        f"SELECT b.project_id, 10, CASE WHEN b.default_expr = '' THEN 'drop_default' ELSE 'set_default' END, bt.tn, b.name, a.default_expr, b.default_expr, NULL {jc} WHERE {alive} AND a.default_expr <> b.default_expr",
+        f"SELECT b.project_id, 10, CASE WHEN b.nullable THEN 'drop_not_null' ELSE 'set_not_null' END, bt.tn, b.name, cast(a.nullable AS string), cast(b.nullable AS string), CASE WHEN NOT b.nullable THEN 'set_not_null' END {jc} WHERE {alive} AND a.nullable <> b.nullable",
+        f"SELECT s.project_id, CASE WHEN kind = 'foreign_key' THEN 12 ELSE 11 END, 'add_constraint', bt.tn, {cname(to, 'bt.tn')}, NULL, kind, NULL FROM {{constraints_{to}}} s {t} WHERE bt.tn IS NOT NULL AND (bt.fn IS NOT NULL OR kind = 'foreign_key') AND {no(f'{{constraints_{frm}}}', 'constraint_id', ky)}",
+        f"SELECT s.project_id, 13, 'create_index', bt.tn, s.name, NULL, NULL, NULL FROM {{indexes_{to}}} s {t} WHERE bt.tn IS NOT NULL AND {no(f'{{indexes_{frm}}}', 'index_id', iy)}",
+    ]
+    return f"""WITH {both}, pa AS {cf}, pb AS {ct} SELECT project_id, phase, action, tbl AS "table", object, from_value, to_value, warning_code FROM ({" UNION ALL ".join(rows)})"""
+
+
+_STEP = ["project_id", "phase", "action", "table", "object", "from_value", "to_value", "warning_code"]
+
+
+@query("migration_plan", plan_sql("ours", "theirs"))
+def migration_plan(d):
+    return migration.ordered_plan(migration.migration_plan(catalog(d, "ours"), catalog(d, "theirs"))).select(*_STEP)
+
+
+@query(
+    "export_plan",
+    """WITH t AS (SELECT * FROM {tables_theirs})
+SELECT project_id, phase, count(*) AS n FROM (
+  SELECT project_id, 8 AS phase FROM t UNION ALL SELECT s.project_id, 12 FROM {constraints_theirs} s JOIN t ON t.project_id = s.project_id AND t.table_id = s.table_id WHERE kind = 'foreign_key'
+  UNION ALL SELECT s.project_id, 13 FROM {indexes_theirs} s JOIN t ON t.project_id = s.project_id AND t.table_id = s.table_id) GROUP BY 1, 2""",
+)
+def export_plan(d):
+    return migration.export_plan(catalog(d, "theirs")).groupBy("project_id", "phase").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "rename_order",
+    """WITH RECURSIVE r AS (SELECT a.project_id, a.table_id, a.column_id, a.name AS cur, b.name AS tgt FROM {names_before} a JOIN {names_after} b ON a.column_id = b.column_id),
+w AS (SELECT r.*, h.column_id AS holder FROM r LEFT JOIN r h ON h.table_id = r.table_id AND h.cur = r.tgt),
+l AS (SELECT column_id, 0 AS ord FROM w WHERE holder IS NULL UNION ALL SELECT w.column_id, l.ord + 1 FROM l JOIN w ON w.holder = l.column_id),
+c AS (SELECT * FROM w WHERE column_id NOT IN (SELECT column_id FROM l)),
+m AS (SELECT table_id, min(column_id) AS low, count(*) AS size FROM c GROUP BY table_id),
+k AS (SELECT low AS column_id, low, 0 AS ord FROM m UNION ALL SELECT c.column_id, k.low, k.ord + 1 FROM k JOIN c ON c.holder = k.column_id AND c.column_id <> k.low)
+SELECT r.project_id, r.table_id, r.column_id, ord AS rename_order, cur AS from_name, tgt AS to_name FROM l JOIN r ON r.column_id = l.column_id
+UNION ALL SELECT r.project_id, r.table_id, r.column_id, ord, cur, CASE WHEN ord = 0 THEN '__tmp_' || cast(r.column_id AS string) ELSE tgt END FROM k JOIN r ON r.column_id = k.column_id
+UNION ALL SELECT r.project_id, r.table_id, r.column_id, m.size, '__tmp_' || cast(r.column_id AS string), tgt FROM m JOIN r ON r.column_id = m.low""",
+)
+def rename_order(d):
+    before, after = d["names_before"], d["names_after"]
+    renames = before.withColumnRenamed("name", "current").join(
+        after.withColumnRenamed("name", "target"), ["project_id", "table_id", "column_id"]
+    )
+    found = migration.order_renames(renames, before, ["project_id", "table_id"], "column_id")
+    return found.drop("warning_code")

@@ -239,3 +239,14 @@ SELECT 'column_type:' || cast(project_id AS string) || ':' || cast(table_id AS s
 FROM {columns_base} WHERE column_id % 27 = 0
 """,
 )
+
+# Every column takes the name of the next one in its table; with the dropped
+# columns the tables hold whole cycles as well as open chains.
+view(
+    "names_before",
+    """SELECT project_id, table_id, column_id, 'c' || cast(position AS string) AS name FROM {columns_base} WHERE column_id % 19 <> 0""",
+)
+view(
+    "names_after",
+    """SELECT project_id, table_id, column_id, 'c' || cast(position % 8 + 1 AS string) AS name FROM {columns_base} WHERE column_id % 19 <> 0""",
+)
