@@ -250,3 +250,61 @@ view(
     "names_after",
     """SELECT project_id, table_id, column_id, 'c' || cast(position % 8 + 1 AS string) AS name FROM {columns_base} WHERE column_id % 19 <> 0""",
 )
+
+# --- loaded again without ids -------------------------------------------------
+# The head keeps one column per name; the new load loses some, renames some,
+# retypes some, and renames every eighth table.
+
+view(
+    "columns_head",
+    """
+SELECT project_id, table_id, column_id, name, type_base, type_param, nullable, default_expr,
+       cast(row_number() OVER (PARTITION BY project_id, table_id ORDER BY column_id) AS int) AS position
+FROM {columns_base} b
+WHERE column_id IN (SELECT min(column_id) FROM {columns_base} GROUP BY project_id, table_id, name)
+""",
+)
+view(
+    "columns_new",
+    """
+SELECT project_id, table_id + 1000000000000 AS table_id, column_id + 1000000000000 AS column_id,
+       CASE WHEN column_id % 9 = 0 THEN name || '_v2' ELSE name END AS name,
+       CASE WHEN column_id % 17 = 0 THEN 'promo' ELSE type_base END AS type_base, type_param, nullable, default_expr,
+       cast(row_number() OVER (PARTITION BY project_id, table_id ORDER BY column_id) AS int) AS position
+FROM {columns_head} WHERE column_id % 13 <> 0
+""",
+)
+view("tables_head", "SELECT * FROM {tables_base}")
+view(
+    "tables_new",
+    """
+SELECT project_id, table_id + 1000000000000 AS table_id, CASE WHEN table_id % 8 = 0 THEN name || '_r' ELSE name END AS name,
+       ordinal
+FROM {tables_base}
+""",
+)
+view("constraints_head", "SELECT * FROM {constraints_base} WHERE kind <> 'foreign_key' AND c1 IN (SELECT column_id FROM {columns_head})")
+view(
+    "constraints_new",
+    """
+SELECT project_id, table_id + 1000000000000 AS table_id, constraint_id + 1000000000000 AS constraint_id, name, kind,
+       c1 + 1000000000000 AS c1, ref_table_id, r1, on_delete, expr, ordinal
+FROM {constraints_head} WHERE c1 % 13 <> 0
+""",
+)
+view("indexes_head", "SELECT * FROM {indexes_base} WHERE i1 IN (SELECT column_id FROM {columns_head}) AND i2 IN (SELECT column_id FROM {columns_head})")
+view(
+    "indexes_new",
+    """
+SELECT project_id, table_id + 1000000000000 AS table_id, index_id + 1000000000000 AS index_id, name, i1 + 1000000000000 AS i1,
+       i2 + 1000000000000 AS i2, is_unique, method, ordinal
+FROM {indexes_head} WHERE i1 % 13 <> 0 AND i2 % 13 <> 0
+""",
+)
+view(
+    "rename_decisions",
+    """
+SELECT column_id AS old_id, column_id % 5 <> 0 AS rename FROM {columns_head} WHERE column_id % 2 = 0 OR column_id % 5 = 0
+""",
+)
+view("table_decisions", "SELECT table_id AS old_id, table_id % 16 = 0 AS rename FROM {tables_base} WHERE table_id % 8 = 0")
