@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from palimpsest.functions.types import render_type
-from palimpsest.operators import catalog_checks, catalog_diff, catalog_merge
+from palimpsest.operators import catalog_checks, catalog_diff, catalog_merge, catalog_replay
 from palimpsest.operators.catalog import describe_constraints, describe_indexes
 from palimpsest.plans import migration
+from palimpsest.sources.snapshots import explode_snapshots, nest_snapshots
 from workloads.data import Data, oracle
-from workloads.fleet_data import catalog
+from workloads.fleet_data import catalog, snapshots
 
 QUERIES, ORACLES = {}, {}
 
@@ -459,3 +461,125 @@ def rename_order(d):
     )
     found = migration.order_renames(renames, before, ["project_id", "table_id"], "column_id")
     return found.drop("warning_code")
+
+
+# --- edit logs ----------------------------------------------------------------
+
+_EDIT_ERRORS = """bad AS (SELECT e.project_id, e.seq, e.op, 'still_referenced' AS reason, row_number() OVER (PARTITION BY e.project_id ORDER BY e.seq) AS rn
+  FROM {fleet_edits} e WHERE e.op = 'drop_column' AND (EXISTS (SELECT 1 FROM {constraints_base} k WHERE k.table_id = e.table_id
+    AND (k.c1 = e.column_id OR k.r1 = e.column_id)) OR EXISTS (SELECT 1 FROM {indexes_base} x WHERE x.table_id = e.table_id
+    AND (x.i1 = e.column_id OR x.i2 = e.column_id))))"""
+
+
+def _edited(op: str, v: str, old: str) -> str:
+    return f"coalesce((SELECT max(e.{v}) FROM {{fleet_edits}} e WHERE e.column_id = c.column_id AND e.op = '{op}'), {old})"
+
+
+@query("oplog_errors_catalog", f"WITH {_EDIT_ERRORS} SELECT project_id, seq, op, reason FROM bad WHERE rn = 1")
+def oplog_errors_catalog(d):
+    return catalog_replay.replay_catalog(catalog(d, "base"), _log(d))[1]
+
+
+@query(
+    "oplog_replay_catalog",
+    f"""WITH {_EDIT_ERRORS}, ok AS (SELECT DISTINCT project_id FROM {{columns_base}} WHERE project_id NOT IN (SELECT project_id FROM bad)),
+s AS (SELECT c.project_id, c.table_id, c.column_id, {_edited('rename_column', 'name', 'c.name')} AS name,
+  {_edited('retype_column', 'type', "c.type_base || '(' || cast(c.type_param AS string) || ')'")} AS type,
+  {_edited('set_nullable', 'nullable', 'c.nullable')} AS nullable, {_edited('set_default', 'default_expr', 'c.default_expr')} AS default_expr, 0 AS g, c.position AS o
+  FROM {{columns_base}} c WHERE c.project_id IN (SELECT project_id FROM ok) AND c.column_id % 37 <> 0
+ UNION ALL SELECT project_id, table_id, column_id, name, type, nullable, default_expr, 1, seq FROM {{fleet_edits}} WHERE op = 'add_column' AND project_id IN (SELECT project_id FROM ok)
+ UNION ALL SELECT project_id, table_id, column_id, name, type_base || '(' || cast(type_param AS string) || ')', nullable, default_expr, 0, position
+  FROM {{columns_base}} WHERE project_id NOT IN (SELECT project_id FROM ok))
+SELECT project_id, table_id, column_id, name, type, nullable, default_expr,
+  cast(row_number() OVER (PARTITION BY project_id, table_id ORDER BY g, o) AS int) AS position FROM s""",
+)
+def oplog_replay_catalog(d):
+    return _flat(catalog_replay.replay_catalog(catalog(d, "base"), _log(d))[0].columns)
+
+
+def _log(d):
+    """The edits with the fields they do not use, as nulls."""
+    unused = (
+        "constraint_id long, index_id long, columns array<struct<column_id:long,name:string,type:string,nullable:boolean,default_expr:string>>, "
+        "kind string, column_ids array<long>, ref_table_id long, ref_column_ids array<long>, on_delete string, on_update string, expr string, "
+        "index_columns array<struct<column_id:long,desc:boolean>>, is_unique boolean, method string"
+    )
+    schema = T.StructType.fromDDL(unused)
+    return d["fleet_edits"].withColumns({f.name: F.lit(None).cast(f.dataType) for f in schema.fields})
+
+
+# --- refs and history ---------------------------------------------------------
+
+
+def _snapshot_diff(pairs: str) -> str:
+    """Changes between the snapshots of `pairs(id, f, t)`."""
+    ty = lambda x: f"({x}.type_base || '(' || cast({x}.type_param AS string) || ')')"
+    join = "JOIN {snapshot_columns} a ON a.commit_id = p.f JOIN {snapshot_columns} b ON b.commit_id = p.t AND b.column_id = a.column_id AND b.table_id = a.table_id"
+    nul = lambda x: f"CASE WHEN {x}.nullable THEN 'nullable' ELSE 'NOT NULL' END"
+    one = lambda kind, x, y, test: f"SELECT p.id AS project_id, '{kind}' AS kind, b.name AS object, {x} AS from_value, {y} AS to_value FROM p {join} WHERE {test}"
+    has = lambda c, o: f"EXISTS (SELECT 1 FROM {{snapshot_columns}} z WHERE z.commit_id = {c} AND z.column_id = {o}.column_id)"
+    return f"""WITH p AS ({pairs}) {one('column_renamed', 'a.name', 'b.name', 'a.name <> b.name')}
+UNION ALL {one('column_retyped', ty('a'), ty('b'), f"{ty('a')} <> {ty('b')}")}
+UNION ALL {one('nullability_changed', nul('a'), nul('b'), 'a.nullable <> b.nullable')}
+UNION ALL SELECT p.id, 'column_added', b.name, NULL, {ty('b')} FROM p JOIN {{snapshot_columns}} b ON b.commit_id = p.t WHERE NOT {has('p.f', 'b')}
+UNION ALL SELECT p.id, 'column_dropped', a.name, {ty('a')}, NULL FROM p JOIN {{snapshot_columns}} a ON a.commit_id = p.f WHERE NOT {has('p.t', 'a')}"""
+
+
+_CHANGE = ["project_id", "kind", "object", "from_value", "to_value"]
+
+
+@query("history_diff", _snapshot_diff("SELECT commit_id AS id, parent_id AS f, commit_id AS t FROM {commits} WHERE parent_id IS NOT NULL"))
+def history_diff(d):
+    return catalog_diff.history_diff(snapshots(d), d["commits"]).select(*_CHANGE)
+
+
+_REFS = "SELECT m.project_id AS id, m.head_commit_id AS f, f.head_commit_id AS t FROM {ref_branches} m JOIN {ref_branches} f ON m.project_id = f.project_id WHERE m.name = 'main' AND f.name = 'feature'"
+
+
+@query("diff_refs", _snapshot_diff(_REFS))
+def diff_refs(d):
+    return catalog_diff.diff_refs(snapshots(d), d["commits"], d["ref_branches"], d["ref_pairs"]).select(*_CHANGE)
+
+
+@query(
+    "plan_refs",
+    f"""WITH x AS ({_snapshot_diff(_REFS)}) SELECT project_id, CASE kind WHEN 'column_renamed' THEN 'rename_column' WHEN 'column_retyped' THEN 'alter_type'
+  WHEN 'column_added' THEN 'add_column' WHEN 'column_dropped' THEN 'drop_column' WHEN 'nullability_changed' THEN
+  CASE WHEN to_value = 'nullable' THEN 'drop_not_null' ELSE 'set_not_null' END END AS action, count(*) AS n FROM x GROUP BY 1, 2""",
+)
+def plan_refs(d):
+    plan = migration.plan_refs(snapshots(d), d["commits"], d["ref_branches"], d["ref_pairs"])
+    return plan.groupBy("project_id", "action").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "snapshot_round_trip",
+    """SELECT project_id, commit_id, table_id, column_id, name, type_base, type_param, nullable, position FROM {snapshot_columns}""",
+)
+def snapshot_round_trip(d):
+    """Long tables nested to one JSON text per commit and exploded again."""
+    back = explode_snapshots(nest_snapshots(snapshots(d))).columns
+    return back.select(
+        "project_id",
+        "commit_id",
+        F.col("table_id").cast("long").alias("table_id"),
+        F.col("column_id").cast("long").alias("column_id"),
+        "name",
+        "type_base",
+        F.col("type_params")[0].alias("type_param"),
+        "nullable",
+        "position",
+    )
+
+
+@query(
+    "catalog_gate",
+    f"""WITH {_MERGE}, c AS ({_COLUMN_CONFLICTS} UNION ALL {_TABLE_CONFLICTS}),
+p AS (SELECT DISTINCT project_id FROM {{tables_base}})
+SELECT p.project_id, EXISTS (SELECT 1 FROM c WHERE c.project_id = p.project_id) AS blocked FROM p""",
+)
+def catalog_gate(d):
+    attempt = _fleet_merge(d)
+    projects = d["tables_base"].select("project_id").distinct()
+    decided = attempt.gate(projects)
+    return decided.select("project_id", (F.col("decision") == "conflicts").alias("blocked"))

@@ -308,3 +308,79 @@ SELECT column_id AS old_id, column_id % 5 <> 0 AS rename FROM {columns_head} WHE
 """,
 )
 view("table_decisions", "SELECT table_id AS old_id, table_id % 16 = 0 AS rename FROM {tables_base} WHERE table_id % 8 = 0")
+
+# --- an edit log on the fleet -------------------------------------------------
+# Dropping a column that a key or an index of its table uses fails, and with it
+# the whole stream of that project.
+
+view(
+    "fleet_edits",
+    """
+SELECT project_id, column_id % 80 * 10 + 1 AS seq, 'rename_column' AS op, table_id, column_id, name || '_o' AS name,
+       cast(NULL AS string) AS type, cast(NULL AS boolean) AS nullable, cast(NULL AS string) AS default_expr
+FROM {columns_base} WHERE column_id % 10 = 0
+UNION ALL
+SELECT project_id, column_id % 80 * 10 + 2, 'retype_column', table_id, column_id, NULL, 'numeric(7)', NULL, NULL
+FROM {columns_base} WHERE column_id % 9 = 0
+UNION ALL
+SELECT project_id, column_id % 80 * 10 + 3, 'set_nullable', table_id, column_id, NULL, NULL, true, NULL
+FROM {columns_base} WHERE column_id % 16 = 3
+UNION ALL
+SELECT project_id, column_id % 80 * 10 + 4, 'set_default', table_id, column_id, NULL, NULL, NULL, '1'
+FROM {columns_base} WHERE column_id % 12 = 0
+UNION ALL
+SELECT project_id, column_id % 80 * 10 + 5, 'drop_column', table_id, column_id, NULL, NULL, NULL, NULL
+FROM {columns_base} WHERE column_id % 37 = 0
+UNION ALL
+SELECT project_id, column_id % 80 * 10 + 6, 'add_column', table_id, column_id + 100000000, 'extra_' || cast(column_id AS string), 'text', true, ''
+FROM {columns_base} WHERE column_id % 50 = 0
+""",
+)
+
+# --- snapshots of the commit graph --------------------------------------------
+# One table of two or three columns per commit; what an event carried becomes
+# the type of a column.
+
+view(
+    "snapshot_columns",
+    """
+SELECT c.project_id, c.commit_id, c.project_id AS table_id, cast(1 AS bigint) AS column_id, 'event' AS name, c.event_type AS type_base,
+       cast(0 AS int) AS type_param, true AS nullable, '' AS default_expr, 1 AS position FROM {commits} c
+UNION ALL
+SELECT c.project_id, c.commit_id, c.project_id, 2, CASE WHEN c.commit_id % 7 = 0 THEN 'amount' ELSE 'value' END, 'numeric',
+       cast(c.commit_id % 4 AS int), c.commit_id % 5 <> 0, '', 2 FROM {commits} c
+UNION ALL
+SELECT c.project_id, c.commit_id, c.project_id, 3, 'note', 'text', 1, true, '', 3 FROM {commits} c WHERE c.commit_id % 2 = 0
+""",
+)
+view(
+    "snapshot_tables",
+    "SELECT project_id, commit_id, project_id AS table_id, 'log' AS name, project_id AS ordinal FROM {commits}",
+)
+view(
+    "ref_branches",
+    "SELECT 'b' || cast(branch_id AS string) AS branch_id, project_id, name, head_commit_id FROM {branches}",
+)
+view(
+    "ref_pairs",
+    """
+SELECT m.project_id AS pair_id, m.branch_id AS from_ref, cast(f.head_commit_id AS string) AS to_ref
+FROM {ref_branches} m JOIN {ref_branches} f ON m.project_id = f.project_id WHERE m.name = 'main' AND f.name = 'feature'
+""",
+)
+
+
+def snapshots(d: Data) -> Catalog:
+    """Catalog with `commit_id`; these snapshots have no constraints or indexes."""
+    spark = d.spark
+    nothing = "project_id long, commit_id long, table_id long, "
+    constraints = spark.createDataFrame(
+        [],
+        nothing + "constraint_id long, name string, kind string, column_ids array<long>, ref_table_id long, ref_column_ids array<long>, "
+        "on_delete string, on_update string, expr string, ordinal long",
+    )
+    indexes = spark.createDataFrame(
+        [], nothing + "index_id long, name string, columns array<struct<column_id:long,desc:boolean>>, is_unique boolean, method string, ordinal long"
+    )
+    columns = d["snapshot_columns"].withColumn("type_params", F.array("type_param")).drop("type_param")
+    return Catalog(d["snapshot_tables"], columns, constraints, indexes)
