@@ -63,9 +63,10 @@ def diff_cells(
     *,
     name_col: str | None = None,
     changed_only: bool = False,
+    keys_checked: bool = False,
 ) -> DataFrame:
     """Cell-level difference; one row per changed cell, added or dropped row."""
-    aligned = align({"frm": frm, "to": to}, key, cols, changed_only=changed_only)
+    aligned = align({"frm": frm, "to": to}, key, cols, changed_only=changed_only, keys_checked=keys_checked)
     return cell_changes(unique_only(aligned, SIDES), key, cols, name_col)
 
 

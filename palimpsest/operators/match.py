@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.similarity import COLUMN_THRESHOLD, PRESELECT, TABLE_THRESHOLD, column_similarity, confidence
 from palimpsest.operators.catalog import PROJECT, SCOPE, TABLE, Catalog, plain_columns
+from palimpsest.operators.spread import number_within
 from palimpsest.session import cut
 
 PROPOSAL = [PROJECT, "kind", "table", "old_id", "old_name", "new_id", "new_name", "confidence", "preselected", "contested"]
@@ -312,8 +313,9 @@ def _shape() -> Column:
 
 def _reuse(new: DataFrame, head: DataFrame, ident: str, shape: Column) -> DataFrame:
     """Give members the head id of the same shape; the k-th takes the k-th."""
-    nth = Window.partitionBy(*SCOPE, "_shape").orderBy("ordinal", ident)
-    place = lambda df: df.withColumn("_shape", shape).withColumn("_nth", F.row_number().over(nth))
+    place = lambda df: number_within(
+        df.withColumn("_shape", shape), [*SCOPE, "_shape"], "ordinal", "_nth", tie=[ident]
+    )
     known = place(head).select(*SCOPE, "_shape", "_nth", F.col(ident).alias("_head"))
     out = place(new).join(known, [*SCOPE, "_shape", "_nth"], "left")
     return out.withColumn(ident, F.coalesce("_head", ident)).select(*new.columns)

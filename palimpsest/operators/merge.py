@@ -69,9 +69,10 @@ def align3(
     cols: Sequence[str],
     *,
     changed_only: bool = False,
+    keys_checked: bool = False,
 ) -> DataFrame:
     sides = {"base": base, "ours": ours, "theirs": theirs}
-    return unique_only(align(sides, key, cols, changed_only=changed_only), SIDES)
+    return unique_only(align(sides, key, cols, changed_only=changed_only, keys_checked=keys_checked), SIDES)
 
 
 def merge_key_problems(base: DataFrame, ours: DataFrame, theirs: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -295,10 +296,11 @@ def merge3(
     resolutions: DataFrame | None = None,
     *,
     naming: Naming = ROWS,
+    keys_checked: bool = False,
 ) -> Merge:
     """Three-way merge by `key`; for many merges at once lead the key with
     `merge_id`. Rows whose key repeats or is null are in `merge_key_problems`."""
-    return apply_merge(align3(base, ours, theirs, key, cols), key, cols, resolutions, naming)
+    return apply_merge(align3(base, ours, theirs, key, cols, keys_checked=keys_checked), key, cols, resolutions, naming)
 
 
 def changes_to_ours(ours: DataFrame, merge: Merge) -> DataFrame:

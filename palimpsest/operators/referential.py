@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.cells import key_text
 from palimpsest.operators.integrity import ForeignKey
-from palimpsest.operators.spread import lookup
+from palimpsest.operators.spread import lookup_large
 from palimpsest.session import cut
 
 EFFECTS = {
@@ -49,7 +49,7 @@ def referential_effects(
             parents = rows[fk.parent].join(frontier[fk.parent], list(keys[fk.parent]), "left_semi")
             values = parents.select(*[F.col(r).alias(c) for c, r in zip(fk.cols, fk.ref_cols)]).dropDuplicates()
             narrow = rows[fk.table].select(*dict.fromkeys([*child_key, *fk.cols]))
-            hit = lookup(narrow, values, fk.cols, child_key, "left_semi").select(*child_key)
+            hit = lookup_large(narrow, values, fk.cols, child_key, "left_semi").select(*child_key)
             effect = EFFECTS[fk.on_delete]
             if effect == "delete":
                 reached.setdefault(fk.table, []).append(hit.withColumn("via", F.lit(fk.parent)))

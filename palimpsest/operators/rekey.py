@@ -8,7 +8,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.operators.spread import lookup
+from palimpsest.operators.spread import lookup_large
+from palimpsest.session import cut
 
 
 def rekey_proposals(
@@ -52,18 +53,17 @@ def rekey_proposals(
     )
     # Rows alike in every compared column get the same answer; ask once.
     like = [*block_on, *names]
-    vectors = dropped.select(*like).dropDuplicates().withColumn("_vector", F.struct(*like))
+    vectors = cut(dropped.select(*like).dropDuplicates()).withColumn("_vector", F.struct(*like))
     asked = signatures(vectors)
-    met = lookup(asked, candidates, [*block_on, "_set", "_sig"], ["_vector"], salts=8)
+    met = lookup_large(asked, candidates, [*block_on, "_set", "_sig"], ["_vector"])
     best = met.groupBy("_vector").agg(
         F.max(F.struct(F.col("_score").alias("score"), (-F.col("new_key")).alias("least"))).alias("b")
     )
     answers = best.select("_vector", F.col("b.score").alias("score"), (-F.col("b.least")).alias("new_key"))
-    proposed = lookup(
-        dropped.select(F.col(key).alias("old_key"), F.struct(*like).alias("_vector")), answers, ["_vector"], ["old_key"]
-    ).drop("_vector")
+    askers = dropped.select(F.col(key).alias("old_key"), F.struct(*like).alias("_vector"))
+    proposed = cut(lookup_large(askers, answers, ["_vector"], ["old_key"]).drop("_vector"))
     wanted = proposed.groupBy("new_key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
-    flagged = lookup(proposed, wanted, ["new_key"], ["old_key"], "left")
+    flagged = lookup_large(proposed, wanted, ["new_key"], ["old_key"], "left")
     out = flagged.select("old_key", "new_key", "score", F.col("_n").isNotNull().alias("contested"))
     if decisions is not None:
         out = out.join(decisions.select("old_key"), "old_key", "left_anti")

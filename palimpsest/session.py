@@ -24,6 +24,9 @@ def recommended(builder: SparkSession.Builder) -> SparkSession.Builder:
     return builder
 
 
+_local: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, from `spark.checkpoint.dir`.
 
@@ -36,9 +39,10 @@ def shared_dir(spark: SparkSession) -> str:
         return configured
     if not spark.conf.get("spark.master", "local").startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    scratch = tempfile.mkdtemp(prefix="palimpsest-")
-    spark.conf.set("spark.checkpoint.dir", scratch)
-    return scratch
+    app = spark.conf.get("spark.app.id", "local")
+    if app not in _local:
+        _local[app] = tempfile.mkdtemp(prefix="palimpsest-")
+    return _local[app]
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -243,3 +243,18 @@ SELECT o.n AS n_conflicts, cast(p.n AS bigint) AS n_problems, (o.n = 0 AND p.n =
 def merge_gate_orders(d):
     attempt = _merge(d, d["orders_answers"])
     return merge.gate(attempt.conflicts, collisions.unique_collisions(attempt.merged, ["code"], ["k"]))
+
+
+# Seven merges in one job: the key starts with the merge.
+@query(
+    "merge_gate_batched",
+    f"""WITH {_JOINED}, {_ALL_CONFLICTS}, ids AS (SELECT DISTINCT k % 7 AS merge_id FROM {{orders_base}}),
+n AS (SELECT k % 7 AS merge_id, count(*) AS n FROM c GROUP BY 1)
+SELECT ids.merge_id, coalesce(n.n, 0) AS n_conflicts, cast(0 AS bigint) AS n_problems, coalesce(n.n, 0) = 0 AS clean,
+  CASE WHEN coalesce(n.n, 0) > 0 THEN 'conflicts' ELSE 'commit' END AS decision FROM ids LEFT JOIN n ON n.merge_id = ids.merge_id""",
+)
+def merge_gate_batched(d):
+    sides = [d[f"orders_{s}"].withColumn("merge_id", F.col("k") % 7) for s in ("base", "ours", "theirs")]
+    attempt = merge.merge3(*sides, ["merge_id", "k"], COLS)
+    problems = merge.merge_key_problems(*sides, ["merge_id", "k"])
+    return merge.gate(attempt.conflicts, problems, sides[0].select("merge_id").distinct())
