@@ -54,8 +54,10 @@ def collisions(
 def unique_collisions(
     merged: DataFrame, cols: Sequence[str], key: Sequence[str], order: Sequence[str] = ("origin",)
 ) -> DataFrame:
-    """Merged rows that share the value of a unique column list."""
-    found = collisions(merged, cols, key, order, kind="unique_collision")
+    """Merged rows that share the value of a unique column list. Only the key,
+    the value and the order are kept of the rows, so the merge runs once."""
+    narrow = cut(merged.select(*dict.fromkeys([*key, *cols, *order])))
+    found = collisions(narrow, cols, key, order, kind="unique_collision")
     value = F.concat_ws("|", *[F.col(c).cast("string") for c in cols])
     return found.select(
         *key,

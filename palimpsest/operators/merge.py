@@ -214,6 +214,43 @@ def usable_answers(
     return joined.where(_problem(conflicts, dtypes or {}).isNull())
 
 
+_PART = r"((?:[^:\\]|\\.)*)"  # one key column inside a conflict id
+
+
+def answers_by_key(
+    resolutions: DataFrame,
+    schema: T.StructType,
+    key: Sequence[str],
+    dtypes: Mapping[str, T.DataType],
+    naming: Naming = ROWS,
+) -> DataFrame:
+    """`(key…, conflict_id, property, choice, custom)` of the answers that can be
+    used, read from their conflict ids.
+
+    An id holds the property and the key, so answers meet the aligned rows on
+    the key these are already grouped by, and the rows need not be aligned a
+    second time to find the conflicts first.
+    """
+    named = [(naming.cell(c)[1], c, naming.cell(c)[2]) for c in dtypes]
+    named += [(naming.existence, "existence", False), (naming.addition, "row", False)]
+    prop, custom, rest = F.lit(None).cast("string"), F.lit(None).cast("boolean"), F.lit(None).cast("string")
+    for prefix, name, accepts in sorted(named, key=lambda n: len(n[0])):
+        mine = F.col("conflict_id").startswith(f"{prefix}:")
+        prop = F.when(mine, name).otherwise(prop)
+        custom = F.when(mine, F.lit(accepts)).otherwise(custom)
+        rest = F.when(mine, F.substr("conflict_id", F.lit(len(prefix) + 2))).otherwise(rest)
+    final = final_resolutions(resolutions).withColumns({"property": prop, "allow_custom": custom, "_rest": rest})
+    usable = final.where(F.col("property").isNotNull() & _problem(final, dtypes).isNull())
+    pattern = "^" + ":".join([_PART] * len(key)) + "$"
+    parts = []
+    for i, k in enumerate(key, 1):
+        part = F.regexp_extract("_rest", pattern, i)
+        if isinstance(schema[k].dataType, T.StringType):
+            part = F.regexp_replace(part, r"\\(.)", "$1")
+        parts.append(part.try_cast(schema[k].dataType).alias(k))
+    return usable.where(F.col("_rest").rlike(pattern)).select(*parts, "conflict_id", "property", "choice", "custom")
+
+
 def apply_merge(
     aligned: DataFrame,
     key: Sequence[str],
@@ -234,13 +271,11 @@ def apply_merge(
         staged = aligned.withColumn("_picks", F.lit(None).cast(picks_type))
         still_open, problems = conflicts, no_problems
     else:
-        answered = usable_answers(conflicts, resolutions, dtypes)
+        answers = answers_by_key(resolutions, aligned.schema, key, dtypes, naming)
         entry = F.struct("property", F.struct("choice", "custom"))
-        picks = answered.groupBy(*key).agg(F.map_from_entries(F.collect_list(entry)).alias("_picks"))
+        picks = answers.groupBy(*key).agg(F.map_from_entries(F.collect_list(entry)).alias("_picks"))
         staged = aligned.join(picks, key, "left")
-        still_open = conflicts.join(answered.select("conflict_id"), "conflict_id", "left_anti").select(
-            *conflicts.columns
-        )
+        still_open = conflicts.join(answers.select("conflict_id"), "conflict_id", "left_anti").select(*conflicts.columns)
         problems = resolution_problems(conflicts, resolutions, dtypes)
     return Merge(_merged(staged, key, cols, schema, keep), still_open, problems, tuple(key), tuple(cols))
 

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.operators.spread import WIDTH, next_value, running_last
+from palimpsest.operators.spread import WIDTH, ordered_scan, running_last
 
 BASE_SEQ = -(1 << 62)
 
@@ -81,9 +81,8 @@ def validity_intervals(
     `from_seq` is null for rows of the base, `to_seq` for rows still current.
     """
     valid = _judged(base, log, key, cols, width).where(F.col("reason").isNull())
-    timed = next_value(valid, key, "seq", "seq", "to_seq", width=width)
     boxes = {f"_b_{c}": _boxed(c) for c in cols}
-    filled = running_last(timed, key, "seq", boxes, inclusive=True, width=width)
+    filled = ordered_scan(valid, key, "seq", upto=boxes, ahead={"to_seq": F.col("seq")}, width=width)
     started = F.when(F.col("seq") != BASE_SEQ, F.col("seq"))
     return filled.where(F.col("op") != "delete").select(
         *key, started.alias("from_seq"), "to_seq", *[F.col(f"_b_{c}")["v"].alias(c) for c in cols]

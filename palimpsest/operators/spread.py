@@ -68,47 +68,68 @@ def lookup_large(
     return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
 
 
-def running_last(
+def ordered_scan(
     df: DataFrame,
     part: Sequence[str],
     seq: str,
-    values: Mapping[str, Column],
     *,
-    inclusive: bool,
+    before: Mapping[str, Column] | None = None,
+    upto: Mapping[str, Column] | None = None,
+    ahead: Mapping[str, Column] | None = None,
     width: int = WIDTH,
 ) -> DataFrame:
-    """For each row the last non-null of each value among the rows before it
-    (`inclusive`: up to it) with the same `part`, in the order of the numeric
-    column `seq`."""
+    """Add values of the neighbours of each row in the order of the numeric
+    column `seq` inside `part`: `before` the last non-null among the rows
+    before it, `upto` the same including it, `ahead` the value of the next row.
+
+    One pass over the rows for all of them together.
+    """
+    before, upto, ahead = before or {}, upto or {}, ahead or {}
+    last = {**before, **upto}
     staged = df.withColumn("_bucket", F.floor(F.col(seq) / F.lit(width)))
-    staged = staged.withColumns({f"_v_{name}": value for name, value in values.items()})
-    end = 0 if inclusive else -1
-    near = Window.partitionBy(*part, "_bucket").orderBy(seq).rowsBetween(Window.unboundedPreceding, end)
-    local = staged.withColumns({f"_l_{n}": F.last(f"_v_{n}", ignorenulls=True).over(near) for n in values})
+    staged = staged.withColumns(
+        {**{f"_v_{n}": v for n, v in last.items()}, **{f"_v_{n}": F.struct(v.alias("v")) for n, v in ahead.items()}}
+    )
+    place = Window.partitionBy(*part, "_bucket").orderBy(seq)
+    frames = {n: place.rowsBetween(Window.unboundedPreceding, 0 if n in upto else -1) for n in last}
+    local = staged.withColumns(
+        {
+            **{f"_l_{n}": F.last(f"_v_{n}", ignorenulls=True).over(frames[n]) for n in last},
+            **{f"_l_{n}": F.lead(f"_v_{n}").over(place) for n in ahead},
+        }
+    )
+    present = lambda n: F.when(F.col(f"_v_{n}").isNotNull(), F.col(seq))
     heads = staged.groupBy(*part, "_bucket").agg(
-        *[F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), F.col(seq))).alias(f"_h_{n}") for n in values]
+        *[F.max_by(f"_v_{n}", present(n)).alias(f"_h_{n}") for n in last],
+        *[F.min_by(f"_v_{n}", seq).alias(f"_h_{n}") for n in ahead],
     )
-    far = Window.partitionBy(*part).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = Window.partitionBy(*part).orderBy("_bucket")
+    earlier = buckets.rowsBetween(Window.unboundedPreceding, -1)
     carried = heads.select(
-        *part, "_bucket", *[F.last(f"_h_{n}", ignorenulls=True).over(far).alias(f"_c_{n}") for n in values]
+        *part,
+        "_bucket",
+        *[F.last(f"_h_{n}", ignorenulls=True).over(earlier).alias(f"_c_{n}") for n in last],
+        *[F.lead(f"_h_{n}").over(buckets).alias(f"_c_{n}") for n in ahead],
     )
     joined = local.join(carried, [*part, "_bucket"], "left")
-    out = joined.withColumns({n: F.coalesce(f"_l_{n}", f"_c_{n}") for n in values})
-    return out.drop("_bucket", *[f"{p}{n}" for n in values for p in ("_v_", "_l_", "_c_")])
+    found = {n: F.coalesce(f"_l_{n}", f"_c_{n}") for n in (*last, *ahead)}
+    out = joined.withColumns({n: c["v"] if n in ahead else c for n, c in found.items()})
+    return out.drop("_bucket", *[f"{p}{n}" for n in found for p in ("_v_", "_l_", "_c_")])
 
 
-def next_value(
-    df: DataFrame, part: Sequence[str], seq: str, value: str, out: str, *, width: int = WIDTH
+def running_last(
+    df: DataFrame,
+    part: Sequence[str],
+    seq: str,
+    values: Mapping[str, Column],
+    *,
+    inclusive: bool,
+    width: int = WIDTH,
 ) -> DataFrame:
-    """`value` of the next row of the same `part` in the order of `seq`."""
-    staged = df.withColumn("_bucket", F.floor(F.col(seq) / F.lit(width)))
-    near = Window.partitionBy(*part, "_bucket").orderBy(seq)
-    local = staged.withColumn("_near", F.lead(F.struct(F.col(value).alias("v"))).over(near))
-    firsts = staged.groupBy(*part, "_bucket").agg(F.min_by(F.struct(F.col(value).alias("v")), seq).alias("_first"))
-    far = Window.partitionBy(*part).orderBy("_bucket")
-    ahead = firsts.select(*part, "_bucket", F.lead("_first").over(far).alias("_far"))
-    joined = local.join(ahead, [*part, "_bucket"], "left")
-    return joined.withColumn(out, F.coalesce("_near", "_far")["v"]).drop("_bucket", "_near", "_far")
+    """The last non-null of each value before each row (`inclusive`: up to it)."""
+    if inclusive:
+        return ordered_scan(df, part, seq, upto=values, width=width)
+    return ordered_scan(df, part, seq, before=values, width=width)
 
 
 def number_within(

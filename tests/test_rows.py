@@ -187,7 +187,7 @@ def test_bucketed_scans_equal_plain_order(spark):
     for width in (7, 1 << 20):
         last = {(r.g, r.s): r.p for r in spread.running_last(df, ["g"], "s", {"p": F.col("v")}, inclusive=False, width=width).collect()}
         upto = {(r.g, r.s): r.p for r in spread.running_last(df, ["g"], "s", {"p": F.col("v")}, inclusive=True, width=width).collect()}
-        nxt = {(r.g, r.s): r.n for r in spread.next_value(df, ["g"], "s", "s", "n", width=width).collect()}
+        nxt = {(r.g, r.s): r.n for r in spread.ordered_scan(df, ["g"], "s", ahead={"n": F.col("s")}, width=width).collect()}
         num = {(r.g, r.s): r.n for r in spread.number_within(df, ["g"], "s", "n", width=width).collect()}
         for g in "ab", "hot":
             seen = None
@@ -332,3 +332,17 @@ def test_versions_are_immutable(spark, tmp_path):
     assert versions.load_version(spark, path, "c2", ["v"]).columns == ["v"]
     some = spark.createDataFrame([("c2",)], "commit_id string")
     assert [(r.commit_id, r.v) for r in versions.load_versions(spark, path, some).collect()] == [("c2", "b")]
+
+
+def test_answers_find_keys_with_separators(spark):
+    schema = "p string, q string, a string"
+    keys = [("x:y", "z"), ("x", "y:z"), ("back\\", "slash"), ("back", "\\:slash"), ("", "")]
+    base, ours, theirs = (spark.createDataFrame([(*k, v) for k in keys], schema) for v in "bot")
+    conflicts = merge.merge3(base, ours, theirs, ["p", "q"], ["a"]).conflicts.collect()
+    assert len({r.conflict_id for r in conflicts}) == len(keys)
+    answers = spark.createDataFrame(
+        [(r.conflict_id, "custom", f"{r.p}+{r.q}") for r in conflicts], "conflict_id string, choice string, custom string"
+    )
+    got = merge.merge3(base, ours, theirs, ["p", "q"], ["a"], answers)
+    assert {(r.p, r.q): r.a for r in got.merged.collect()} == {k: f"{k[0]}+{k[1]}" for k in keys}
+    assert got.conflicts.isEmpty() and got.resolution_problems.isEmpty()
