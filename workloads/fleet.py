@@ -369,6 +369,79 @@ def catalog_merge_resolved(d):
     return _flat(_fleet_merge(d, d["fleet_answers"]).merged.columns).drop("position")
 
 
+def _canonical(x: str) -> str:
+    return f"({x}.kind || '|' || coalesce(cast({x}.c1 AS string), '') || '|' || coalesce(cast({x}.ref_table_id AS string), '') || '|' || coalesce(cast({x}.r1 AS string), '') || '|' || {x}.on_delete || '|' || {x}.expr)"
+
+
+def _member_sql(attr: str, ident: str, canon, prefix: str, cls: str, kind: str) -> str:
+    """Constraints or indexes merged by definition and name, with conflicts."""
+    src = lambda s: f"""(SELECT c.project_id, c.table_id, c.{ident} AS id, c.name AS n, {canon('c')} AS d, c.ordinal, {kind} AS kind, m.mode
+  FROM {{{attr}_{s}}} c JOIN modes m ON m.project_id = c.project_id AND m.table_id = c.table_id)"""
+    split = lambda p: f"(mode = 'merge' AND hb AND ho AND ht AND o_{p} <> t_{p} AND b_{p} <> o_{p} AND b_{p} <> t_{p})"
+    value = lambda p: f"""CASE WHEN mode = 'ours' THEN o_{p} WHEN mode = 'theirs' THEN t_{p} WHEN hb AND ho AND ht THEN
+   CASE WHEN {split(p)} THEN o_{p} WHEN b_{p} = o_{p} THEN t_{p} ELSE o_{p} END WHEN ho THEN o_{p} ELSE t_{p} END"""
+    fields = ", ".join(f"{s}.{f} AS {s}_{f}" for s in "bot" for f in ("n", "d", "ordinal", "kind"))
+    kt = "cast(project_id AS string) || ':' || cast(table_id AS string) || ':' || cast(id AS string)"
+    return f"""xj AS (SELECT coalesce(o.project_id, t.project_id, b.project_id) AS project_id, coalesce(o.table_id, t.table_id, b.table_id) AS table_id,
+  coalesce(o.id, t.id, b.id) AS id, coalesce(o.mode, t.mode, b.mode) AS mode, b.id IS NOT NULL AS hb, o.id IS NOT NULL AS ho, t.id IS NOT NULL AS ht, {fields}
+  FROM {src('base')} b FULL JOIN {src('ours')} o ON b.project_id = o.project_id AND b.table_id = o.table_id AND b.id = o.id
+  FULL JOIN {src('theirs')} t ON coalesce(b.project_id, o.project_id) = t.project_id AND coalesce(b.table_id, o.table_id) = t.table_id AND coalesce(b.id, o.id) = t.id),
+xk AS (SELECT *, {kt} AS kt, (b_n <> o_n OR b_d <> o_d) AS d_o, (b_n <> t_n OR b_d <> t_d) AS d_t FROM xj WHERE mode <> 'gone'),
+xm AS (SELECT project_id, table_id, id, {value('n')} AS name, {value('d')} AS d, coalesce(o_kind, t_kind) AS kind,
+  CASE WHEN mode <> 'merge' OR hb THEN 0 WHEN ho THEN 1 ELSE 2 END AS origin,
+  CASE WHEN mode = 'ours' THEN o_ordinal WHEN mode = 'theirs' THEN t_ordinal ELSE coalesce(b_ordinal, o_ordinal, t_ordinal) END AS ord
+  FROM xk WHERE (mode = 'ours' AND ho) OR (mode = 'theirs' AND ht) OR (mode = 'merge' AND ((hb AND ho AND ht) OR NOT hb OR (ho AND NOT ht AND d_o)))),
+xc AS (SELECT project_id, '{prefix}:' || kt AS conflict_id, '{cls}' AS class FROM xk WHERE {split('d')}
+  UNION ALL SELECT project_id, '{prefix}_name:' || kt, 'rename_rename' FROM xk WHERE {split('n')}
+  UNION ALL SELECT project_id, '{prefix}_existence:' || kt, 'delete_modify' FROM xk
+   WHERE mode = 'merge' AND ((hb AND NOT ho AND ht AND d_t) OR (hb AND ho AND NOT ht AND d_o)))"""
+
+
+_CONSTRAINT_MERGE = _member_sql("constraints", "constraint_id", _canonical, "constraint", "constraint_constraint", "c.kind")
+_KEPT = """once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY project_id, table_id, d ORDER BY origin, ord, id) AS rn FROM xm) WHERE rn = 1),
+keys AS (SELECT *, row_number() OVER (PARTITION BY project_id, table_id ORDER BY origin, ord, id) AS nth FROM once k WHERE kind = 'primary_key'
+  AND NOT EXISTS (SELECT 1 FROM {constraints_base} b WHERE b.project_id = k.project_id AND b.table_id = k.table_id AND b.kind = 'primary_key'))"""
+_INDEX_MERGE = _member_sql(
+    "indexes",
+    "index_id",
+    lambda x: f"(cast({x}.i1 AS string) || '|' || cast({x}.i2 AS string) || '|' || cast({x}.is_unique AS string) || {x}.method)",
+    "index",
+    "index_index",
+    "''",
+)
+
+
+@query(
+    "catalog_merge_constraints",
+    f"""WITH {_MERGE}, {_CONSTRAINT_MERGE}, {_KEPT} SELECT project_id, table_id, id AS constraint_id, name, kind,
+  cast(row_number() OVER (PARTITION BY project_id, table_id ORDER BY origin, ord, id) AS int) AS ordinal
+FROM once WHERE id NOT IN (SELECT id FROM keys WHERE nth = 2)""",
+)
+def catalog_merge_constraints(d):
+    found = _fleet_merge(d).merged.constraints
+    return found.select("project_id", "table_id", "constraint_id", "name", "kind", "ordinal")
+
+
+@query("catalog_merge_indexes", f"WITH {_MERGE}, {_INDEX_MERGE} SELECT project_id, table_id, id AS index_id, name FROM xm")
+def catalog_merge_indexes(d):
+    return _fleet_merge(d).merged.indexes.select("project_id", "table_id", "index_id", "name")
+
+
+@query(
+    "member_conflicts",
+    f"""WITH {_MERGE}, {_CONSTRAINT_MERGE}, {_KEPT}
+SELECT * FROM xc UNION ALL SELECT project_id, 'pk:' || cast(project_id AS string) || ':' || cast(table_id AS string), 'pk_pk' FROM keys WHERE nth = 2""",
+)
+def member_conflicts(d):
+    found = _fleet_merge(d).conflicts.where("conflict_id LIKE 'constraint%' OR class = 'pk_pk'")
+    return found.select("project_id", "conflict_id", "class")
+
+
+@query("index_conflicts", f"WITH {_MERGE}, {_INDEX_MERGE} SELECT * FROM xc")
+def index_conflicts(d):
+    return _fleet_merge(d).conflicts.where("conflict_id LIKE 'index%'").select("project_id", "conflict_id", "class")
+
+
 @query(
     "name_collisions",
     """SELECT project_id, table_id, cast(table_id AS string) AS object_id, 'table' AS scope FROM (SELECT *, row_number() OVER (PARTITION BY project_id, name ORDER BY ordinal, table_id) AS rn FROM {tables_broken}) WHERE rn > 1
@@ -382,10 +455,6 @@ def name_collisions(d):
 # --- evolution plans ----------------------------------------------------------
 
 
-def _canonical(x: str) -> str:
-    return f"({x}.kind || '|' || coalesce(cast({x}.c1 AS string), '') || '|' || coalesce(cast({x}.ref_table_id AS string), '') || '|' || coalesce(cast({x}.r1 AS string), '') || '|' || {x}.on_delete || '|' || {x}.expr)"
-
-
 def plan_sql(frm: str, to: str) -> str:
     both = f"""bt AS (SELECT coalesce(a.project_id, b.project_id) AS project_id, coalesce(a.table_id, b.table_id) AS table_id, a.name AS fn, b.name AS tn
   FROM {{tables_{frm}}} a FULL JOIN {{tables_{to}}} b ON {_K})"""

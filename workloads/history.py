@@ -141,4 +141,5 @@ FROM {events} GROUP BY 1, 2""",
 )
 def audit_windows(d):
     found = history.audit_windows(d["events"], "1 hour", ["event_type"], "props", "k bigint")
-    return found.withColumn("window_start", F.unix_timestamp(F.col("window_start").cast("timestamp")))
+    seconds = F.expr("timestampdiff(SECOND, timestamp_ntz'1970-01-01', cast(window_start AS timestamp_ntz))")
+    return found.withColumn("window_start", seconds)
