@@ -25,6 +25,8 @@ from palimpsest.operators.catalog import (
     Catalog,
     canonical_constraint,
     canonical_index,
+    describe_constraints,
+    describe_indexes,
     plain_columns,
     typed_columns,
 )
@@ -403,6 +405,29 @@ def merge_catalogs(base: Catalog, ours: Catalog, theirs: Catalog, resolutions: D
     return CatalogMerge(merged, conflicts, problems)
 
 
+def shown_conflicts(conflicts: DataFrame, base: Catalog, ours: Catalog, theirs: Catalog) -> DataFrame:
+    """Conflicts with definitions in names, each side in its own: only the
+    constraints and indexes that are in conflict are described."""
+    out = conflicts
+    for attr, ident, describe in (
+        ("constraints", "constraint_id", describe_constraints),
+        ("indexes", "index_id", describe_indexes),
+    ):
+        prefix = "constraint:" if attr == "constraints" else "index:"
+        mine = F.col("conflict_id").startswith(prefix)
+        wanted = conflicts.where(mine).select(*SCOPE, "object_id")
+        for side, cat in zip(SIDES, (base, ours, theirs)):
+            rows = getattr(cat, attr)
+            some = rows.withColumn("object_id", F.col(ident).cast("string")).join(wanted, [*SCOPE, "object_id"], "left_semi")
+            told = describe(some.select(*rows.columns), cat).select(
+                *SCOPE, F.col(ident).cast("string").alias("object_id"), F.col("definition").alias("_told")
+            )
+            joined = out.join(told, [*SCOPE, "object_id"], "left")
+            value = F.when(mine, F.coalesce("_told", f"{side}_value")).otherwise(F.col(f"{side}_value"))
+            out = joined.withColumn(f"{side}_value", value).select(*conflicts.columns)
+    return out
+
+
 def _renumbered(rows: DataFrame, ident: str, fields: list[str]) -> DataFrame:
     numbered = number_within(rows, SCOPE, "ordinal_of", "place", leading=["origin"], tie=[ident])
     return numbered.select(*SCOPE, ident, "name", *fields, F.col("place").alias("ordinal"))

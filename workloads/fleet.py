@@ -9,6 +9,7 @@ from palimpsest.functions.types import render_type
 from palimpsest.operators import catalog_checks, catalog_diff, catalog_merge, catalog_replay
 from palimpsest.operators.catalog import describe_constraints, describe_indexes
 from palimpsest.plans import migration
+from palimpsest.session import cut
 from palimpsest.sources.snapshots import explode_snapshots, nest_snapshots
 from workloads.data import Data, oracle
 from workloads.fleet_data import catalog, snapshots
@@ -442,6 +443,23 @@ def index_conflicts(d):
     return _fleet_merge(d).conflicts.where("conflict_id LIKE 'index%'").select("project_id", "conflict_id", "class")
 
 
+def _told(side: str) -> str:
+    return "(" + constraint_text(f"{{constraints_{side}}}", f"{{columns_{side}}}", f"{{tables_{side}}}") + ")"
+
+
+@query(
+    "conflicts_shown",
+    f"""WITH {_MERGE}, {_CONSTRAINT_MERGE} SELECT xc.project_id, xc.conflict_id, b.definition AS base_value, o.definition AS ours_value, t.definition AS theirs_value
+FROM xk JOIN xc ON xc.conflict_id = 'constraint:' || xk.kt JOIN {_told('base')} b ON b.project_id = xk.project_id AND b.constraint_id = xk.id
+JOIN {_told('ours')} o ON o.project_id = xk.project_id AND o.constraint_id = xk.id JOIN {_told('theirs')} t ON t.project_id = xk.project_id AND t.constraint_id = xk.id""",
+)
+def conflicts_shown(d):
+    sides = [catalog(d, s) for s in ("base", "ours", "theirs")]
+    found = cut(catalog_merge.merge_catalogs(*sides).conflicts)
+    shown = catalog_merge.shown_conflicts(found, *sides).where("class = 'constraint_constraint'")
+    return shown.select("project_id", "conflict_id", "base_value", "ours_value", "theirs_value")
+
+
 @query(
     "name_collisions",
     """SELECT project_id, table_id, cast(table_id AS string) AS object_id, 'table' AS scope FROM (SELECT *, row_number() OVER (PARTITION BY project_id, name ORDER BY ordinal, table_id) AS rn FROM {tables_broken}) WHERE rn > 1
