@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from palimpsest.functions import words
 from palimpsest.functions.types import render_type
 from palimpsest.operators import catalog_checks, catalog_diff, catalog_merge, catalog_replay
 from palimpsest.operators.catalog import describe_constraints, describe_indexes
@@ -595,6 +596,25 @@ def _log(d):
     return d["fleet_edits"].withColumns({f.name: F.lit(None).cast(f.dataType) for f in schema.fields})
 
 
+@query(
+    "oplog_messages",
+    """WITH e AS (SELECT e.project_id, e.seq, CASE op WHEN 'rename_column' THEN 'rename ' || p || ' → ' || e.name WHEN 'retype_column' THEN 'retype ' || p || ' → ' || e.type
+  WHEN 'set_nullable' THEN 'set ' || p || ' nullable' WHEN 'set_default' THEN 'set default on ' || p WHEN 'drop_column' THEN 'drop column ' || p
+  ELSE 'add column ' || t || '.' || e.name END AS text FROM (SELECT e.*, t.name AS t, t.name || '.' || coalesce(c.name, '?') AS p FROM {fleet_edits} e
+  JOIN {tables_base} t ON t.project_id = e.project_id AND t.table_id = e.table_id LEFT JOIN {columns_base} c ON c.column_id = e.column_id) e)
+SELECT project_id, string_agg(text, '; ' ORDER BY seq) AS message FROM e GROUP BY project_id""",
+)
+def oplog_messages(d):
+    """The message of one commit per project: its edits in words, in order."""
+    tables = d["tables_base"].select("project_id", "table_id", F.col("name").alias("tab"))
+    columns = d["columns_base"].select("project_id", "table_id", "column_id", F.col("name").alias("col"))
+    edits = d["fleet_edits"].join(tables, ["project_id", "table_id"]).join(columns, ["project_id", "table_id", "column_id"], "left")
+    target = F.concat("tab", F.lit("."), F.when(F.col("op") == "add_column", F.col("name")).otherwise(F.coalesce("col", F.lit("?"))))
+    value = F.coalesce("name", "type", F.col("nullable").cast("string"), "default_expr")
+    told = edits.withColumn("text", words.edit_description(F.col("op"), F.col("tab"), target, value))
+    return words.commit_messages(told, ["project_id"])
+
+
 # --- refs and history ---------------------------------------------------------
 
 

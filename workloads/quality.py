@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palimpsest.functions import cells
 from palimpsest.operators import evolve, integrity, merge, referential, rekey, replay
 from palimpsest.operators.integrity import Check, ForeignKey, NotNull, Unique
-from palimpsest.sources import ingest
+from palimpsest.session import shared_dir
+from palimpsest.sources import ingest, versions
 from workloads import rows
 from workloads.data import Data, oracle
 
@@ -424,3 +427,34 @@ def fingerprint_orders(d):
     return a.join(b, "cust").select(
         "cust", F.col("a.n_rows").alias("n_base"), F.col("b.n_rows").alias("n_ours"), (F.col("a") == F.col("b")).alias("same")
     )
+
+
+# --- versions in storage ------------------------------------------------------
+
+
+@query(
+    "versions_orders",
+    """SELECT 'base' AS commit_id, k, status, cast(price AS string) AS price FROM {orders_base}
+UNION ALL SELECT 'theirs', k, status, cast(price AS string) FROM {orders_theirs}""",
+)
+def versions_orders(d):
+    """Three versions written once each; two of them read back together."""
+    path = f"{shared_dir(d.spark).rstrip('/')}/versions-{uuid.uuid4().hex}"
+    for side in ("base", "ours", "theirs"):
+        versions.write_version(d[f"orders_{side}"], path, side)
+    wanted = d.spark.createDataFrame([("base",), ("theirs",)], "commit_id string")
+    return versions.load_versions(d.spark, path, wanted).select("commit_id", "k", "status", F.col("price").cast("string").alias("price"))
+
+
+@query(
+    "merged_coverage_customer",
+    f"""WITH q AS ({_FAULTS}), t AS (SELECT row_key, construct, object, detail FROM q UNION SELECT cast(c_custkey AS string), 'too_long', 'c_mktsegment', c_mktsegment
+  FROM {{customer_raw}} WHERE length(c_mktsegment) > 9 UNION SELECT NULL, 'unmapped_column', x, y FROM (VALUES ('c_name', 'string (not imported)'),
+  ('c_acctbal', 'string (not imported)')) v(x, y) UNION SELECT NULL, 'unmapped_column', 'c_nationkey', 'int (not imported)')
+SELECT construct, object, count(*) AS n FROM t GROUP BY construct, object""",
+)
+def merged_coverage_customer(d):
+    """What two loads of one table left out stays known through their merge."""
+    wanted = [ingest.Column("c_custkey", "bigint", False), ingest.Column("c_mktsegment", "varchar(9)")]
+    other = ingest.ingest(d["customer_raw"], ["c_custkey"], wanted)[1]
+    return ingest.coverage(ingest.carried_quarantine({"ours": _ingest(d)[1], "theirs": other}))
