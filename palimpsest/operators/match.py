@@ -195,12 +195,17 @@ def assign(candidates: DataFrame, scope: list[str]) -> DataFrame:
         alive = cut(left)
 
 
-def _decided(candidates: DataFrame, decisions: DataFrame | None, scope: list[str]) -> tuple[DataFrame | None, DataFrame]:
-    """`(accepted assignments, candidates open for a proposal)`."""
+def _decided(
+    candidates: DataFrame, decisions: DataFrame | None, scope: list[str], kind: str
+) -> tuple[DataFrame | None, DataFrame]:
+    """`(accepted assignments, candidates open for a proposal)`. Of two answers
+    for one object the acceptance counts."""
     if decisions is None:
         return None, candidates
-    answers = decisions.groupBy("old_id").agg(F.max("rename").alias("rename"))
-    marked = cut(candidates.join(answers, "old_id", "left"))
+    mine = decisions.where(F.col("kind") == kind) if "kind" in decisions.columns else decisions
+    on = [c for c in (PROJECT, "old_id") if c in decisions.columns]
+    answers = mine.groupBy(*on).agg(F.max("rename").alias("rename"))
+    marked = cut(candidates.join(answers, on, "left"))
     accepted = assign(marked.where(F.col("rename")).drop("rename"), scope)
     claims = accepted.select(*scope, "new_id", F.col("old_order").alias("claimed_at"))
     undecided = marked.where(F.col("rename").isNull()).join(claims, [*scope, "new_id"], "left")
@@ -235,17 +240,20 @@ class Matching:
 
 
 def rename_proposals(head: Catalog, new: Catalog, decisions: DataFrame | None = None) -> Matching:
-    """Match by name, then propose renames; accepted decisions move identity."""
+    """Match by name, then propose renames; accepted decisions move identity.
+
+    `decisions(old_id, rename)` may carry `kind` (table or column) and
+    `project_id` where ids are not unique across them."""
     tables = cut(match_tables(head.tables, new.tables))
     found = table_candidates(head, new, tables)
-    accepted, open_ = _decided(found, decisions, [PROJECT])
+    accepted, open_ = _decided(found, decisions, [PROJECT], "table")
     proposals = _proposals(open_, "table", [PROJECT], F.lit(None).cast("string"))
     if accepted is not None:
         tables = cut(tables.unionByName(accepted.select(PROJECT, "old_id", "new_id")))
     columns = cut(match_columns(head.columns, new.columns, tables))
     scope = [PROJECT, "old_table", "new_table"]
     found = column_candidates(head, new, tables, columns)
-    accepted, open_ = _decided(found, decisions, scope)
+    accepted, open_ = _decided(found, decisions, scope, "column")
     named = new.tables.select(PROJECT, F.col(TABLE).alias("new_table"), F.col("name").alias("_table"))
     placed = open_.join(named, [PROJECT, "new_table"])
     proposals = proposals.unionByName(_proposals(placed, "column", scope, F.col("_table")))
