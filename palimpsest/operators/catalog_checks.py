@@ -154,7 +154,7 @@ def _index_problems(cat: Catalog, in_table) -> list[DataFrame]:
     homes = cat.tables.select(*SCOPE, F.col("name").alias("table"), F.col("ordinal").alias("t"))
     placed = lookup(contested, homes, SCOPE, ["index_id"], salts=TABLE_SALTS)
     ordered = placed.withColumn("seq", F.col("t") * ORDINALS + F.col("ordinal"))
-    before = running_last(ordered, [PROJECT, "name"], "seq", {"other": F.struct("table")}, inclusive=False)
+    before = running_last(ordered, [PROJECT, "name"], "seq", {"other": F.struct("table")}, inclusive=False, width=ORDINALS << 14)
     repeated = before.where(F.col("other").isNotNull())
     parts = cat.indexes.select(*SCOPE, "index_id", "name", F.explode("columns.column_id").alias("column_id"))
     lost = parts.join(cat.columns.select(*SCOPE, "column_id"), [*SCOPE, "column_id"], "left_anti")

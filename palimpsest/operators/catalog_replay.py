@@ -28,6 +28,7 @@ from palimpsest.operators.spread import WIDTH, number_within, running_last
 from palimpsest.session import cut
 
 BASE = -1
+MADE_AT_ONCE = 1 << 12  # more columns than one table can be created with
 OPS = [
     "create_table",
     "drop_table",
@@ -306,8 +307,10 @@ class _Replay:
 
         names = _union([self.table_makers.select(*SCOPE, "seq", "name"), self._of("rename_table").select(*SCOPE, "seq", "name")])
         last = names.groupBy(*SCOPE).agg(F.max_by("name", "seq").alias("name"))
-        tables = standing(self.tables).join(last, SCOPE)
-        tables = number_within(tables, [PROJECT], "ordinal", "place", leading=["born"], tie=[TABLE]).select(
+        # New objects follow those of the base, in the order they were made.
+        new = (F.col("born") >= 0).cast("int").alias("new")
+        tables = standing(self.tables).join(last, SCOPE).select("*", new)
+        tables = number_within(tables, [PROJECT], "ordinal", "place", leading=["new"], tie=[TABLE]).select(
             *SCOPE, "name", F.col("place").cast(self.base.tables.schema["ordinal"].dataType).alias("ordinal")
         )
 
@@ -332,11 +335,15 @@ class _Replay:
         )
         props = ("name", "type", "nullable", "default")
         final = events.groupBy(*key).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq")))["v"].alias(c) for c in props])
-        columns = standing(self.columns).join(final, key)
-        columns = number_within(columns, SCOPE, "place", "position", leading=["born"], tie=["column_id"])
+        rank = F.when(F.col("born") < 0, F.col("place")).otherwise(F.col("born") * MADE_AT_ONCE + F.col("place")).alias("rank")
+        columns = standing(self.columns).join(final, key).select("*", new, rank)
+        columns = number_within(
+            columns, SCOPE, "rank", "position", leading=["new"], tie=["column_id"], width=self.width * MADE_AT_ONCE
+        )
 
         def members_of(df: DataFrame, ident: str, fields: list[str], like: DataFrame) -> DataFrame:
-            placed = number_within(standing(df), SCOPE, "place", "ordinal", leading=["born"], tie=[ident])
+            ranked = standing(df).select("*", new, F.greatest("born", "place").alias("rank"))
+            placed = number_within(ranked, SCOPE, "rank", "ordinal", leading=["new"], tie=[ident])
             filled = [F.coalesce(f, F.lit("")).alias(f) if f in ("name", "on_delete", "on_update", "expr", "method") else F.col(f) for f in fields]
             return placed.select(*SCOPE, ident, *filled, F.col("ordinal").cast(like.schema["ordinal"].dataType).alias("ordinal"))
 

@@ -2,7 +2,8 @@
 
 A plain window over a hot group sorts that group in one task. The functions
 here cut a group into ordered buckets, work inside the buckets in parallel, and
-carry only one summary row per bucket across.
+carry only one summary row per bucket across. `width` is the length of a bucket in units of the order
+column: choose it so that a bucket of a hot group holds about a million rows.
 """
 
 from __future__ import annotations

@@ -3,6 +3,8 @@ neighbour that must merge, all as projects of one merge."""
 
 from __future__ import annotations
 
+import random
+
 from palimpsest.operators.catalog_diff import catalog_diff
 from palimpsest.operators.catalog_merge import merge_catalogs
 from tests.small import (
@@ -214,3 +216,38 @@ def test_fast_forward_is_identity(spark):
         merge = merge_catalogs(base, a, b)
         assert merge.conflicts.isEmpty()
         assert catalog_diff(ours, merge.merged).isEmpty()
+
+
+def test_identical_and_disjoint_random_edits(spark):
+    """The same edits on both sides never conflict; edits in different tables
+    conflict only where a global name is claimed twice."""
+    rng = random.Random(21)
+    base, same, left, right = {}, {}, {}, {}
+
+    def change(s, table, tag):
+        cols = s[table]["columns"]
+        for c in list(cols):
+            what = rng.randrange(6)
+            if what == 0:
+                cols[c]["name"] = f"{tag}{c}"
+            elif what == 1:
+                cols[c].update(base="text", params=[])
+            elif what == 2:
+                cols[c]["default"] = f"'{tag}'"
+            elif what == 3 and len(cols) > 1:
+                del cols[c]
+        if rng.random() < 0.3:
+            s[table]["name"] = rng.choice(["x", "y"])
+
+    for p in range(60):
+        base[p] = shop()
+        same[p] = edited(base[p], lambda s: [change(s, t, "o") for t in (USERS, ORDERS)])
+        left[p] = edited(base[p], lambda s: change(s, USERS, "l"))
+        right[p] = edited(base[p], lambda s: change(s, ORDERS, "r"))
+    cat = {n: catalog(spark, d) for n, d in {"base": base, "same": same, "left": left, "right": right}.items()}
+    merge = merge_catalogs(cat["base"], cat["same"], cat["same"])
+    assert merge.conflicts.isEmpty() and catalog_diff(cat["same"], merge.merged).isEmpty()
+    apart = merge_catalogs(cat["base"], cat["left"], cat["right"])
+    clash = {p for p in base if left[p][USERS]["name"] == right[p][ORDERS]["name"]}
+    assert {(r.project_id, r["class"]) for r in apart.conflicts.collect()} == {(p, "name_collision") for p in clash}
+    assert clash and len(clash) < 60
