@@ -6,8 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import exact_dedup, simhash
-from palimpsest.llm.common import documents
+from palimpsest.llm import exact_dedup, knn_quality, packing, rank_language, simhash
+from palimpsest.llm.common import documents, table
+
+
+def op1_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality, learned from labelled texts that are not held out."""
+    docs = documents(spark, sf_dir)
+    return knn_quality.score(docs, knn_quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,14 +21,28 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
 
+def op4_rank_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language, learned from those that are not held out."""
+    docs = documents(spark, sf_dir)
+    return rank_language.identify(docs, rank_language.profiles(docs))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its fingerprint and component of near copies."""
     return simhash.near_groups(documents(spark, sf_dir))
 
 
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its sequence of at most 4096 tokens."""
+    return packing.pack(documents(spark, sf_dir), with_ids=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_knn_quality": op1_knn_quality,
     "op2_exact_dedup": op2_exact_dedup,
+    "op4_rank_language": op4_rank_language,
     "op5_simhash": op5_simhash,
+    "op9_best_fit_packing": op9_best_fit_packing,
 }
 
 ORACLES: dict[str, str] = {
