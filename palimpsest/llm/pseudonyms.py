@@ -20,7 +20,8 @@ so records stay linked without a table of values.
 
 The Feistel network works on any number of values: it permutes the next larger
 square and walks on until it is back inside. Rounds are keyed BLAKE2b. The key
-is a parameter; whoever has it can take pseudonyms back (`undo`).
+is a parameter; whoever has it can take pseudonyms back (`undo`), but for dates
+with slashes whose day came first: the pseudonym may look as if its month did.
 
 Defined results: null stays null, an empty text empty. Text outside found values
 is untouched. Overlapping finds: the earlier start, then the order above.

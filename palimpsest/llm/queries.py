@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import exact_dedup, knn_quality, packing, rank_language, simhash
+from palimpsest.llm import exact_dedup, knn_quality, minhash, mixture, packing, pseudonyms, rank_language, secret_ledger, simhash
 from palimpsest.llm.common import documents, table
 
 
@@ -21,6 +21,11 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
 
+def op3_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with pseudonyms for its personal values, and how many of each kind it has."""
+    return pseudonyms.pseudonymise(documents(spark, sf_dir))
+
+
 def op4_rank_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's language, learned from those that are not held out."""
     docs = documents(spark, sf_dir)
@@ -32,19 +37,73 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(documents(spark, sf_dir))
 
 
+def op6_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its cell's calibrated weight, its probability and whether it is drawn."""
+    return mixture.mix(documents(spark, sf_dir))
+
+
+def op8_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the spans of its secrets, scanned once for each distinct text."""
+    return secret_ledger.secrets(documents(spark, sf_dir))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document with its sequence of at most 4096 tokens."""
     return packing.pack(documents(spark, sf_dir), with_ids=False)
 
 
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, with their likeness and that of the next document."""
+    return minhash.edited_fingerprints(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_knn_quality": op1_knn_quality,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_pseudonyms": op3_pseudonyms,
     "op4_rank_language": op4_rank_language,
     "op5_simhash": op5_simhash,
+    "op6_mixture": op6_mixture,
+    "op8_secret_ledger": op8_secret_ledger,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_minhash": op10_minhash,
 }
 
+#: Pattern, group that must have so many characters, and the places of its matches, in SQL.
+_ASSIGN = """([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"'']?\\x20*[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)"""
+_KINDS = [
+    ("assign", _ASSIGN, 2, 8),
+    ("access", "AKIA[A-Z0-9]+", 0, 16),
+    ("hex", "[0-9a-f]+", 0, 32),
+    ("pem", "-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----", 0, 0),
+    ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 0),
+    ("forge", "gh[pousr]_[A-Za-z0-9]{36,}", 0, 0),
+]
+_SECRETS = " UNION ALL ".join(
+    f"""
+    SELECT doc_id, {rank} AS rank, '{kind}' AS kind,
+           (list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))::BIGINT AS start,
+           length(m[i]) AS n, length(v[i]) >= {least} AS ok
+    FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (
+        SELECT doc_id, regexp_extract_all(text, '{pattern}', 0) AS m, regexp_extract_all(text, '{pattern}', {group}) AS v,
+               string_split_regex(text, '{pattern}') AS p
+        FROM d))"""
+    for rank, (kind, pattern, group, least) in enumerate(_KINDS)
+)
+_SECRET_SQL = f"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+    s AS (SELECT doc_id, rank, kind, start, concat(kind, ':', start, ':', start + n) AS span FROM ({_SECRETS}) WHERE ok),
+    g AS (
+        SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+               count(*) FILTER (kind = 'hex') AS n_hex,
+               string_agg(span, ',' ORDER BY start, rank) FILTER (rank < 3) AS base, string_agg(span, ',' ORDER BY start, rank) AS spans
+        FROM s GROUP BY doc_id
+    )
+    SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+           sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+    FROM d LEFT JOIN g USING (doc_id)
+"""
+
 ORACLES: dict[str, str] = {
     "op2_exact_dedup": r"""
         WITH d AS (
@@ -57,4 +116,5 @@ ORACLES: dict[str, str] = {
         )
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
     """,
+    "op8_secret_ledger": _SECRET_SQL,
 }
