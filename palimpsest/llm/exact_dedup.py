@@ -22,7 +22,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -157,14 +157,18 @@ def _id(value) -> int | None:
     return None if pd.isna(value) else int(value)
 
 
+def digest(text: Column) -> Column:
+    """SHA-256 of a text without its white space."""
+    bare = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", "")
+    return F.sha2(bare.cast("binary"), 256)
+
+
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_points (code points of the original text) and text_sha256 of the text without its white space."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    bare = F.regexp_replace(text, r"[\x20\x09-\x0D]+", "")
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
-        F.length(text).cast("long").alias("n_points"),
-        F.sha2(bare.cast("binary"), 256).alias("text_sha256"),
+        F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_points"),
+        digest(F.col("text")).alias("text_sha256"),
     )
 
 

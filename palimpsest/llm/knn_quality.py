@@ -163,20 +163,35 @@ def singular_vectors(rows: np.ndarray, rank: int) -> np.ndarray:
     return np.ascontiguousarray(np.linalg.svd(probes, full_matrices=False)[0][:, :rank].astype(np.float32))
 
 
+def _scores(texts: list[bytes | None], model: Model | None, known: Features) -> np.ndarray:
+    if model is None:
+        return np.array([0.5 if (t or b"").split() else 0.0 for t in texts])
+    return vote(latent(texts, model.projection, known), model)
+
+
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of `docs`."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, model = Features(), shared.value
+        known = Features()
         for batch in small_batches(batches):
-            texts = batch.column(1).to_pylist()
-            if model is None:
-                scores = np.array([0.5 if (t or b"").split() else 0.0 for t in texts])
-            else:
-                scores = vote(latent(texts, model.projection, known), model)
+            scores = _scores(batch.column(1).to_pylist(), shared.value, known)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], ["doc_id", "score"])
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     out = plain.mapInArrow(scored, "doc_id long, score double")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, model: Model | None, least: float = 0.5) -> DataFrame:
+    """Rows of `docs`, with all their columns, that score `least` or more; nothing is shuffled."""
+    shared, place = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Features()
+        for batch in small_batches(batches):
+            texts = batch.column(place).cast(pa.binary()).to_pylist()
+            yield batch.filter(pa.array(_scores(texts, shared.value, known) >= least))
+
+    return docs.mapInArrow(kept, docs.schema)

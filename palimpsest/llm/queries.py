@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import exact_dedup, knn_quality, minhash, mixture, packing, pseudonyms, rank_language, secret_ledger, simhash
+from palimpsest.llm import exact_dedup, knn_quality, minhash, mixture, packing, phrase_dedup, pseudonyms, rank_language, secret_ledger, simhash
 from palimpsest.llm.common import documents, table
 
 
@@ -42,6 +42,11 @@ def op6_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mix(documents(spark, sf_dir))
 
 
+def op7_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes of repeated strings of 400 bytes."""
+    return phrase_dedup.summary(phrase_dedup.deduplicated(documents(spark, sf_dir)))
+
+
 def op8_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the spans of its secrets, scanned once for each distinct text."""
     return secret_ledger.secrets(documents(spark, sf_dir))
@@ -64,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_rank_language": op4_rank_language,
     "op5_simhash": op5_simhash,
     "op6_mixture": op6_mixture,
+    "op7_phrase_dedup": op7_phrase_dedup,
     "op8_secret_ledger": op8_secret_ledger,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_minhash": op10_minhash,
