@@ -69,16 +69,16 @@ def row_text(side: str, cols: Sequence[str], schema: T.StructType) -> Column:
 
 
 def key_text(key: Sequence[str], schema: T.StructType) -> Column:
-    """Key columns as one text; the separator is escaped inside strings."""
-    parts = []
-    for k in key:
-        col = F.col(f"`{k}`")
-        if isinstance(schema[k].dataType, T.StringType):
-            col = F.replace(F.replace(col, F.lit("\\"), F.lit("\\\\")), F.lit(":"), F.lit("\\:"))
-        parts.append(col.cast("string"))
+    """Key columns as one text; the separator is escaped inside each, and a null
+    part is written as no value can be."""
+    parts = [F.coalesce(escaped(text(F.col(f"`{k}`"), schema[k].dataType)), F.lit("\\N")) for k in key]
     return F.concat_ws(":", *parts)
 
 
+def escaped(part: Column) -> Column:
+    return F.replace(F.replace(part, F.lit("\\"), F.lit("\\\\")), F.lit(":"), F.lit("\\:"))
+
+
 def key_present(key: Sequence[str]) -> Column:
     return all_of([F.col(f"`{k}`").isNotNull() for k in key])
 

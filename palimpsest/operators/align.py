@@ -89,10 +89,40 @@ def align(
 
 
 def unique_only(aligned: DataFrame, sides: Sequence[str]) -> DataFrame:
-    """Keys that are unique on every side; the others are `key_problems`."""
+    """Keys that are unique on every side; the others are `skipped_keys`."""
     return aligned.where(all_of([F.col(f"n_{s}") <= 1 for s in sides]))
 
 
+def skipped_keys(aligned: DataFrame, sides: Mapping[str, DataFrame], key: Sequence[str]) -> DataFrame:
+    """`(key…, problem, n_<side>…)`: what `unique_only` leaves out of `aligned`, and null keys of the sides."""
+    repeated = aligned.where(any_of([F.col(f"n_{s}") > 1 for s in sides])).select(
+        *key, F.lit("duplicate_key").alias("problem"), *[f"n_{s}" for s in sides]
+    )
+    parts = []
+    for i, df in enumerate(sides.values()):
+        absent = df.where(any_of([F.col(f"`{k}`").isNull() for k in key]))
+        parts.append(absent.select(*key, F.lit(i).cast("tinyint").alias(SIDE)))
+    null = reduce(DataFrame.unionByName, parts).groupBy(*key)
+    counts = null.agg(*[F.count(_on(i, F.lit(1))).alias(f"n_{s}") for i, s in enumerate(sides)])
+    return repeated.unionByName(counts.withColumn("problem", F.lit("null_key")))
+
+
+def by_side(skipped: DataFrame, sides: Sequence[str], key: Sequence[str]) -> DataFrame:
+    """`skipped_keys` as `(side, problem, key…, n)`, one row for each side at fault."""
+    at_fault = F.array_compact(
+        F.array(
+            *[
+                F.when(
+                    F.col(f"n_{s}") > F.when(F.col("problem") == "null_key", 0).otherwise(1),
+                    F.struct(F.lit(s).alias("side"), F.col(f"n_{s}").alias("n")),
+                )
+                for s in sides
+            ]
+        )
+    )
+    return skipped.select(F.explode(at_fault).alias("f"), "problem", *key).select("f.side", "problem", *key, "f.n")
+
+
 def key_problems(sides: Mapping[str, DataFrame], key: Sequence[str]) -> DataFrame:
     """`(side, problem, key…, n)` for repeated and null keys of each side."""
     found = []

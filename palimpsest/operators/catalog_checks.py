@@ -11,7 +11,6 @@ from palimpsest.operators.collisions import collisions, first_holders
 from palimpsest.operators.spread import lookup, running_last
 
 OUT = [PROJECT, "code", "table", "object", "message"]
-ORDINALS = 1 << 20  # objects of one table share a numeric order below this
 
 
 def _label() -> Column:
@@ -153,8 +152,8 @@ def _index_problems(cat: Catalog, in_table) -> list[DataFrame]:
     contested = lookup(cat.indexes, held, [PROJECT, "name"], ["index_id"], "left_semi")
     homes = cat.tables.select(*SCOPE, F.col("name").alias("table"), F.col("ordinal").alias("t"))
     placed = lookup(contested, homes, SCOPE, ["index_id"], salts=TABLE_SALTS)
-    ordered = placed.withColumn("seq", F.col("t") * ORDINALS + F.col("ordinal"))
-    before = running_last(ordered, [PROJECT, "name"], "seq", {"other": F.struct("table")}, inclusive=False, width=ORDINALS << 14)
+    order = {"tie": ["ordinal", "index_id"], "inclusive": False}
+    before = running_last(placed, [PROJECT, "name"], "t", {"other": F.struct("table")}, **order)
     repeated = before.where(F.col("other").isNotNull())
     parts = cat.indexes.select(*SCOPE, "index_id", "name", F.explode("columns.column_id").alias("column_id"))
     lost = parts.join(cat.columns.select(*SCOPE, "column_id"), [*SCOPE, "column_id"], "left_anti")

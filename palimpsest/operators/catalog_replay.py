@@ -28,7 +28,6 @@ from palimpsest.operators.spread import WIDTH, number_within, running_last
 from palimpsest.session import cut
 
 BASE = -1
-MADE_AT_ONCE = 1 << 12  # more columns than one table can be created with
 OPS = [
     "create_table",
     "drop_table",
@@ -335,10 +334,10 @@ class _Replay:
         )
         props = ("name", "type", "nullable", "default")
         final = events.groupBy(*key).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq")))["v"].alias(c) for c in props])
-        rank = F.when(F.col("born") < 0, F.col("place")).otherwise(F.col("born") * MADE_AT_ONCE + F.col("place")).alias("rank")
+        rank = F.when(F.col("born") < 0, F.col("place")).otherwise(F.col("born")).alias("rank")
         columns = standing(self.columns).join(final, key).select("*", new, rank)
         columns = number_within(
-            columns, SCOPE, "rank", "position", leading=["new"], tie=["column_id"], width=self.width * MADE_AT_ONCE
+            columns, SCOPE, "rank", "position", leading=["new"], tie=["place", "column_id"], width=self.width
         )
 
         def members_of(df: DataFrame, ident: str, fields: list[str], like: DataFrame) -> DataFrame:

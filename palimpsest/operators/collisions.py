@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.cells import all_of, key_text
 from palimpsest.operators.merge import usable_answers
-from palimpsest.operators.spread import lookup
+from palimpsest.operators.spread import lookup_large
 from palimpsest.session import cut
 
 
@@ -40,14 +40,14 @@ def collisions(
     `conflict_id`.
     """
     held = first_holders(df, scope, key, order)
-    pairs = lookup(df, held, scope, key)
+    pairs = lookup_large(df, held, scope, key)
     later = pairs.where(F.struct(*key) != F.col("_first"))
     first_text = key_text(key, df.schema)
     flat = later.select(*df.columns, F.col("_first").alias("first"))
-    other = flat.withColumn("_other", first_text)
-    ident = F.concat_ws(":", *[F.col("first")[k].cast("string") for k in key])
+    other = flat.withColumns({"_other": first_text, **{f"_first_{k}": F.col("first")[k] for k in key}})
+    ident = key_text([f"_first_{k}" for k in key], other.schema)
     return other.withColumn("conflict_id", F.concat(F.lit(f"{kind}:"), ident, F.lit(":"), F.col("_other"))).drop(
-        "_other"
+        "_other", *[f"_first_{k}" for k in key]
     )
 
 
@@ -86,7 +86,7 @@ def resolve_collisions(
     no holder is the last.
     """
     held = first_holders(df, scope, key, order).select(*scope)
-    contested = cut(lookup(df, held, scope, key, "left_semi"))
+    contested = cut(lookup_large(df, held, scope, key, "left_semi"))
     untouched = df.join(contested.select(*key), list(key), "left_anti")
     open_parts, kept_parts = [], []
     while True:
@@ -98,7 +98,7 @@ def resolve_collisions(
         swaps = answered.where(F.col("choice") == "theirs")
         winner = cut(swaps.groupBy(*scope).agg(F.min(position).alias("_winner"), F.min("first").alias("_loser")))
         judged = contested.join(answers.drop("first"), list(key), "left")
-        judged = lookup(judged, winner, scope, key, "left")
+        judged = lookup_large(judged, winner, scope, key, "left")
         # Rows up to the new holder are settled in this round, later rows wait.
         waits = F.col("_winner").isNotNull() & (position >= F.col("_winner"))
         loser = F.col("_loser").isNotNull() & (F.struct(*key) == F.col("_loser"))

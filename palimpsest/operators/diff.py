@@ -8,16 +8,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions.cells import comparable, rows_same, same, text
-from palimpsest.operators.align import align, counts_by_key, unique_only
+from palimpsest.operators.align import align, counts_by_key, skipped_keys, unique_only
 
 SIDES = ("frm", "to")
 
 
 def diff_keys(frm: DataFrame, to: DataFrame, key: Sequence[str]) -> DataFrame:
-    """`(key…, change)` with change added, dropped or common."""
-    counts = unique_only(counts_by_key({"frm": frm, "to": to}, key), SIDES)
+    """`(key…, change)` with change added, dropped or common; `duplicate_key` or
+    `null_key` where a key cannot be compared."""
+    sides = {"frm": frm, "to": to}
+    counts = counts_by_key(sides, key)
     change = F.when(F.col("n_frm") == 0, "added").when(F.col("n_to") == 0, "dropped").otherwise("common")
-    return counts.select(*key, change.alias("change"))
+    compared = unique_only(counts, SIDES).select(*key, change.alias("change"))
+    return compared.unionByName(skipped_keys(counts, sides, key).select(*key, F.col("problem").alias("change")))
 
 
 def _cell(row: str, col: str) -> Column:
@@ -65,19 +68,36 @@ def diff_cells(
     changed_only: bool = False,
     keys_checked: bool = False,
 ) -> DataFrame:
-    """Cell-level difference; one row per changed cell, added or dropped row."""
-    aligned = align({"frm": frm, "to": to}, key, cols, changed_only=changed_only, keys_checked=keys_checked)
-    return cell_changes(unique_only(aligned, SIDES), key, cols, name_col)
+    """Cell-level difference; one row per changed cell, added or dropped row.
+
+    A key that is repeated or null cannot be compared: it is one row of kind
+    `duplicate_key` or `null_key` with its number of rows on either side.
+    """
+    sides = {"frm": frm, "to": to}
+    aligned = align(sides, key, cols, changed_only=changed_only, keys_checked=keys_checked)
+    skipped = skipped_keys(aligned, sides, key).select(
+        *key,
+        F.col("problem").alias("kind"),
+        F.lit(None).cast("string").alias("property"),
+        F.col("n_frm").cast("string").alias("from_value"),
+        F.col("n_to").cast("string").alias("to_value"),
+    )
+    return cell_changes(unique_only(aligned, SIDES), key, cols, name_col).unionByName(skipped)
 
 
 def diff_summary(
     frm: DataFrame, to: DataFrame, key: Sequence[str], cols: Sequence[str], by: Sequence[str] = ()
 ) -> DataFrame:
-    """Rows added, dropped, changed and unchanged, and changed cells in all."""
-    aligned = unique_only(align({"frm": frm, "to": to}, key, cols), SIDES)
+    """Rows added, dropped, changed and unchanged, changed cells in all, and
+    keys that are repeated or null and so are in none of the other counts."""
+    sides = {"frm": frm, "to": to}
+    aligned = align(sides, key, cols)
+    skipped = skipped_keys(aligned, sides, key)
+    aligned = aligned.withColumn("_skip", F.greatest("n_frm", "n_to") > 1)
     schema = aligned.schema["to"].dataType
     equal = rows_same("frm", "to", cols, schema)
-    both = F.col("frm").isNotNull() & F.col("to").isNotNull()
+    sound = ~F.col("_skip")
+    both = sound & F.col("frm").isNotNull() & F.col("to").isNotNull()
     cells = sum(
         F.when(
             both & ~same(comparable(_cell("frm", c), schema[c].dataType), comparable(_cell("to", c), schema[c].dataType)),
@@ -85,10 +105,16 @@ def diff_summary(
         ).otherwise(0)
         for c in cols
     )
-    return aligned.groupBy(*by).agg(
-        F.count_if(F.col("frm").isNull()).alias("added"),
-        F.count_if(F.col("to").isNull()).alias("dropped"),
-        F.count_if(both & ~equal).alias("changed"),
-        F.count_if(both & equal).alias("unchanged"),
-        F.sum(cells).alias("changed_cells"),
+    counted = aligned.select(
+        *by,
+        (sound & F.col("frm").isNull()).cast("int").alias("added"),
+        (sound & F.col("to").isNull()).cast("int").alias("dropped"),
+        (both & ~equal).cast("int").alias("changed"),
+        (both & equal).cast("int").alias("unchanged"),
+        cells.alias("changed_cells"),
+        F.col("_skip").cast("int").alias("skipped_keys"),
     )
+    names = counted.columns[len(by) :]
+    null = skipped.where("problem = 'null_key'")
+    counted = counted.unionByName(null.select(*by, F.lit(1).alias("skipped_keys")), allowMissingColumns=True)
+    return counted.groupBy(*by).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names])

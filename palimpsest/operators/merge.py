@@ -7,7 +7,8 @@ rows carry our value and are marked provisional. `gate` decides.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,8 +26,9 @@ from palimpsest.functions.cells import (
     three_way,
 )
 from palimpsest.functions.words import has_text
-from palimpsest.operators.align import align, key_problems, unique_only
+from palimpsest.operators.align import align, by_side, key_problems, skipped_keys, unique_only
 from palimpsest.operators.diff import diff_cells
+from palimpsest.session import cut
 
 SIDES = ("base", "ours", "theirs")
 CHOICES = ("ours", "theirs", "custom")
@@ -59,6 +61,14 @@ class Merge:
     resolution_problems: DataFrame
     key: tuple[str, ...]
     cols: tuple[str, ...]
+    key_problems: DataFrame | None = None  # rows that could not take part: their key is repeated or null
+
+    def gate(self, problems: DataFrame | None = None, merges: DataFrame | None = None, by: str = "merge_id") -> DataFrame:
+        """The decision on this merge; key problems always count, `problems` are further ones."""
+        names = [by] if merges is not None else []
+        found = [df.select(*names, F.lit(1).alias("_")) for df in (self.key_problems, problems) if df is not None]
+        none = self.conflicts.where(F.lit(False)).select(*names, F.lit(1).alias("_"))
+        return gate(self.conflicts, reduce(DataFrame.unionByName, found, none), merges, by)
 
 
 def align3(
@@ -244,11 +254,11 @@ def answers_by_key(
     pattern = "^" + ":".join([_PART] * len(key)) + "$"
     parts = []
     for i, k in enumerate(key, 1):
-        part = F.regexp_extract("_rest", pattern, i)
-        if isinstance(schema[k].dataType, T.StringType):
-            part = F.regexp_replace(part, r"\\(.)", "$1")
+        part = F.regexp_replace(F.regexp_extract("_rest", pattern, i), r"\\(.)", "$1")
         parts.append(part.try_cast(schema[k].dataType).alias(k))
-    return usable.where(F.col("_rest").rlike(pattern)).select(*parts, "conflict_id", "property", "choice", "custom")
+    parsed = usable.where(F.col("_rest").rlike(pattern)).select(*parts, "conflict_id", "property", "choice", "custom", "_rest")
+    # an id that only parses like a conflict's id ("01" for 1) is not that id
+    return parsed.where(key_text(key, schema) == F.col("_rest")).drop("_rest")
 
 
 def apply_merge(
@@ -332,10 +342,21 @@ def merge3(
     *,
     naming: Naming = ROWS,
     keys_checked: bool = False,
+    staged: bool = False,
 ) -> Merge:
     """Three-way merge by `key`; for many merges at once lead the key with
-    `merge_id`. Rows whose key repeats or is null are in `merge_key_problems`."""
-    return apply_merge(align3(base, ours, theirs, key, cols, keys_checked=keys_checked), key, cols, resolutions, naming)
+    `merge_id`. Rows whose key repeats or is null take no part; they are in
+    `key_problems`, which the merge's `gate` counts.
+
+    `staged` writes the alignment once, for callers who use several parts of the
+    result.
+    """
+    sides = {"base": base, "ours": ours, "theirs": theirs}
+    aligned = align(sides, key, cols, keys_checked=keys_checked)
+    if staged:
+        aligned = cut(aligned)
+    merge = apply_merge(unique_only(aligned, SIDES), key, cols, resolutions, naming)
+    return replace(merge, key_problems=by_side(skipped_keys(aligned, sides, key), SIDES, key))
 
 
 def changes_to_ours(ours: DataFrame, merge: Merge) -> DataFrame:

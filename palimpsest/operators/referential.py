@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions.cells import key_text
@@ -18,8 +18,9 @@ EFFECTS = {
     "set_null": "set_null",
     "set_default": "set_default",
     "restrict": "blocked",
-    "no_action": "blocked",
+    "no_action": "blocked_at_end",  # unless the row is gone by then
 }
+OUT = "table string, key string, effect string, via string, columns string, depth int"
 
 
 def referential_effects(
@@ -28,7 +29,11 @@ def referential_effects(
     fks: Sequence[ForeignKey],
     deleted: Mapping[str, DataFrame],
 ) -> DataFrame:
-    """`(table, key, effect, via, depth)` for the keys in `deleted`.
+    """`(table, key, effect, via, columns, depth)` for the keys in `deleted`.
+
+    `via` and `columns` name the reference an effect belongs to: the parent and
+    the referring columns. `restrict` blocks at once; `no_action` is looked at
+    when all deletes are known and blocks only if the referring row is left.
 
     Deletes travel along the foreign keys in rounds; a row is deleted once even
     where references form a cycle. `depth` is the number of references from the
@@ -52,35 +57,40 @@ def referential_effects(
             hit = lookup_large(narrow, values, fk.cols, child_key, "left_semi").select(*child_key)
             effect = EFFECTS[fk.on_delete]
             if effect == "delete":
-                reached.setdefault(fk.table, []).append(hit.withColumn("via", F.lit(fk.parent)))
+                reached.setdefault(fk.table, []).append(hit.withColumn("by", _reference(fk)))
             else:
-                effects.append(_effect(hit, fk.table, child_key, effect, fk.parent, depth))
+                effects.append(_effect(hit.withColumn("by", _reference(fk)), fk.table, child_key, effect, depth))
         frontier = {}
         for table, found in reached.items():
             child_key = list(keys[table])
-            once = reduce(DataFrame.unionByName, found).groupBy(*child_key).agg(F.min("via").alias("via"))
+            once = reduce(DataFrame.unionByName, found).groupBy(*child_key).agg(F.min("by").alias("by"))
             if table in gone:
                 once = once.join(gone[table], child_key, "left_anti")
             fresh = cut(once)
             if fresh.isEmpty():
                 continue
-            effects.append(_effect(fresh, table, child_key, "delete", None, depth))
+            effects.append(_effect(fresh, table, child_key, "delete", depth))
             frontier[table] = fresh.select(*child_key)
             gone[table] = gone[table].unionByName(frontier[table]) if table in gone else frontier[table]
     if not effects:
         spark = next(iter(tables.values())).sparkSession
-        return spark.createDataFrame([], "table string, key string, effect string, via string, depth int")
+        return spark.createDataFrame([], OUT)
     marked = reduce(DataFrame.unionByName, effects)
     # A row that is deleted by one reference needs no other effect.
     return _deletes_win(marked)
 
 
-def _effect(hit: DataFrame, table: str, key: list[str], effect: str, via: str | None, depth: int) -> DataFrame:
+def _reference(fk: ForeignKey) -> Column:
+    return F.struct(F.lit(fk.parent).alias("via"), F.lit(",".join(fk.cols)).alias("columns"))
+
+
+def _effect(hit: DataFrame, table: str, key: list[str], effect: str, depth: int) -> DataFrame:
     return hit.select(
         F.lit(table).alias("table"),
         key_text(key, hit.schema).alias("key"),
         F.lit(effect).alias("effect"),
-        (F.lit(via) if via else F.col("via")).alias("via"),
+        "by.via",
+        "by.columns",
         F.lit(depth).alias("depth"),
     )
 
@@ -89,4 +99,6 @@ def _deletes_win(effects: DataFrame) -> DataFrame:
     deletes = effects.where(F.col("effect") == "delete")
     others = effects.where(~F.col("effect").isin("delete", "blocked"))
     kept = others.join(deletes.select("table", "key"), ["table", "key"], "left_anti")
+    kept = kept.withColumn("effect", F.when(F.col("effect") == "blocked_at_end", "blocked").otherwise(F.col("effect")))
+    kept = kept.select(*deletes.columns)
     return deletes.unionByName(kept).unionByName(effects.where(F.col("effect") == "blocked"))

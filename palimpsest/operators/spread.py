@@ -77,10 +77,11 @@ def ordered_scan(
     before: Mapping[str, Column] | None = None,
     upto: Mapping[str, Column] | None = None,
     ahead: Mapping[str, Column] | None = None,
+    tie: Sequence[str] = (),
     width: int = WIDTH,
 ) -> DataFrame:
     """Add values of the neighbours of each row in the order of the numeric
-    column `seq` inside `part`: `before` the last non-null among the rows
+    column `seq` (and `tie`, where it is equal) inside `part`: `before` the last non-null among the rows
     before it, `upto` the same including it, `ahead` the value of the next row.
 
     One pass over the rows for all of them together.
@@ -91,7 +92,8 @@ def ordered_scan(
     staged = staged.withColumns(
         {**{f"_v_{n}": v for n, v in last.items()}, **{f"_v_{n}": F.struct(v.alias("v")) for n, v in ahead.items()}}
     )
-    place = Window.partitionBy(*part, "_bucket").orderBy(seq)
+    place = Window.partitionBy(*part, "_bucket").orderBy(seq, *tie)
+    at = F.struct(seq, *tie)
     frames = {n: place.rowsBetween(Window.unboundedPreceding, 0 if n in upto else -1) for n in last}
     local = staged.withColumns(
         {
@@ -99,10 +101,10 @@ def ordered_scan(
             **{f"_l_{n}": F.lead(f"_v_{n}").over(place) for n in ahead},
         }
     )
-    present = lambda n: F.when(F.col(f"_v_{n}").isNotNull(), F.col(seq))
+    present = lambda n: F.when(F.col(f"_v_{n}").isNotNull(), at)
     heads = staged.groupBy(*part, "_bucket").agg(
         *[F.max_by(f"_v_{n}", present(n)).alias(f"_h_{n}") for n in last],
-        *[F.min_by(f"_v_{n}", seq).alias(f"_h_{n}") for n in ahead],
+        *[F.min_by(f"_v_{n}", at).alias(f"_h_{n}") for n in ahead],
     )
     buckets = Window.partitionBy(*part).orderBy("_bucket")
     earlier = buckets.rowsBetween(Window.unboundedPreceding, -1)
@@ -125,12 +127,13 @@ def running_last(
     values: Mapping[str, Column],
     *,
     inclusive: bool,
+    tie: Sequence[str] = (),
     width: int = WIDTH,
 ) -> DataFrame:
     """The last non-null of each value before each row (`inclusive`: up to it)."""
     if inclusive:
-        return ordered_scan(df, part, seq, upto=values, width=width)
-    return ordered_scan(df, part, seq, before=values, width=width)
+        return ordered_scan(df, part, seq, upto=values, tie=tie, width=width)
+    return ordered_scan(df, part, seq, before=values, tie=tie, width=width)
 
 
 def number_within(

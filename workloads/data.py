@@ -146,9 +146,18 @@ view(
     "balances",
     """
 SELECT c_custkey AS k, cast(c_acctbal AS decimal(12,2)) AS val, c_mktsegment AS kind
-FROM {customer} WHERE c_custkey % 2 = 0
+FROM {customer}
+""",
+)
+view(
+    "staff",
+    """
+SELECT c_custkey AS k, c_nationkey AS nat, (c_nationkey + 3) % 25 AS home,
+       CASE WHEN c_custkey >= 10 THEN cast(floor(c_custkey / 10) AS bigint) END AS boss
+FROM {customer}
 """,
 )
+view("dealt_orders", "SELECT o_orderkey AS k, o_custkey AS cust, o_orderkey % 25 AS nat FROM {orders}")
 view(
     "edit_log",
     """

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palimpsest.functions import cells
-from palimpsest.operators import evolve, integrity, merge, referential, rekey, replay
+from palimpsest.operators import diff, evolve, integrity, merge, referential, rekey, replay
 from palimpsest.operators.integrity import Check, ForeignKey, NotNull, Unique
 from palimpsest.session import shared_dir
 from palimpsest.sources import ingest, versions
@@ -53,6 +53,56 @@ def merge_key_problems_lineitem(d):
     )
 
 
+_LINE_SIDES = {
+    "frm": "SELECT l_orderkey AS o, l_linenumber AS n, l_quantity AS q, l_tax AS t FROM {lineitem}",
+    "to": "SELECT l_orderkey AS o, l_linenumber AS n, l_quantity + CASE WHEN l_tax > 0.05 THEN 1 ELSE 0 END AS q, l_tax AS t FROM {lineitem} WHERE l_returnflag <> 'R'",
+}
+
+
+def _lines(d):
+    li = d["lineitem"].selectExpr("l_orderkey AS o", "l_linenumber AS n", "l_quantity AS q", "l_tax AS t", "l_returnflag AS flag")
+    moved = li.where("flag <> 'R'").withColumn("q", F.col("q") + F.when(F.col("t") > 0.05, 1).otherwise(0))
+    return li.drop("flag"), moved.drop("flag")
+
+
+# A key that is repeated on either side is counted and told, never left out unseen.
+_LINE_PAIRS = f"""f AS (SELECT o, n, count(*) AS c, min(q) AS q FROM ({_LINE_SIDES['frm']}) GROUP BY o, n),
+g AS (SELECT o, n, count(*) AS c, min(q) AS q FROM ({_LINE_SIDES['to']}) GROUP BY o, n),
+j AS (SELECT f.o, f.n, coalesce(f.c, 0) AS fc, coalesce(g.c, 0) AS gc, f.q AS fq, g.q AS gq,
+        f.c > 1 OR coalesce(g.c, 0) > 1 AS twice FROM f LEFT JOIN g ON f.o = g.o AND f.n = g.n)"""
+
+
+@query(
+    "diff_summary_lineitem",
+    f"""WITH {_LINE_PAIRS}
+SELECT cast(0 AS bigint) AS added, count(*) FILTER (NOT twice AND gc = 0) AS dropped, count(*) FILTER (NOT twice AND gc = 1 AND fq <> gq) AS changed,
+  count(*) FILTER (NOT twice AND gc = 1 AND fq = gq) AS unchanged, count(*) FILTER (NOT twice AND gc = 1 AND fq <> gq) AS changed_cells,
+  count(*) FILTER (twice) AS skipped_keys FROM j""",
+)
+def diff_summary_lineitem(d):
+    return diff.diff_summary(*_lines(d), ["o", "n"], ["q", "t"])
+
+
+@query(
+    "diff_keys_lineitem",
+    f"""WITH {_LINE_PAIRS}
+SELECT o, n, CASE WHEN twice THEN 'duplicate_key' WHEN gc = 0 THEN 'dropped' ELSE 'common' END AS change FROM j""",
+)
+def diff_keys_lineitem(d):
+    return diff.diff_keys(*_lines(d), ["o", "n"])
+
+
+@query(
+    "merge_gate_repeated_keys",
+    f"""WITH {_LINE_PAIRS}
+SELECT cast(0 AS bigint) AS n_conflicts, cast(sum(CASE WHEN twice THEN 2 * (CASE WHEN fc > 1 THEN 1 ELSE 0 END) + CASE WHEN gc > 1 THEN 1 ELSE 0 END ELSE 0 END) AS bigint) AS n_problems,
+  count(*) FILTER (twice) = 0 AS clean, CASE WHEN count(*) FILTER (twice) > 0 THEN 'problems' ELSE 'commit' END AS decision FROM j""",
+)
+def merge_gate_repeated_keys(d):
+    base, ours = _lines(d)
+    return merge.merge3(base, ours, base, ["o", "n"], ["q", "t"]).gate()
+
+
 @query(
     "not_null_report",
     """SELECT 'cust' AS column, count(*) FILTER (cust IS NULL) AS violations FROM {orders_ours}
@@ -172,7 +222,7 @@ def fk_orphans_merged_orders(d):
 # --- replay -------------------------------------------------------------------
 
 _LIVE = """e AS (SELECT k, cast(-1 AS bigint) AS seq, 'insert' AS op, val, kind, 'val,kind' AS assigned FROM {balances}
-  UNION ALL SELECT k, seq, op, val, kind, CASE WHEN op = 'insert' THEN 'val,kind' ELSE assigned END FROM {edit_log} WHERE seq <= 999999999),
+  UNION ALL SELECT k, seq, op, val, kind, CASE WHEN op = 'insert' THEN 'val,kind' ELSE assigned END FROM {edit_log}),
 p AS (SELECT *, coalesce(last_value(CASE op WHEN 'insert' THEN 1 WHEN 'delete' THEN 0 END IGNORE NULLS)
     OVER (PARTITION BY k ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS alive FROM e),
 w AS (SELECT *, CASE WHEN op = 'insert' AND alive = 1 THEN 'insert_on_existing' WHEN op = 'update' AND alive = 0 THEN 'update_on_missing'
@@ -371,11 +421,11 @@ def rekey_proposals_customer(d):
     """WITH r AS (SELECT r_regionkey AS x FROM {region} WHERE r_regionkey = 1),
 n AS (SELECT n_nationkey AS x FROM {nation} WHERE n_regionkey IN (SELECT x FROM r)),
 c AS (SELECT c_custkey AS x FROM {customer} WHERE c_nationkey IN (SELECT x FROM n))
-SELECT 'nation' AS table, cast(x AS string) AS key, 'delete' AS effect, 'region' AS via, 1 AS depth FROM n
-UNION ALL SELECT 'customer', cast(x AS string), 'delete', 'nation', 2 FROM c
-UNION ALL SELECT 'supplier', cast(s_suppkey AS string), 'set_null', 'nation', 2 FROM {supplier} WHERE s_nationkey IN (SELECT x FROM n)
-UNION ALL SELECT 'orders', cast(o_orderkey AS string), 'delete', 'customer', 3 FROM {orders} WHERE o_custkey IN (SELECT x FROM c)
-UNION ALL SELECT 'events', cast(event_id AS string), 'blocked', 'customer', 3 FROM {events} WHERE user_id IN (SELECT x FROM c)""",
+SELECT 'nation' AS table, cast(x AS string) AS key, 'delete' AS effect, 'region' AS via, 'n_regionkey' AS columns, 1 AS depth FROM n
+UNION ALL SELECT 'customer', cast(x AS string), 'delete', 'nation', 'c_nationkey', 2 FROM c
+UNION ALL SELECT 'supplier', cast(s_suppkey AS string), 'set_null', 'nation', 's_nationkey', 2 FROM {supplier} WHERE s_nationkey IN (SELECT x FROM n)
+UNION ALL SELECT 'orders', cast(o_orderkey AS string), 'delete', 'customer', 'o_custkey', 3 FROM {orders} WHERE o_custkey IN (SELECT x FROM c)
+UNION ALL SELECT 'events', cast(event_id AS string), 'blocked', 'customer', 'user_id', 3 FROM {events} WHERE user_id IN (SELECT x FROM c)""",
 )
 def cascade_deletes(d):
     names = ["region", "nation", "customer", "supplier", "orders", "events"]
@@ -391,6 +441,37 @@ def cascade_deletes(d):
     return referential.referential_effects({n: d[n] for n in names}, keys, fks, {"region": gone})
 
 
+# All five actions, two references to one parent, and a table that refers to itself.
+@query(
+    "referential_actions",
+    """WITH RECURSIVE g AS (SELECT k, 0 AS depth FROM {staff} WHERE k <= 3
+  UNION ALL SELECT s.k, g.depth + 1 FROM {staff} s JOIN g ON s.boss = g.k WHERE s.k > 3),
+o AS (SELECT k FROM {dealt_orders} WHERE nat = 3)
+SELECT 'staff' AS table, cast(k AS string) AS key, 'delete' AS effect, 'staff' AS via, 'boss' AS columns, depth FROM g WHERE depth > 0
+UNION ALL SELECT 'staff', cast(k AS string), 'set_null', 'nation', 'nat', 1 FROM {staff} WHERE nat = 3 AND k NOT IN (SELECT k FROM g WHERE depth > 0)
+UNION ALL SELECT 'staff', cast(k AS string), 'set_null', 'nation', 'home', 1 FROM {staff} WHERE home = 3 AND k NOT IN (SELECT k FROM g WHERE depth > 0)
+UNION ALL SELECT 'supplier', cast(s_suppkey AS string), 'set_default', 'nation', 's_nationkey', 1 FROM {supplier} WHERE s_nationkey = 3
+UNION ALL SELECT 'dealt_orders', cast(k AS string), 'delete', 'nation', 'nat', 1 FROM o
+UNION ALL SELECT 'dealt_orders', cast(d.k AS string), 'blocked', 'staff', 'cust', g.depth + 1 FROM {dealt_orders} d JOIN g ON d.cust = g.k
+  WHERE d.k NOT IN (SELECT k FROM o)
+UNION ALL SELECT 'events', cast(event_id AS string), 'blocked', 'staff', 'user_id', g.depth + 1 FROM {events} e JOIN g ON e.user_id = g.k""",
+)
+def referential_actions(d):
+    names = ["nation", "staff", "supplier", "dealt_orders", "events"]
+    keys = dict(zip(names, [["n_nationkey"], ["k"], ["s_suppkey"], ["k"], ["event_id"]]))
+    fks = [
+        ForeignKey("staff", ("boss",), "staff", ("k",), "cascade"),
+        ForeignKey("staff", ("nat",), "nation", ("n_nationkey",), "set_null"),
+        ForeignKey("staff", ("home",), "nation", ("n_nationkey",), "set_null"),
+        ForeignKey("supplier", ("s_nationkey",), "nation", ("n_nationkey",), "set_default"),
+        ForeignKey("dealt_orders", ("nat",), "nation", ("n_nationkey",), "cascade"),
+        ForeignKey("dealt_orders", ("cust",), "staff", ("k",), "no_action"),
+        ForeignKey("events", ("user_id",), "staff", ("k",), "restrict"),
+    ]
+    gone = {"nation": d["nation"].where("n_nationkey = 3"), "staff": d["staff"].where("k <= 3")}
+    return referential.referential_effects({n: d[n] for n in names}, keys, fks, gone)
+
+
 # --- composite keys -----------------------------------------------------------
 
 

@@ -64,7 +64,9 @@ WITH j AS (SELECT b.k AS bk, o.k AS ok,
   FROM {orders_base} b FULL JOIN {orders_ours} o ON b.k = o.k)
 SELECT count(*) FILTER (bk IS NULL) AS added, count(*) FILTER (ok IS NULL) AS dropped,
   count(*) FILTER (bk = ok AND n > 0) AS changed, count(*) FILTER (bk = ok AND n = 0) AS unchanged,
-  cast(sum(CASE WHEN bk = ok THEN n ELSE 0 END) AS bigint) AS changed_cells FROM j
+  cast(sum(CASE WHEN bk = ok THEN n ELSE 0 END) AS bigint) AS changed_cells,
+  cast((SELECT count(*) FROM (SELECT k FROM {orders_base} GROUP BY k HAVING count(*) > 1 OR k IS NULL
+    UNION SELECT k FROM {orders_ours} GROUP BY k HAVING count(*) > 1 OR k IS NULL)) AS bigint) AS skipped_keys FROM j
 """,
 )
 def diff_summary_orders(d):
@@ -242,7 +244,7 @@ SELECT o.n AS n_conflicts, cast(p.n AS bigint) AS n_problems, (o.n = 0 AND p.n =
 )
 def merge_gate_orders(d):
     attempt = _merge(d, d["orders_answers"])
-    return merge.gate(attempt.conflicts, collisions.unique_collisions(attempt.merged, ["code"], ["k"]))
+    return attempt.gate(collisions.unique_collisions(attempt.merged, ["code"], ["k"]))
 
 
 # Seven merges in one job: the key starts with the merge.
@@ -256,5 +258,4 @@ SELECT ids.merge_id, coalesce(n.n, 0) AS n_conflicts, cast(0 AS bigint) AS n_pro
 def merge_gate_batched(d):
     sides = [d[f"orders_{s}"].withColumn("merge_id", F.col("k") % 7) for s in ("base", "ours", "theirs")]
     attempt = merge.merge3(*sides, ["merge_id", "k"], COLS)
-    problems = merge.merge_key_problems(*sides, ["merge_id", "k"])
-    return merge.gate(attempt.conflicts, problems, sides[0].select("merge_id").distinct())
+    return attempt.gate(merges=sides[0].select("merge_id").distinct())
