@@ -13,15 +13,18 @@ SF = "/root/testdata/sf0.01"
 def plain_list(texts):
     counts = Counter()
     for text in texts:
-        for word in regex.findall(r"[^\W\d_]+", (text or "").lower()):
-            word = "".join(regex.findall(r"\p{L}", word))
-            if word:
-                padded = f"_{word}_"
-                counts.update(word)
-                counts.update(padded[i : i + n] for n in (2, 3) for i in range(len(padded) - n + 1))
+        for word in regex.findall(r"\p{L}+", (text or "").lower()):
+            padded = f"_{word}_"
+            counts.update(word)
+            counts.update(padded[i : i + n] for n in (2, 3) for i in range(len(padded) - n + 1))
     return [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))][: op.PROFILE]
 
 
+def named(gram):
+    points = (gram >> 2 * op.BITS, gram >> op.BITS & (1 << op.BITS) - 1, gram & (1 << op.BITS) - 1)
+    return "".join(chr(p) for p in points if p)
+
+
 def brute(profiles, text):
     grams = plain_list([text])
     if not grams or not profiles:
@@ -43,7 +46,7 @@ def test_same_as_plain_lists(spark):
         texts = [r[1] for r in rows if r[2] == lang and r[0] not in held]
         if plain_list(texts):
             want[lang] = plain_list(texts)
-    assert {lang: sorted(p, key=p.get) for lang, p in learned.items()} == want
+    assert {lang: [named(g) for g in p] for lang, p in learned.items()} == want
     got = sorted(((r["doc_id"], r["held_out"], r["lang_pred"], round(r["score"], 9)) for r in op.identify(table, learned).collect()), key=str)
     assert got == sorted(((d, d in held, *(x if isinstance(x, str) else round(x, 9) for x in brute(want, t))) for d, t, _ in rows), key=str)
 
