@@ -166,10 +166,13 @@ def first_parent_history(g: Graph, starts: DataFrame, limit: int) -> DataFrame:
         if fresh.isEmpty():
             break
         segments = segments.unionByName(fresh)
+    # A segment is at most `limit` places, so it meets its commits place by place
+    # and not every commit of a long chain.
+    last = F.greatest(F.lit(0).cast("long"), F.col("pos") - (F.lit(limit - 1) - F.col("depth")))
+    places = segments.where(F.col("depth") < limit).withColumn("at", F.explode(F.sequence("pos", last, F.lit(-1).cast("long"))))
+    places = places.select("start", (F.col("depth") + F.col("pos") - F.col("at")).alias("depth"), "chain", "at")
     placed = g.commits.select("commit_id", "chain", F.col("pos").alias("at"))
-    found = lookup_large(placed, segments, ["chain"], ["commit_id"]).where(F.col("at") <= F.col("pos"))
-    depth = F.col("depth") + F.col("pos") - F.col("at")
-    return found.select("start", depth.alias("depth"), "commit_id").where(F.col("depth") < limit)
+    return lookup_large(places, placed, ["chain", "at"], ["start"]).select("start", "depth", "commit_id")
 
 
 def commit_list(g: Graph, starts: DataFrame, tables: DataFrame, limit: int = 100) -> DataFrame:

@@ -41,16 +41,21 @@ def _start(nodes: DataFrame) -> DataFrame:
 
 
 def rank_lists(nodes: DataFrame) -> DataFrame:
-    """`(id, head, dist)` for `(id, pred)` where nobody is pred of two nodes and
-    there is no cycle.
+    """`(id, head, dist)` for `(id, pred)` where nobody is pred of two nodes.
+
+    A cycle, for example a commit that is its own parent, has no head: it is
+    refused after the rounds that any list of as many nodes needs.
 
     After each round a node points twice as far back, so a list of n nodes takes
     log2(n) rounds. Finished nodes are only targets; no round joins on a head
     that many nodes share.
     """
     state = _start(nodes)
-    while not state.where(~F.col("done")).isEmpty():
-        state = _double(state)
+    left = state.count().bit_length() + 1
+    while unfinished := state.where(~F.col("done")).head(1):
+        if not left:
+            raise ValueError(f"cyclic_history: {unfinished[0]['id']} has no first node")
+        state, left = _double(state), left - 1
     return state.select("id", F.col("at").alias("head"), "dist")
 
 

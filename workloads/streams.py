@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
 import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.session import shared_dir
+from palimpsest.session import cut, shared_dir
 from palimpsest.sources import ingest
 from palimpsest.streaming import streams
 from workloads import history
@@ -58,8 +59,13 @@ def head_moves_stream(d):
     """Proposals are derived with windows, which a stream cannot do, so the
     derived table is stored and streamed from its folder."""
     out = _folder(d)
-    d["head_proposals"].write.parquet(f"{out}/in")
-    arriving = d.spark.readStream.schema(d["head_proposals"].schema).parquet(f"{out}/in")
+    proposals = cut(d["head_proposals"])
+    # four micro-batches in the order of seq
+    bounds = [float("-inf"), *proposals.approxQuantile("seq", [0.25, 0.5, 0.75], 0.01), float("inf")]
+    for low, high in itertools.pairwise(bounds):
+        part = proposals.where((F.col("seq") > low) & (F.col("seq") <= high))
+        part.coalesce(1).write.mode("append").parquet(f"{out}/in")
+    arriving = d.spark.readStream.schema(proposals.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/in")
     streams.head_moves_stream(d["branch_starts"], arriving, f"{out}/out").awaitTermination()
     return d.spark.read.parquet(f"{out}/out/judged").drop("epoch")
 
