@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import sys
+import types
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +13,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.session import cut
 
-__all__ = ["cut", "documents", "held_out", "power_of_two", "small_batches", "table"]
+__all__ = ["cut", "documents", "held_out", "per_worker", "power_of_two", "small_batches", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,3 +39,11 @@ def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterato
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+
+
+def per_worker(name: str, make: Callable[[], Any]) -> Any:
+    """What `make` gives, kept by the Python worker for the tasks that it runs next; only for what can be made anew."""
+    held = sys.modules.setdefault("_palimpsest_worker", types.ModuleType("_palimpsest_worker")).__dict__
+    if name not in held:
+        held[name] = make()
+    return held[name]

@@ -28,14 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import cut, power_of_two, small_batches
+from palimpsest.llm.common import cut, per_worker, power_of_two, small_batches
 
 WINDOW = 4096
 END = 2
 GROUP = 16_384
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
-#: Words whose ids a task remembers.
-REMEMBERED = 300_000
+#: Stretches of a generation whose ids a Python worker remembers.
+REMEMBERED = 500_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
 
@@ -58,23 +58,28 @@ class Ids:
         self.before: dict[str, bytes] = {}
 
     def of(self, texts: list[str]) -> list[bytes]:
-        split = [text.split(" ") for text in texts]
+        split = [text.replace("\n", " ").split(" ") for text in texts]
         new = list(set().union(*split).difference(self.now))
         if new and len(self.now) + len(new) > REMEMBERED:
             self.now, self.before = {}, self.now
             new = list(set().union(*split))
-        unknown = [w for w in new if w not in self.before]
         self.now.update((w, self.before[w]) for w in new if w in self.before)
-        for k in range(0, len(unknown), 8192):
-            self._learn(unknown[k : k + 8192])
+        unknown = [w for w in new if w not in self.now]
+        # a comma or full stop after a letter is a token of its own
+        marked = [w for w in unknown if w[-1:] in (",", ".") and w[-2:-1].isascii() and w[-2:-1].isalpha()]
+        plain = set(unknown).difference(marked).union([",", "."], (w[:-1] for w in marked)).difference(self.now)
+        self._learn(list(plain))
+        self.now.update((w, self.now[w[:-1]] + self.now[w[-1]]) for w in marked)
         return [b"".join(map(self.now.__getitem__, stretches)) for stretches in split]
 
     def _learn(self, stretches: list[str]) -> None:
-        starts = np.cumsum([0] + [len(w) + 1 for w in stretches])
-        found = self.tokenizer.encode(" ".join(stretches), add_special_tokens=False)
-        ids = np.array(found.ids, "<u4")
-        ends = np.searchsorted([o[0] for o in found.offsets], starts).tolist()
-        self.now.update((w, ids[a:b].tobytes()) for w, a, b in zip(stretches, ends[:-1], ends[1:], strict=True))
+        for k in range(0, len(stretches), 8192):
+            part = stretches[k : k + 8192]
+            starts = np.cumsum([0] + [len(w) + 1 for w in part])
+            found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            ids = np.array(found.ids, "<u4")
+            ends = np.searchsorted([o[0] for o in found.offsets], starts).tolist()
+            self.now.update((w, ids[a:b].tobytes()) for w, a, b in zip(part, ends[:-1], ends[1:], strict=True))
 
 
 def pieces(docs: DataFrame, window: int = WINDOW, tokenizer: str = TOKENIZER, end: int = END, with_ids: bool = True) -> DataFrame:
@@ -82,7 +87,7 @@ def pieces(docs: DataFrame, window: int = WINDOW, tokenizer: str = TOKENIZER, en
     last = np.array([end], "<u4").tobytes()
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Ids(tokenizer)
+        known = per_worker(f"ids {tokenizer}", lambda: Ids(tokenizer))
         for batch in small_batches(batches):
             rows = []
             texts = known.of([t or "" for t in batch.column(1).to_pylist()])
