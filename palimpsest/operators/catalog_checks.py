@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions.words import has_text
 from palimpsest.operators.catalog import PROJECT, SCOPE, TABLE, TABLE_SALTS, Catalog, blank
 from palimpsest.operators.collisions import collisions, first_holders
-from palimpsest.operators.spread import lookup, running_last
+from palimpsest.operators.spread import lookup, lookup_large, running_last
 
 OUT = [PROJECT, "code", "table", "object", "message"]
 
@@ -29,6 +31,14 @@ def _report(df: DataFrame, code: str, obj: Column, message: Column) -> DataFrame
     return df.select(PROJECT, F.lit(code).alias("code"), F.col("table"), obj.alias("object"), message.alias("message"))
 
 
+def _row(df: DataFrame, by: str, code: str, obj: Column, before: Column | str, after: Column | str) -> DataFrame:
+    """A problem whose message still lacks the name of its table."""
+    text = lambda c: F.lit(c) if isinstance(c, str) else c
+    return df.select(
+        *SCOPE, F.col(by).cast("string").alias("by"), F.lit(code).alias("code"), obj.alias("object"), text(before).alias("before"), text(after).alias("after")
+    )
+
+
 def _nothing() -> Column:
     return F.lit("")
 
@@ -39,42 +49,25 @@ def check_catalog(cat: Catalog) -> DataFrame:
     Names of tables are attached only to rows that are problems."""
     names = cat.tables.select(*SCOPE, F.col("name").alias("table"))
 
-    def in_table(df: DataFrame, by: str) -> DataFrame:
-        return lookup(df, names, SCOPE, [by], salts=TABLE_SALTS)
-
     table = F.col("table")
-    found = [
-        _report(
-            collisions(cat.tables, [PROJECT, "name"], [TABLE], ["ordinal"]).withColumn("table", F.col("name")),
-            "duplicate_table_name",
-            _nothing(),
-            _say("two tables are named ", _quote(table)),
-        )
-    ]
     filled = cat.columns.groupBy(*SCOPE).agg(F.count(F.lit(1)).alias("n"))
-    found.append(
-        _report(
-            names.join(filled, SCOPE, "left_anti"), "table_no_columns", _nothing(), _say("table ", _quote(table), " has no columns")
-        )
-    )
-    found.append(
-        _report(
-            in_table(collisions(cat.columns, [*SCOPE, "name"], ["column_id"], ["position"]), "column_id"),
-            "duplicate_column_name",
-            F.col("name"),
-            _say("table ", _quote(table), " has two columns named ", _quote(F.col("name"))),
-        )
-    )
-    found += _constraint_problems(cat, in_table)
-    found += _index_problems(cat, in_table)
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out.select(*OUT)
+    twice = collisions(cat.columns, [*SCOPE, "name"], ["column_id"], ["position"])
+    rows = [
+        _row(cat.tables.select(*SCOPE).join(filled, SCOPE, "left_anti"), TABLE, "table_no_columns", _nothing(), "table ", " has no columns"),
+        _row(twice, "column_id", "duplicate_column_name", F.col("name"), "table ", _say(" has two columns named ", _quote(F.col("name")))),
+        *_constraint_problems(cat),
+        *_index_problems(cat),
+    ]
+    # All problems meet the names of their tables together.
+    named = lookup(reduce(DataFrame.unionByName, rows), names, SCOPE, ["by"], salts=TABLE_SALTS)
+    found = named.select(PROJECT, "code", "table", "object", F.concat("before", _quote(table), "after").alias("message"))
+    same_name = collisions(cat.tables, [PROJECT, "name"], [TABLE], ["ordinal"]).withColumn("table", F.col("name"))
+    found = found.unionByName(_report(same_name, "duplicate_table_name", _nothing(), _say("two tables are named ", _quote(table))))
+    return found.unionByName(_repeated_index_names(cat)).select(*OUT)
 
 
-def _constraint_problems(cat: Catalog, in_table) -> list[DataFrame]:
-    table, label = F.col("table"), _label()
+def _constraint_problems(cat: Catalog) -> list[DataFrame]:
+    label = _label()
     cons = cat.constraints.withColumn("label", label)
     width = lambda c: F.coalesce(F.size(c), F.lit(0))
     known = cat.columns.select(*SCOPE, "column_id", F.col("name").alias("column"), "nullable")
@@ -95,85 +88,45 @@ def _constraint_problems(cat: Catalog, in_table) -> list[DataFrame]:
     lost = refs.join(there, [PROJECT, "ref_table_id", "column_id"], "left_anti")
     bare = cons.where((F.col("kind") == "check") & (blank("expr") == ""))
     keys = cons.where(F.col("kind") == "primary_key").groupBy(*SCOPE).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    on = _quote(table)
+    label, cid = F.col("label"), "constraint_id"
+    sizes = _say(
+        " has mismatched column lists (", width("column_ids").cast("string"), " local, ", width("ref_column_ids").cast("string"), " referenced)"
+    )
+    nowhere = aimed.where(F.col("target").isNull())
+    lost_text = _say(" references a column that no longer exists on ", _quote(F.col("target")))
+    nullable = _say("primary key column ", _quote(F.col("column")), " on ")
     return [
-        _report(
-            in_table(missing, "constraint_id"),
-            "constraint_missing_column",
-            F.col("label"),
-            _say(F.col("label"), " on ", on, " references a column that no longer exists"),
-        ),
-        _report(
-            in_table(soft, "constraint_id"),
-            "pk_nullable_column",
-            F.col("column"),
-            _say("primary key column ", _quote(F.col("column")), " on ", on, " is nullable"),
-        ),
-        _report(in_table(empty, "constraint_id"), "constraint_no_columns", F.col("label"), _say(what, " on ", on, " has no columns")),
-        _report(
-            in_table(aimed.where(F.col("target").isNull()), "constraint_id"),
-            "fk_missing_table",
-            F.col("label"),
-            _say("foreign key on ", on, " points at a table that no longer exists"),
-        ),
-        _report(
-            in_table(uneven, "constraint_id"),
-            "fk_column_count_mismatch",
-            F.col("label"),
-            _say(
-                "foreign key on ",
-                on,
-                " has mismatched column lists (",
-                width("column_ids").cast("string"),
-                " local, ",
-                width("ref_column_ids").cast("string"),
-                " referenced)",
-            ),
-        ),
-        _report(
-            in_table(lost, "constraint_id"),
-            "fk_missing_column",
-            F.col("label"),
-            _say("foreign key on ", on, " references a column that no longer exists on ", _quote(F.col("target"))),
-        ),
-        _report(
-            in_table(bare, "constraint_id"), "check_no_expression", F.col("label"), _say("check constraint on ", on, " has no expression")
-        ),
-        _report(
-            in_table(keys, TABLE), "multiple_primary_keys", _nothing(), _say("table ", on, " has ", F.col("n").cast("string"), " primary keys")
-        ),
+        _row(missing, cid, "constraint_missing_column", label, _say(label, " on "), " references a column that no longer exists"),
+        _row(soft, cid, "pk_nullable_column", F.col("column"), nullable, " is nullable"),
+        _row(empty, cid, "constraint_no_columns", label, _say(what, " on "), " has no columns"),
+        _row(nowhere, cid, "fk_missing_table", label, "foreign key on ", " points at a table that no longer exists"),
+        _row(uneven, cid, "fk_column_count_mismatch", label, "foreign key on ", sizes),
+        _row(lost, cid, "fk_missing_column", label, "foreign key on ", lost_text),
+        _row(bare, cid, "check_no_expression", label, "check constraint on ", " has no expression"),
+        _row(keys, TABLE, "multiple_primary_keys", _nothing(), "table ", _say(" has ", F.col("n").cast("string"), " primary keys")),
     ]
 
 
-def _index_problems(cat: Catalog, in_table) -> list[DataFrame]:
+def _repeated_index_names(cat: Catalog) -> DataFrame:
     table, name = F.col("table"), F.col("name")
     # The other holder is the one before; only names held twice are put in order.
     held = first_holders(cat.indexes, [PROJECT, "name"], ["index_id"], ["ordinal"]).select(PROJECT, "name")
-    contested = lookup(cat.indexes, held, [PROJECT, "name"], ["index_id"], "left_semi")
+    contested = lookup_large(cat.indexes, held, [PROJECT, "name"], ["index_id"], "left_semi")
     homes = cat.tables.select(*SCOPE, F.col("name").alias("table"), F.col("ordinal").alias("t"))
     placed = lookup(contested, homes, SCOPE, ["index_id"], salts=TABLE_SALTS)
     order = {"tie": ["ordinal", "index_id"], "inclusive": False}
     before = running_last(placed, [PROJECT, "name"], "t", {"other": F.struct("table")}, **order)
-    repeated = before.where(F.col("other").isNotNull())
+    message = _say("two indexes are named ", _quote(name), " (on ", _quote(F.col("other.table")), " and ", _quote(table), ")")
+    return _report(before.where(F.col("other").isNotNull()), "duplicate_index_name", name, message)
+
+
+def _index_problems(cat: Catalog) -> list[DataFrame]:
+    name = F.col("name")
     parts = cat.indexes.select(*SCOPE, "index_id", "name", F.explode("columns.column_id").alias("column_id"))
     lost = parts.join(cat.columns.select(*SCOPE, "column_id"), [*SCOPE, "column_id"], "left_anti")
+    empty = cat.indexes.where(F.coalesce(F.size("columns"), F.lit(0)) <= 0)
+    index = _say("index ", _quote(name))
     return [
-        _report(
-            repeated,
-            "duplicate_index_name",
-            name,
-            _say("two indexes are named ", _quote(name), " (on ", _quote(F.col("other.table")), " and ", _quote(table), ")"),
-        ),
-        _report(
-            in_table(cat.indexes.where(F.coalesce(F.size("columns"), F.lit(0)) <= 0), "index_id"),
-            "index_no_columns",
-            name,
-            _say("index ", _quote(name), " has no columns"),
-        ),
-        _report(
-            in_table(lost, "index_id"),
-            "index_missing_column",
-            name,
-            _say("index ", _quote(name), " references a column that no longer exists on ", _quote(table)),
-        ),
+        _row(empty, "index_id", "index_no_columns", name, index, " has no columns"),
+        _row(lost, "index_id", "index_missing_column", name, _say(index, " references a column that no longer exists on "), ""),
     ]

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions.words import column_description, nullability, or_none
-from palimpsest.operators.align import align, counts_by_key, unique_only
+from palimpsest.operators.align import align, unique_only
 from palimpsest.operators.catalog import (
     PROJECT,
     SCOPE,
@@ -22,6 +23,7 @@ from palimpsest.operators.catalog import (
     plain_columns,
 )
 from palimpsest.operators.spread import lookup
+from palimpsest.session import cut
 
 # Change kinds in reading order.
 KINDS = [
@@ -54,10 +56,11 @@ def aligned_tables(frm: Catalog, to: Catalog) -> DataFrame:
     return _pair(frm.tables, to.tables, SCOPE, ["name"])
 
 
-def common_tables(frm: Catalog, to: Catalog) -> DataFrame:
+def common_tables(frm: Catalog, to: Catalog, pair: DataFrame | None = None) -> DataFrame:
     """`(project_id, table_id, table, renamed)` of tables on both sides, by
     their new name. Only their children are compared."""
-    both = aligned_tables(frm, to).where(F.col("frm").isNotNull() & F.col("to").isNotNull())
+    pair = aligned_tables(frm, to) if pair is None else pair
+    both = pair.where(F.col("frm").isNotNull() & F.col("to").isNotNull())
     return both.select(*SCOPE, F.col("to.name").alias("table"), (F.col("frm.name") != F.col("to.name")).alias("renamed"))
 
 
@@ -80,8 +83,8 @@ def _none() -> Column:
     return F.lit(None).cast("string")
 
 
-def table_changes(frm: Catalog, to: Catalog) -> DataFrame:
-    pair = aligned_tables(frm, to)
+def table_changes(frm: Catalog, to: Catalog, pair: DataFrame | None = None) -> DataFrame:
+    pair = aligned_tables(frm, to) if pair is None else pair
     sizes = to.columns.groupBy(*SCOPE).agg(F.count(F.lit(1)).alias("n"))
     changed = pair.where(F.col("frm").isNull() | F.col("to").isNull() | (F.col("frm.name") != F.col("to.name")))
     sized = changed.join(sizes, SCOPE, "left")
@@ -104,15 +107,15 @@ def _described(side: str) -> Column:
     return column_description(F.col(f"{side}.type"), F.col(f"{side}.nullable"), F.col(f"{side}.default"))
 
 
-def column_changes(frm: Catalog, to: Catalog) -> DataFrame:
+def column_changes(frm: Catalog, to: Catalog, tables: DataFrame | None = None) -> DataFrame:
     """Changed properties of columns of common tables. Only changed columns go
-    on to meet their table."""
+    on to meet their table. `tables`: the aligned tables, where they are at hand."""
     pair = aligned_columns(frm, to)
     differs = lambda p: F.col(f"frm.{p}") != F.col(f"to.{p}")
     moved = F.col("frm").isNull() | F.col("to").isNull()
     for p in ("name", "type", "nullable", "default"):
         moved = moved | differs(p)
-    named = lookup(pair.where(moved), common_tables(frm, to), SCOPE, ["column_id"], salts=TABLE_SALTS)
+    named = lookup(pair.where(moved), common_tables(frm, to, tables), SCOPE, ["column_id"], salts=TABLE_SALTS)
     table, a, b = F.col("table"), F.col("frm.name"), F.col("to.name")
     dot = lambda c: F.concat(table, F.lit("."), c)
     step = lambda x, y: F.concat(x, F.lit(ARROW), y)
@@ -189,12 +192,12 @@ CONSTRAINT_FIELDS = ["name", "kind", "column_ids", "ref_table_id", "ref_column_i
 INDEX_FIELDS = ["name", "columns", "is_unique", "method"]
 
 
-def constraint_changes(frm: Catalog, to: Catalog) -> DataFrame:
+def constraint_changes(frm: Catalog, to: Catalog, tables: DataFrame | None = None) -> DataFrame:
     """Definitions are compared as text resolved on the new side, so a renamed
     column never reads as a modified constraint. Text is only built where the
     ids differ."""
     changed = _member_pairs(frm.constraints, to.constraints, "constraint_id", canonical_constraint(), CONSTRAINT_FIELDS)
-    scoped = lookup(changed, common_tables(frm, to), SCOPE, ["constraint_id"], salts=TABLE_SALTS)
+    scoped = lookup(changed, common_tables(frm, to, tables), SCOPE, ["constraint_id"], salts=TABLE_SALTS)
     described = describe_constraints(_sides(scoped, "constraint_id", CONSTRAINT_FIELDS), to, ["side"])
     pairs = _both(described, "constraint_id")
     a, b, on = F.col("a"), F.col("b"), F.concat(F.lit(" on "), F.col("table"))
@@ -215,9 +218,9 @@ def constraint_changes(frm: Catalog, to: Catalog) -> DataFrame:
     return _members(pairs, "constraint_id", change)
 
 
-def index_changes(frm: Catalog, to: Catalog) -> DataFrame:
+def index_changes(frm: Catalog, to: Catalog, tables: DataFrame | None = None) -> DataFrame:
     changed = _member_pairs(frm.indexes, to.indexes, "index_id", canonical_index(), INDEX_FIELDS)
-    scoped = lookup(changed, common_tables(frm, to), SCOPE, ["index_id"], salts=TABLE_SALTS)
+    scoped = lookup(changed, common_tables(frm, to, tables), SCOPE, ["index_id"], salts=TABLE_SALTS)
     described = describe_indexes(_sides(scoped, "index_id", INDEX_FIELDS), to, ["side"])
     pairs = _both(described, "index_id")
     a, b, an, bn = F.col("a"), F.col("b"), F.col("a_name"), F.col("b_name")
@@ -248,8 +251,15 @@ def _members(pairs: DataFrame, ident: str, change: Column) -> DataFrame:
 
 
 def catalog_diff(frm: Catalog, to: Catalog) -> DataFrame:
-    """Every semantic change from `frm` to `to`, for all projects."""
-    parts = [f(frm, to) for f in (table_changes, column_changes, constraint_changes, index_changes)]
+    """Every semantic change from `frm` to `to`, for all projects.
+
+    Tables are aligned once and written; what is in them is aligned once for
+    each type of object."""
+    return _diff(frm, to, cut(aligned_tables(frm, to)))
+
+
+def _diff(frm: Catalog, to: Catalog, tables: DataFrame) -> DataFrame:
+    parts = [f(frm, to, tables) for f in (table_changes, column_changes, constraint_changes, index_changes)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -275,16 +285,9 @@ def catalog_diff_summary(frm: Catalog, to: Catalog) -> DataFrame:
     """Changes and unchanged objects per project. Unchanged are the objects on
     both sides less those with a change; a table counts when nothing in it
     changed."""
-    changes = catalog_diff(frm, to)
-    common = common_tables(frm, to).select(*SCOPE)
-
-    def shared(a: DataFrame, b: DataFrame, ident: str) -> DataFrame:
-        counts = counts_by_key({"frm": a, "to": b}, [*SCOPE, ident])
-        per_table = (
-            counts.where((F.col("n_frm") == 1) & (F.col("n_to") == 1)).groupBy(*SCOPE).agg(F.count(F.lit(1)).alias("n"))
-        )
-        return per_table.join(common, SCOPE, "left_semi").groupBy(PROJECT).agg(F.sum("n").alias("n"))
-
+    tables = cut(aligned_tables(frm, to))
+    changes = cut(_diff(frm, to, tables))
+    common = common_tables(frm, to, tables).select(*SCOPE)
     kind_of = F.substring_index("kind", "_", 1)
     kind_of = F.when(kind_of.isin("nullability", "default"), "column").otherwise(kind_of)
     one = changes.select(
@@ -293,22 +296,33 @@ def catalog_diff_summary(frm: Catalog, to: Catalog) -> DataFrame:
         kind_of.alias("what"),
         (F.col("kind").endswith("_added") | F.col("kind").endswith("_dropped")).alias("came_or_went"),
     )
-    objects = one.where(F.col("object_id").isNotNull()).groupBy(*SCOPE, "what", "object_id").agg(
-        F.count(F.lit(1)).alias("n"), F.max("came_or_went").alias("came_or_went")
+    objects = one.where(F.col("object_id").isNotNull()).groupBy(*SCOPE, "what", "object_id").agg(F.max("came_or_went").alias("came_or_went"))
+    ids = {"column": ("columns", "column_id"), "constraint": ("constraints", "constraint_id"), "index": ("indexes", "index_id")}
+    # Everything that is counted as rows of (project, what is counted, how many), summed once.
+    tally = lambda df, what, n=1: df.select(PROJECT, F.lit(what).alias("counted"), F.lit(n).cast("long").alias("n"))
+    parts = [
+        tally(frm.tables.unionByName(to.tables, allowMissingColumns=True), "n_changes", 0),
+        tally(changes, "n_changes"),
+        tally(common, "shared_table"),
+        tally(one.select(*SCOPE).distinct().join(common, SCOPE, "left_semi"), "dirty"),
+    ]
+    touched = objects.where(~F.col("came_or_went"))
+    parts.append(touched.select(PROJECT, F.concat(F.lit("touched_"), "what").alias("counted"), F.lit(1).cast("long").alias("n")))
+    in_tables = [
+        getattr(side, attr).select(*SCOPE, F.lit(what).alias("what"), F.col(ident).cast("string").alias("id"), F.lit(i).alias("side"))
+        for what, (attr, ident) in ids.items()
+        for i, side in enumerate((frm, to))
+    ]
+    held = reduce(DataFrame.unionByName, in_tables).groupBy(*SCOPE, "what", "id").agg(
+        F.count_if(F.col("side") == 0).alias("n_frm"), F.count_if(F.col("side") == 1).alias("n_to")
     )
-    touched = objects.where(~F.col("came_or_went")).groupBy(PROJECT).agg(
-        *[F.count_if(F.col("what") == w).alias(f"touched_{w}") for w in ("column", "constraint", "index")]
+    per_table = held.where((F.col("n_frm") == 1) & (F.col("n_to") == 1)).groupBy(*SCOPE, "what").agg(F.count(F.lit(1)).alias("n"))
+    per_table = per_table.join(common, SCOPE, "left_semi")
+    parts.append(per_table.select(PROJECT, F.concat(F.lit("shared_"), "what").alias("counted"), "n"))
+    names = ["n_changes", "shared_table", "dirty", *[f"{p}_{w}" for p in ("touched", "shared") for w in ids]]
+    out = reduce(DataFrame.unionByName, parts).groupBy(PROJECT).agg(
+        *[F.coalesce(F.sum(F.when(F.col("counted") == c, F.col("n"))), F.lit(0)).alias(c) for c in names]
     )
-    dirty = one.select(*SCOPE).distinct().join(common, SCOPE, "left_semi").groupBy(PROJECT).agg(F.count(F.lit(1)).alias("dirty"))
-    total = changes.groupBy(PROJECT).agg(F.count(F.lit(1)).alias("n_changes"))
-    ids = {"column": ("columns", "column_id"), "constraint": ("constraints", "constraint_id"), "index": ("indexes", "index_id")}
-    out = frm.tables.select(PROJECT).unionByName(to.tables.select(PROJECT)).distinct()
-    out = out.join(total, PROJECT, "left").join(touched, PROJECT, "left").join(dirty, PROJECT, "left")
-    out = out.join(common.groupBy(PROJECT).agg(F.count(F.lit(1)).alias("shared_table")), PROJECT, "left")
-    for what, (attr, ident) in ids.items():
-        both = shared(getattr(frm, attr), getattr(to, attr), ident)
-        out = out.join(both.withColumnRenamed("n", f"shared_{what}"), PROJECT, "left")
-    out = out.na.fill(0)
     same = {w: F.col(f"shared_{w}") - F.col(f"touched_{w}") for w in ids}
     same["table"] = F.col("shared_table") - F.col("dirty")
     return out.select(
