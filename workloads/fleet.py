@@ -587,13 +587,90 @@ def oplog_replay_catalog(d):
 
 def _log(d):
     """The edits with the fields they do not use, as nulls."""
+    return _with_unused(d["fleet_edits"])
+
+
+def _structure_log(d):
+    c = lambda i, name, kind: F.struct(
+        F.col(i).alias("column_id"), F.lit(name).alias("name"), F.lit(kind).alias("type"), F.lit(False).alias("nullable"), F.lit("").alias("default_expr")
+    )
+    makes, adds, indexes = (F.col("op") == op for op in ("create_table", "add_constraint", "add_index"))
+    log = d["structure_edits"].withColumns(
+        {
+            "columns": F.when(makes, F.array(c("c1", "a", "bigint"), c("c2", "b", "text"))),
+            "kind": F.when(adds, F.lit("unique")),
+            "column_ids": F.when(adds, F.array("c1")),
+            "index_columns": F.when(indexes, F.array(F.struct(F.col("c1").alias("column_id"), F.lit(False).alias("desc")))),
+            "is_unique": F.when(indexes, F.lit(False)),
+        }
+    )
+    return _with_unused(log.drop("c1", "c2"))
+
+
+# What the edits of tables, constraints and indexes leave.
+_MADE = "made AS (SELECT * FROM {structure_edits} e WHERE NOT EXISTS (SELECT 1 FROM {structure_edits} x WHERE x.op = 'drop_table' AND x.table_id = e.table_id))"
+
+
+@query(
+    "oplog_tables",
+    f"""WITH {_MADE}, s AS (
+  SELECT t.project_id, t.table_id, coalesce(r.name, t.name) AS name, 0 AS g, t.ordinal AS o FROM {{tables_base}} t
+  LEFT JOIN {{structure_edits}} r ON r.op = 'rename_table' AND r.table_id = t.table_id
+  UNION ALL SELECT project_id, table_id, name, 1, seq FROM made WHERE op = 'create_table')
+SELECT project_id, table_id, name, cast(row_number() OVER (PARTITION BY project_id ORDER BY g, o) AS bigint) AS ordinal FROM s""",
+)
+def oplog_tables(d):
+    after = catalog_replay.replay_catalog(catalog(d, "base"), _structure_log(d))[0].tables
+    return after.select("project_id", "table_id", "name", F.col("ordinal").cast("long").alias("ordinal"))
+
+
+@query(
+    "oplog_constraints",
+    f"""WITH {_MADE}, s AS (
+  SELECT project_id, table_id, constraint_id, kind, c1, 0 AS g, ordinal AS o FROM {{constraints_base}}
+  WHERE constraint_id NOT IN (SELECT constraint_id FROM {{structure_edits}} WHERE op = 'drop_constraint')
+  UNION ALL SELECT project_id, table_id, constraint_id, 'unique', c1, 1, seq FROM made WHERE op = 'add_constraint')
+SELECT project_id, table_id, constraint_id, kind, c1, cast(row_number() OVER (PARTITION BY project_id, table_id ORDER BY g, o) AS bigint) AS ordinal FROM s""",
+)
+def oplog_constraints(d):
+    after = catalog_replay.replay_catalog(catalog(d, "base"), _structure_log(d))[0].constraints
+    first = F.get("column_ids", F.lit(0)).alias("c1")
+    return after.select("project_id", "table_id", "constraint_id", "kind", first, F.col("ordinal").cast("long").alias("ordinal"))
+
+
+@query(
+    "oplog_indexes",
+    f"""WITH {_MADE}
+SELECT project_id, table_id, index_id, name, i1 FROM {{indexes_base}} WHERE index_id NOT IN (SELECT index_id FROM {{structure_edits}} WHERE op = 'drop_index')
+UNION ALL SELECT project_id, table_id, index_id, name, c1 FROM made WHERE op = 'add_index'""",
+)
+def oplog_indexes(d):
+    after = catalog_replay.replay_catalog(catalog(d, "base"), _structure_log(d))[0].indexes
+    return after.select("project_id", "table_id", "index_id", "name", F.get("columns", F.lit(0))["column_id"].alias("i1"))
+
+
+@query(
+    "oplog_structure_columns",
+    f"""WITH {_MADE}, m AS (SELECT * FROM made WHERE op = 'create_table')
+SELECT project_id, table_id, column_id, name, position FROM {{columns_base}}
+UNION ALL SELECT project_id, table_id, c1, 'a', 1 FROM m UNION ALL SELECT project_id, table_id, c2, 'b', 2 FROM m""",
+)
+def oplog_structure_columns(d):
+    after = catalog_replay.replay_catalog(catalog(d, "base"), _structure_log(d))[0].columns
+    return after.select("project_id", "table_id", "column_id", "name", "position")
+
+
+def _with_unused(log):
     unused = (
         "constraint_id long, index_id long, columns array<struct<column_id:long,name:string,type:string,nullable:boolean,default_expr:string>>, "
         "kind string, column_ids array<long>, ref_table_id long, ref_column_ids array<long>, on_delete string, on_update string, expr string, "
         "index_columns array<struct<column_id:long,desc:boolean>>, is_unique boolean, method string"
     )
     schema = T.StructType.fromDDL(unused)
-    return d["fleet_edits"].withColumns({f.name: F.lit(None).cast(f.dataType) for f in schema.fields})
+    schema = T.StructType([f for f in schema.fields if f.name not in log.columns])
+    named = T.StructType.fromDDL("column_id long, name string, type string, nullable boolean, default_expr string")
+    schema = T.StructType([*schema.fields, *[f for f in named.fields if f.name not in log.columns]])
+    return log.withColumns({f.name: F.lit(None).cast(f.dataType) for f in schema.fields})
 
 
 @query(

@@ -337,6 +337,31 @@ FROM {columns_base} WHERE column_id % 50 = 0
 """,
 )
 
+# Edits of tables, constraints and indexes; c1 and c2 are the columns of a made table.
+view(
+    "structure_edits",
+    """
+SELECT project_id, 1000000000 + table_id AS seq, 'create_table' AS op, table_id + 10000000 AS table_id, 'made_' || cast(table_id AS string) AS name,
+       cast(NULL AS bigint) AS constraint_id, cast(NULL AS bigint) AS index_id, table_id + 100000000 AS c1, table_id + 200000000 AS c2
+FROM {tables_base} WHERE table_id % 5 = 0
+UNION ALL
+SELECT project_id, 2000000000 + table_id, 'rename_table', table_id, name || '_r', NULL, NULL, NULL, NULL FROM {tables_base} WHERE table_id % 7 = 1
+UNION ALL
+SELECT project_id, 3000000000 + table_id, 'add_constraint', table_id + 10000000, 'one', table_id + 300000000, NULL, table_id + 100000000, NULL
+FROM {tables_base} WHERE table_id % 5 = 0
+UNION ALL
+SELECT project_id, 4000000000 + table_id, 'drop_constraint', table_id, NULL, table_id * 10 + 4, NULL, NULL, NULL
+FROM {tables_base} WHERE table_id % 6 = 0
+UNION ALL
+SELECT project_id, 5000000000 + table_id, 'add_index', table_id + 10000000, 'made_ix_' || cast(table_id AS string), NULL, table_id + 400000000, table_id + 100000000, NULL
+FROM {tables_base} WHERE table_id % 5 = 0
+UNION ALL
+SELECT project_id, 6000000000 + table_id, 'drop_index', table_id, NULL, NULL, table_id * 10 + 9, NULL, NULL FROM {tables_base} WHERE table_id % 4 = 0
+UNION ALL
+SELECT project_id, 7000000000 + table_id, 'drop_table', table_id + 10000000, NULL, NULL, NULL, NULL, NULL FROM {tables_base} WHERE table_id % 10 = 0
+""",
+)
+
 # --- snapshots of the commit graph --------------------------------------------
 # One table of two or three columns per commit; what an event carried becomes
 # the type of a column.
