@@ -251,13 +251,13 @@ def answers_by_key(
         rest = F.when(mine, F.substr("conflict_id", F.lit(len(prefix) + 2))).otherwise(rest)
     final = final_resolutions(resolutions).withColumns({"property": prop, "allow_custom": custom, "_rest": rest})
     usable = final.where(F.col("property").isNotNull() & _problem(final, dtypes).isNull())
-    # the last match is the empty one at the end
+    # an empty match may follow the last part
     cut_up = usable.withColumn("_parts", F.regexp_extract_all("_rest", F.lit(_PART + "(?::|$)"), F.lit(1)))
     parts = []
     for i, k in enumerate(key):
         part = F.regexp_replace(F.get("_parts", F.lit(i)), r"\\(.)", "$1")
         parts.append(part.try_cast(schema[k].dataType).alias(k))
-    parsed = cut_up.where(F.size("_parts") > len(key)).select(*parts, "conflict_id", "property", "choice", "custom", "_rest")
+    parsed = cut_up.where(F.size("_parts") >= len(key)).select(*parts, "conflict_id", "property", "choice", "custom", "_rest")
     # an id that only parses like a conflict's id ("01" for 1) is not that id
     return parsed.where(key_text(key, schema) == F.col("_rest")).drop("_rest")
 
