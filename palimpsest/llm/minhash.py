@@ -129,21 +129,23 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     keys = cut(rows.select("key", "doc_id", "sha", F.length("text").cast("long").alias("n_chars")).distinct())
     order = cut(next_places(keys))
     giving = order.select(F.col("next_key").alias("key"), F.col("key").alias("to"), F.floor(F.col("n_chars") / 3).cast("int").alias("n"))
-    texts = rows.select("key", "doc_id", "text")
+    # both joins below take these two columns and no others, so that the texts are shuffled once
+    texts = rows.select("key", "text")
     given = texts.join(giving.hint("shuffle_hash"), "key").select(F.col("to").alias("key"), F.expr("left(text, n)").alias("start"))
     # rows with equal id and text give equal starts
     given = given.groupBy("key").agg(F.min("start").alias("start"))
     n = F.length("text")
     both = texts.join(given.hint("shuffle_hash"), "key").select(
-        "key", "doc_id", "text", n.cast("long").alias("n_chars"), F.concat(F.substring("text", F.lit(1), n - F.floor(n / 3).cast("int")), "start").alias("edited")
+        "key", "text", n.cast("long").alias("n_chars"), F.concat(F.substring("text", F.lit(1), n - F.floor(n / 3).cast("int")), "start").alias("edited")
     )
-    both = both.select("key", "doc_id", "text", "n_chars", "edited", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
+    both = both.select("key", "text", "n_chars", "edited", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
     made = fingerprints(fingerprints(both, "text", "own"), "edited", "changed")
-    made = cut(made.select("key", "doc_id", "n_chars", "edited_sha256", "own", "changed"))
+    made = cut(made.select("key", "n_chars", "edited_sha256", "own", "changed"))
     ahead = made.select(F.col("key").alias("next_key"), F.col("own").alias("ahead")).dropDuplicates(["next_key"])
     ahead = order.select("key", "next_key").join(ahead, "next_key").select("key", "ahead")
+    doc_id = F.split_part("key", F.lit(":"), F.lit(1)).try_cast("long")  # null where the key starts with nothing
     return made.join(ahead, "key").select(
-        "doc_id",
+        doc_id.alias("doc_id"),
         "n_chars",
         "edited_sha256",
         written(F.col("own")).alias("fingerprint"),
