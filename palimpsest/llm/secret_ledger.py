@@ -162,7 +162,8 @@ def findings(ledger: DataFrame, places: DataFrame, rules: Sequence[Rule] = RULES
     current = F.array(*(F.lit(r.version) for r in rules))
     kinds = F.transform(F.filter("rules", lambda v: F.array_contains(current, v)), lambda v: F.substring_index(v, ":", 1))
     told = ledger.select("blob", F.filter("spans", lambda s: F.array_contains(kinds, s["kind"])).alias("spans"))
-    told = told.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+    # written, so that the join can split a blob that many places share
+    told = cut(told.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans")))
     return places.select("path", "blob").join(told, "blob")
 
 
