@@ -50,7 +50,7 @@ MEAN_BITS = 6
 #: Distances to the phrase's end, as shares of LENGTH, that bound the units of a phrase.
 REACH = (0.2, 0.68, 0.92)
 #: Units or suffixes that a task folds at a time.
-FOLD = 1 << 20
+FOLD = 1 << 18
 
 _MIX = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1)
 #: States of a row: a unit that may have equals, one that has, a run that is covered.
