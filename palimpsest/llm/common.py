@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.session import cut
 
-__all__ = ["cut", "documents", "held_out", "per_worker", "power_of_two", "small_batches", "table"]
+__all__ = ["ROW", "cut", "documents", "held_out", "keyed", "per_worker", "power_of_two", "small_batches", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,3 +47,14 @@ def per_worker(name: str, make: Callable[[], Any]) -> Any:
     if name not in held:
         held[name] = make()
     return held[name]
+
+
+#: Name of the column that `keyed` adds.
+ROW = "_row_key"
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """`docs` with a key of each row: where it stands in the written table; what isn't one is written first."""
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        docs = cut(docs)
+    return docs.select("*", F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias(ROW))
