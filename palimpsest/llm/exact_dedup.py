@@ -163,12 +163,13 @@ def digest(text: Column) -> Column:
     return F.sha2(bare.cast("binary"), 256)
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """doc_id, n_points (code points of the original text) and text_sha256 of the text without its white space."""
+def digests(docs: DataFrame, *carried: str) -> DataFrame:
+    """doc_id, n_points (code points of the original text), text_sha256 of the text without its white space, and `carried`."""
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_points"),
         digest(F.col("text")).alias("text_sha256"),
+        *carried,
     )
 
 
@@ -244,14 +245,14 @@ def lookup(index: DataFrame, asked: DataFrame, buckets: int) -> DataFrame:
     return asked.join(live, "digest")
 
 
-def exact_groups(docs: DataFrame) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 for every row of `docs`."""
-    rows = cut(digests(docs))
+def exact_groups(docs: DataFrame, *carried: str) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 and the columns `carried` for every row of `docs`."""
+    rows = cut(digests(docs, *carried))
     buckets = bucket_count(rows.count())
-    index = update(empty_index(docs.sparkSession), rows.mapInPandas(_fold, CHANGES), buckets)
+    index = update(empty_index(docs.sparkSession), rows.drop(*carried).mapInPandas(_fold, CHANGES), buckets)
     groups = index.filter(F.col("digest").isNotNull()).select(
         F.col("digest").alias("text_sha256"), "keep_id", F.col("copies").alias("group_size")
     )
     return rows.join(groups, "text_sha256").select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
+        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", *carried
     )

@@ -28,7 +28,7 @@ gives an empty result. Columns other than doc_id, text, source, lang are not rea
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -74,22 +74,23 @@ def tokens_and_topic(text: bytes | None, sides: Sides) -> tuple[int, int]:
     return len(words), int(((votes > 0) << np.arange(TOPIC_BITS)).sum())
 
 
-def measured(docs: DataFrame, topic: str | None = None) -> DataFrame:
-    """doc_id, source, lang, topic and tokens of every row; `topic` names a column to take as it is."""
+def measured(docs: DataFrame, topic: str | None = None, carried: Sequence[str] = ()) -> DataFrame:
+    """doc_id, source, lang, topic, tokens and `carried` of every row; `topic` names a column to take as it is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sides = Sides()
         for batch in small_batches(batches):
             found = [tokens_and_topic(t, sides) for t in batch.column(4).to_pylist()]
             own = pa.array([str(t) for _, t in found]) if topic is None else batch.column(3)
-            columns = [*batch.columns[:3], own, pa.array([n for n, _ in found], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "source", "lang", "topic", "tokens"])
+            columns = [*batch.columns[:3], own, pa.array([n for n, _ in found], pa.int64()), *batch.columns[5:]]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "source", "lang", "topic", "tokens", *carried])
 
     given = F.lit(None) if topic is None else F.col(topic)
     plain = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), "source", "lang", given.cast("string").alias("topic"), F.col("text").cast("binary").alias("text")
+        F.col("doc_id").cast("long").alias("doc_id"), "source", "lang", given.cast("string").alias("topic"), F.col("text").cast("binary").alias("text"), *carried
     )
-    return plain.mapInArrow(run, "doc_id long, source string, lang string, topic string, tokens long")
+    more = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carried)
+    return plain.mapInArrow(run, "doc_id long, source string, lang string, topic string, tokens long" + more)
 
 
 def shares(tokens: pd.Series, wanted: Mapping[str | None, float] | None, temper: float) -> pd.Series:
@@ -195,9 +196,10 @@ def mix(
     topic: str | None = None,
     most_cells: int = CELLS,
     seed: int = SEED,
+    carried: Sequence[str] = (),
 ) -> DataFrame:
-    """doc_id, source, lang, topic, tokens, weight (share of the cell), probability and sampled for every row of `docs`."""
-    rows = cut(measured(docs, topic))
+    """doc_id, source, lang, topic, tokens, weight (share of the cell), probability, sampled and `carried` for every row of `docs`."""
+    rows = cut(measured(docs, topic, carried))
     cells = cut(rows.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens")))
     if cells.count() <= most_cells:
         known = cells.toPandas().sort_values(list(MARGINS), na_position="first", ignore_index=True)
@@ -216,5 +218,5 @@ def mix(
     for m in MARGINS:
         same &= F.col(m).eqNullSafe(F.col(f"cell_{m}"))
     return rows.join(rated, same).select(
-        "doc_id", *MARGINS, "tokens", "weight", "probability", (drawn(F.col("doc_id"), seed) < F.col("probability")).alias("sampled")
+        "doc_id", *MARGINS, "tokens", "weight", "probability", (drawn(F.col("doc_id"), seed) < F.col("probability")).alias("sampled"), *carried
     )
