@@ -14,8 +14,8 @@ so records stay linked without a table of values.
 | ssn | no area 000, 666, 9xx, group 00, serial 0000 | the place among all valid numbers |
 | date | calendar, years 1900 to 2099 | the day; its format stays |
 | ip | four numbers to 255 | the 32-bit number |
-| phone | country code and 10 digits, or 10 digits in a phone's layout | the 10 digits |
-| email | local part, domain with a dot | letters among letters, digits among digits of the local part |
+| phone | + and 8 to 15 digits, or 10 digits in a phone's layout | the digits after the country code |
+| email | local part with a letter or digit, domain with a dot | letters among letters, digits among digits of the local part |
 | account | 16 digits in the layout of a card that fail its checksum | all digits; the result fails it too |
 
 The Feistel network works on any number of values: it permutes the next larger
@@ -25,6 +25,10 @@ with slashes whose day came first: the pseudonym may look as if its month did.
 
 Defined results: null stays null, an empty text empty. Text outside found values
 is untouched. Overlapping finds: the earlier start, then the order above.
+Of a card, IBAN or phone followed by further groups the longest valid reading
+counts; an account gives way to a card that starts within it and ends behind it.
+As a pseudonym may be valid together with the group behind it, such a value may
+not come back by `undo`.
 Repeated rows are treated one by one. Only doc_id and text are read.
 """
 
@@ -54,15 +58,21 @@ _DAYS = datetime.date(2099, 12, 31).toordinal() - _FIRST + 1
 _FOUND = re.compile(
     r"""
     (?P<iban>(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\ ?[A-Z0-9]{4}){2,7}(?:\ ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))
-    |(?P<email>(?<![A-Za-z0-9.+_%-])[A-Za-z0-9](?:[A-Za-z0-9.+_%-]*[A-Za-z0-9])?(?=@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}))
+    |(?P<email>(?<![A-Za-z0-9.+_%-])(?=[.+_%-]*[A-Za-z0-9])[A-Za-z0-9.+_%-]++(?=@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}))
     |(?P<ip>(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9]))
-    |(?P<date>(?<![0-9])(?:(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}([./-])[0-9]{1,2}\g{-1}(?:19|20)[0-9]{2})(?![0-9]))
+    |(?P<date>(?<![0-9])(?:(?:19|20)[0-9]{2}(?P<mark>[./-])[0-9]{1,2}(?P=mark)[0-9]{1,2}|[0-9]{1,2}([./-])[0-9]{1,2}\g{-1}(?:19|20)[0-9]{2})(?![0-9]))
     |(?P<ssn>(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-]))
-    |(?P<phone>(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)\ ?|(?<![0-9])[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9-])|\+[0-9]{11,13}(?![0-9]))
+    |(?P<phone>(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)\ ?|(?<![0-9])[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9-])|\+[0-9]{11,13}(?![0-9])
+      |(?<![A-Za-z0-9])\+(?!(?:19|20)[0-9]{2}[./-])[0-9]{1,3}[ .-]?\(?[0-9]{1,5}\)?(?:[ .-]?[0-9]{2,5}){1,5}(?![0-9]))
     |(?P<card>(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9]))
     """.replace(r"\g{-1}", "(?P=sep)").replace("([./-])", "(?P<sep>[./-])"),
     re.VERBOSE,
 )
+_CARD = re.compile(r"[0-9](?:[ -]?[0-9]){12,18}(?![0-9])")
+#: What parts the groups of a value that may be read shorter.
+_BORDERS = {"iban": " ", "card": " -", "phone": " .-"}
+#: Country codes of two digits; 1 and 7 have one, all others three.
+_TWO_DIGITS = set("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 #: A text without one of these holds nothing to find.
 _HINT = re.compile(r"[0-9]{2}|@")
 
@@ -151,7 +161,7 @@ class Pseudonyms:
 
     def _card(self, text: str) -> str | None:
         digits = "".join(c for c in text if c.isdigit())
-        if _check_digit(digits[:-1]) != int(digits[-1]):
+        if not 13 <= len(digits) <= 19 or _check_digit(digits[:-1]) != int(digits[-1]):
             return None
         body = self._digits("card", digits[:-1])
         return _filled(text, f"{body}{_check_digit(body)}")
@@ -189,7 +199,7 @@ class Pseudonyms:
         new = datetime.date.fromordinal(self._moved("date", day, _DAYS) + _FIRST)
         wide = 1 + all(len(p) >= 2 for p in parts)
         if year_first:
-            return f"{new.year}{sep}{new.month:02d}{sep}{new.day:02d}"
+            return f"{new.year}{sep}{new.month:0{wide}d}{sep}{new.day:0{wide}d}"
         first, second = (new.month, new.day) if month_first else (new.day, new.month)
         return f"{first:0{wide}d}{sep}{second:0{wide}d}{sep}{new.year}"
 
@@ -201,7 +211,12 @@ class Pseudonyms:
 
     def _phone(self, text: str) -> str | None:
         digits = "".join(c for c in text if c.isdigit())
-        return _filled(text, digits[:-10] + self._digits("phone", digits[-10:]))
+        code = len(digits) - 10
+        if text[0] == "+":
+            if not 8 <= len(digits) <= 15:
+                return None
+            code = 1 if digits[0] in "17" else 2 if digits[:2] in _TWO_DIGITS else 3
+        return _filled(text, digits[:code] + self._digits("phone", digits[code:]))
 
     def _email(self, text: str) -> str | None:
         return _filled(text, self._classes("email", "".join(c for c in text if c.isalnum())))
@@ -212,27 +227,47 @@ class Pseudonyms:
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
             new = getattr(self, f"_{kind}")(text)
-            found = None if new is None else (kind, new)
-            if found is None and kind == "card":
-                found = self.of("account", text)
-            self.known[kind, text] = found
+            self.known[kind, text] = None if new is None else (kind, new)
         return self.known[kind, text]
 
     def __call__(self, text: str | None) -> tuple[str | None, dict[str, int]]:
         counts = dict.fromkeys(KINDS, 0)
         if not text or not _HINT.search(text):
             return text, counts
-        out, done, at = [], 0, 0
+        out, done, at, refused = [], 0, 0, 0
         while found := _FOUND.search(text, at):
-            new = self.of(next(k for k in ("iban", "email", "ip", "date", "ssn", "phone", "card") if found[k] is not None), found[0])
+            kind = next(k for k in ("iban", "email", "ip", "date", "ssn", "phone", "card") if found[k] is not None)
+            start, new, end = found.start(), *self._read(kind, found[0])
+            if not new and kind == "card":
+                new, end = self._read("account", found[0])
+                # the numbers of an IBAN that isn't valid are no account with something behind it
+                if new and (start < refused and end < len(found[0]) or self._card_across(text, start, start + end)):
+                    new = None
+            if not new and kind == "iban":
+                refused = found.end()
             # what isn't valid may still begin with, or hold, another kind of value
-            at = found.end() if new else _next_start(text, found)
+            at = start + end if new else _next_start(text, found)
             if new:
                 counts[new[0]] += 1
-                out += (text[done : found.start()], new[1])
-                done = found.end()
+                out += (text[done:start], new[1])
+                done = at
         return "".join([*out, text[done:]]), counts
 
+    def _read(self, kind: str, text: str) -> tuple[tuple[str, str] | None, int]:
+        """The longest valid reading of `text` that ends with one of its groups, and its length."""
+        borders = _BORDERS.get("card" if kind == "account" else kind, "")
+        for end in range(len(text), 0, -1):
+            if (end == len(text) or text[end] in borders) and (new := self.of(kind, text[:end])):
+                return new, end
+        return None, 0
+
+    def _card_across(self, text: str, start: int, end: int) -> bool:
+        """Whether a valid card starts with a later group of text[start:end] and ends behind it."""
+        for at in range(start + 1, end):
+            if text[at - 1] in _BORDERS["card"] and (found := _CARD.match(text, at)) and at + self._read("card", found[0])[1] > end:
+                return True
+        return False
+
 
 def _next_start(text: str, found: re.Match) -> int:
     """After a find that isn't valid: the end of the run of letters or digits it starts with."""
