@@ -11,14 +11,16 @@ Objects are matched by id; references are ids, so a rename never breaks one.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, fields
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions.types import action_words, render_type
 from palimpsest.functions.words import has_text
+from palimpsest.operators.align import counts_by_key, skipped_keys
 from palimpsest.operators.spread import lookup
 
 PROJECT, TABLE = "project_id", "table_id"
@@ -41,6 +43,35 @@ class Catalog:
         return self.map(lambda df: df.where(F.lit(False)))
 
 
+#: What a catalog holds: its table and its own id.
+OBJECTS = {
+    "table": ("tables", TABLE),
+    "column": ("columns", "column_id"),
+    "constraint": ("constraints", "constraint_id"),
+    "index": ("indexes", "index_id"),
+}
+
+
+def skipped_objects(sides: Mapping[str, Catalog]) -> DataFrame:
+    """`(project_id, table_id, what, object_id, problem, n_<side>…)`: objects whose
+    id is repeated or null on a side, which are therefore not compared."""
+    parts = []
+    for what, (attr, ident) in OBJECTS.items():
+        key = SCOPE if what == "table" else [*SCOPE, ident]
+        rows = {s: getattr(cat, attr) for s, cat in sides.items()}
+        found = skipped_keys(counts_by_key(rows, key), rows, key)
+        counts = [f"n_{s}" for s in sides]
+        parts.append(found.select(*SCOPE, F.lit(what).alias("what"), F.col(ident).cast("string").alias("object_id"), "problem", *counts))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def told(sides: Sequence[str]) -> Column:
+    """A row of `skipped_objects` in words."""
+    times = F.concat_ws(", ", *[F.concat(F.lit(f"{s} "), F.col(f"n_{s}").cast("string")) for s in sides])
+    ident = F.coalesce("object_id", F.lit("null"))
+    return F.concat(F.col("what"), F.lit(" "), ident, F.lit(" is not compared, "), F.col("problem"), F.lit(": "), times)
+
+
 def blank(col: str) -> Column:
     """Missing text reads as empty."""
     return F.coalesce(F.col(col), F.lit(""))

@@ -21,6 +21,8 @@ from palimpsest.operators.catalog import (
     describe_constraints,
     describe_indexes,
     plain_columns,
+    skipped_objects,
+    told,
 )
 from palimpsest.operators.spread import lookup
 from palimpsest.session import cut
@@ -42,6 +44,9 @@ KINDS = [
     "index_added",
     "index_dropped",
     "index_modified",
+    # objects that are not compared
+    "duplicate_key",
+    "null_key",
 ]
 OUT = [PROJECT, "kind", "table", TABLE, "object", "object_id", "from_value", "to_value", "text"]
 SIDES = ("frm", "to")
@@ -250,8 +255,16 @@ def _members(pairs: DataFrame, ident: str, change: Column) -> DataFrame:
     )
 
 
+def skipped_changes(frm: Catalog, to: Catalog) -> DataFrame:
+    """Objects that are not compared: what they are as `object`, and how often their id stands on each side."""
+    skipped = skipped_objects({"frm": frm, "to": to})
+    change = _entry("", F.col("what"), F.col("n_frm"), F.col("n_to"), told(SIDES)).withField("kind", F.col("problem"))
+    return skipped.select(*SCOPE, _none().alias("table"), "object_id", change.alias("c")).select(*SCOPE, "table", "object_id", "c.*")
+
+
 def catalog_diff(frm: Catalog, to: Catalog) -> DataFrame:
-    """Every semantic change from `frm` to `to`, for all projects.
+    """Every semantic change from `frm` to `to`, for all projects, and the
+    objects whose id is repeated or null.
 
     Tables are aligned once and written; what is in them is aligned once for
     each type of object."""
@@ -260,8 +273,8 @@ def catalog_diff(frm: Catalog, to: Catalog) -> DataFrame:
 
 def _diff(frm: Catalog, to: Catalog, tables: DataFrame) -> DataFrame:
     parts = [f(frm, to, tables) for f in (table_changes, column_changes, constraint_changes, index_changes)]
-    out = parts[0]
-    for p in parts[1:]:
+    out = skipped_changes(frm, to)
+    for p in parts:
         out = out.unionByName(p)
     return out.select(*OUT)
 

@@ -28,6 +28,8 @@ from palimpsest.operators.catalog import (
     describe_constraints,
     describe_indexes,
     plain_columns,
+    skipped_objects,
+    told,
     typed_columns,
 )
 from palimpsest.operators.catalog_checks import check_catalog
@@ -91,9 +93,18 @@ class CatalogMerge:
     merged: Catalog
     conflicts: DataFrame  # still open
     resolution_problems: DataFrame
+    skipped: DataFrame  # objects whose id is repeated or null on a side, which are not merged
 
     def problems(self) -> DataFrame:
-        return check_catalog(self.merged)
+        """`(project_id, code, table, object, message)` of the merged catalog and of what is left out of it."""
+        left_out = self.skipped.select(
+            PROJECT,
+            F.col("problem").alias("code"),
+            F.col(TABLE).cast("string").alias("table"),
+            F.col("object_id").alias("object"),
+            told(SIDES).alias("message"),
+        )
+        return check_catalog(self.merged).unionByName(left_out)
 
     def gate(self, projects: DataFrame) -> DataFrame:
         """One decision per project."""
@@ -402,7 +413,8 @@ def merge_catalogs(base: Catalog, ours: Catalog, theirs: Catalog, resolutions: D
         for part in (pk_all, tables_all, columns_all, indexes_all):
             every = every.unionByName(part)
         problems = _answer_problems([every], [(t, TABLES), (c, COLUMNS), (k, CONSTRAINTS), (x, INDEXES)], answers)
-    return CatalogMerge(merged, conflicts, problems)
+    skipped = skipped_objects({"base": base, "ours": ours, "theirs": theirs})
+    return CatalogMerge(merged, conflicts, problems, skipped)
 
 
 def shown_conflicts(conflicts: DataFrame, base: Catalog, ours: Catalog, theirs: Catalog) -> DataFrame:

@@ -18,6 +18,7 @@ from palimpsest.operators.catalog import (
     canonical_constraint,
     canonical_index,
     plain_columns,
+    skipped_objects,
 )
 from palimpsest.operators.catalog_diff import resolve_refs, snapshots_at
 from palimpsest.operators.lists import rank_lists_and_cycles
@@ -327,6 +328,13 @@ def _table_steps(frm: Catalog, to: Catalog, tables: DataFrame) -> list[DataFrame
     return [drops, renames, creates]
 
 
+def _skipped_steps(frm: Catalog, to: Catalog) -> DataFrame:
+    """Phase 0: objects without a step, because their id is repeated or null; how often it stands on each side."""
+    skipped = skipped_objects({"frm": frm, "to": to})
+    ident = F.concat_ws(" ", "what", F.coalesce("object_id", F.lit("null")))
+    return _rows(skipped, 0, F.col("problem"), F.col(TABLE).cast("string"), ident, F.col("n_frm"), F.col("n_to"), F.col("problem"))
+
+
 def migration_plan(frm: Catalog, to: Catalog) -> DataFrame:
     """Every step from `frm` to `to` for all projects, with its phase and the
     order inside the phase. Modified constraints and indexes are dropped and
@@ -337,6 +345,7 @@ def migration_plan(frm: Catalog, to: Catalog) -> DataFrame:
         *_constraint_steps(frm, to, tables),
         *_column_steps(frm, to, tables),
         *_table_steps(frm, to, tables),
+        _skipped_steps(frm, to),
     ]
     out = parts[0]
     for p in parts[1:]:
