@@ -34,6 +34,7 @@ def counts_by_key(sides: Mapping[str, DataFrame], key: Sequence[str]) -> DataFra
 def differing_keys(sides: Mapping[str, DataFrame], key: Sequence[str], cols: Sequence[str]) -> DataFrame:
     """Keys whose row is not the same on every side.
 
+    A key that is not there once on every side differs, also where its rows are equal.
     Moves only the key and a 128-bit digest per row, never the row, and keeps
     fixed-width buffers, so the aggregation hashes and does not sort.
     """
@@ -44,13 +45,13 @@ def differing_keys(sides: Mapping[str, DataFrame], key: Sequence[str], cols: Seq
 
     stacked = _stack(sides, key, payload)
     spread = stacked.groupBy(*key).agg(
-        F.count(F.lit(1)).alias("_n"),
+        *[F.count(_on(i, F.lit(1))).alias(f"_n{i}") for i in range(len(sides))],
         F.min("_h1").alias("_a"),
         F.max("_h1").alias("_b"),
         F.min("_h2").alias("_c"),
         F.max("_h2").alias("_d"),
     )
-    moved = (F.col("_n") != len(sides)) | (F.col("_a") != F.col("_b")) | (F.col("_c") != F.col("_d"))
+    moved = any_of([F.col(f"_n{i}") != 1 for i in range(len(sides))]) | (F.col("_a") != F.col("_b")) | (F.col("_c") != F.col("_d"))
     return spread.where(moved).select(*key)
 
 
