@@ -31,9 +31,9 @@ def _report(df: DataFrame, code: str, obj: Column, message: Column) -> DataFrame
     return df.select(PROJECT, F.lit(code).alias("code"), F.col("table"), obj.alias("object"), message.alias("message"))
 
 
-def _row(df: DataFrame, by: str, code: str, obj: Column, before: Column | str, after: Column | str) -> DataFrame:
-    """A problem whose message still lacks the name of its table."""
-    text = lambda c: F.lit(c) if isinstance(c, str) else c
+def _row(df: DataFrame, by: str, code: str, obj: Column, before: Column | str, after: Column | str | None) -> DataFrame:
+    """A problem whose message still lacks the name of its table; without `after` it does not name it."""
+    text = lambda c: c if isinstance(c, Column) else F.lit(c).cast("string")
     return df.select(
         *SCOPE, F.col(by).cast("string").alias("by"), F.lit(code).alias("code"), obj.alias("object"), text(before).alias("before"), text(after).alias("after")
     )
@@ -60,7 +60,7 @@ def check_catalog(cat: Catalog) -> DataFrame:
     ]
     # All problems meet the names of their tables together.
     named = lookup(reduce(DataFrame.unionByName, rows), names, SCOPE, ["by"], salts=TABLE_SALTS)
-    found = named.select(PROJECT, "code", "table", "object", F.concat("before", _quote(table), "after").alias("message"))
+    found = named.select(PROJECT, "code", "table", "object", F.concat("before", F.coalesce(F.concat(_quote(table), "after"), F.lit(""))).alias("message"))
     same_name = collisions(cat.tables, [PROJECT, "name"], [TABLE], ["ordinal"]).withColumn("table", F.col("name"))
     found = found.unionByName(_report(same_name, "duplicate_table_name", _nothing(), _say("two tables are named ", _quote(table))))
     return found.unionByName(_repeated_index_names(cat)).select(*OUT)
@@ -127,6 +127,6 @@ def _index_problems(cat: Catalog) -> list[DataFrame]:
     empty = cat.indexes.where(F.coalesce(F.size("columns"), F.lit(0)) <= 0)
     index = _say("index ", _quote(name))
     return [
-        _row(empty, "index_id", "index_no_columns", name, index, " has no columns"),
+        _row(empty, "index_id", "index_no_columns", name, _say(index, " has no columns"), None),
         _row(lost, "index_id", "index_missing_column", name, _say(index, " references a column that no longer exists on "), ""),
     ]

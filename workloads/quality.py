@@ -221,8 +221,11 @@ def fk_orphans_merged_orders(d):
 
 # --- replay -------------------------------------------------------------------
 
-_LIVE = """e AS (SELECT k, cast(-1 AS bigint) AS seq, 'insert' AS op, val, kind, 'val,kind' AS assigned FROM {balances}
-  UNION ALL SELECT k, seq, op, val, kind, CASE WHEN op = 'insert' THEN 'val,kind' ELSE assigned END FROM {edit_log}),
+def _live(upto: int | None = None) -> str:
+    """Edits up to `upto` that count, and the last of each kind for every key."""
+    bound = "" if upto is None else f" WHERE seq <= {upto}"
+    return f"""e AS (SELECT k, cast(-1 AS bigint) AS seq, 'insert' AS op, val, kind, 'val,kind' AS assigned FROM {{balances}}
+  UNION ALL SELECT k, seq, op, val, kind, CASE WHEN op = 'insert' THEN 'val,kind' ELSE assigned END FROM {{edit_log}}{bound}),
 p AS (SELECT *, coalesce(last_value(CASE op WHEN 'insert' THEN 1 WHEN 'delete' THEN 0 END IGNORE NULLS)
     OVER (PARTITION BY k ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS alive FROM e),
 w AS (SELECT *, CASE WHEN op = 'insert' AND alive = 1 THEN 'insert_on_existing' WHEN op = 'update' AND alive = 0 THEN 'update_on_missing'
@@ -231,32 +234,39 @@ v AS (SELECT *, CASE WHEN op <> 'delete' AND assigned LIKE '%val%' THEN seq END
    CASE WHEN op <> 'delete' AND assigned LIKE '%kind%' THEN seq END AS ks,
    CASE WHEN op <> 'update' THEN seq END AS ls FROM w WHERE reason IS NULL),
 f AS (SELECT k, max(vs) AS vs, max(ks) AS ks, max(ls) AS ls FROM v GROUP BY k)"""
-_STATE = f"""WITH {_LIVE} SELECT f.k, a.val, b.kind FROM f JOIN v a ON a.k = f.k AND a.seq = f.vs
+
+
+def _state(upto: int | None = None) -> str:
+    return f"""WITH {_live(upto)} SELECT f.k, a.val, b.kind FROM f JOIN v a ON a.k = f.k AND a.seq = f.vs
 JOIN v b ON b.k = f.k AND b.seq = f.ks JOIN v l ON l.k = f.k AND l.seq = f.ls WHERE l.op = 'insert'"""
 
 
+#: The edit that `as_of_orders` looks back to; the smallest tables have edits after it.
+AS_OF = 500
+
+
 def _log(d):
     return d["edit_log"].withColumn("assigned", F.split("assigned", ","))
 
 
-@query("replay_state_orders", _STATE)
+@query("replay_state_orders", _state())
 def replay_state_orders(d):
     return replay.replay_rows(d["balances"], _log(d), ["k"], ["val", "kind"])
 
 
-@query("replay_errors_orders", f"WITH {_LIVE} SELECT k, seq, op, reason FROM w WHERE reason IS NOT NULL")
+@query("replay_errors_orders", f"WITH {_live()} SELECT k, seq, op, reason FROM w WHERE reason IS NOT NULL")
 def replay_errors_orders(d):
     return replay.replay_errors(d["balances"], _log(d), ["k"], ["val", "kind"])
 
 
-@query("as_of_orders", _STATE.replace("seq <= 999999999", "seq <= 5000"))
+@query("as_of_orders", _state(AS_OF))
 def as_of_orders(d):
-    return replay.as_of(d["balances"], _log(d), ["k"], ["val", "kind"], 5000)
+    return replay.as_of(d["balances"], _log(d), ["k"], ["val", "kind"], AS_OF)
 
 
 @query(
     "validity_intervals_orders",
-    f"""WITH {_LIVE}, t AS (SELECT k, seq, op, lead(seq) OVER (PARTITION BY k ORDER BY seq) AS to_seq,
+    f"""WITH {_live()}, t AS (SELECT k, seq, op, lead(seq) OVER (PARTITION BY k ORDER BY seq) AS to_seq,
   last_value(vs IGNORE NULLS) OVER (PARTITION BY k ORDER BY seq ROWS UNBOUNDED PRECEDING) AS vs,
   last_value(ks IGNORE NULLS) OVER (PARTITION BY k ORDER BY seq ROWS UNBOUNDED PRECEDING) AS ks FROM v)
 SELECT t.k, CASE WHEN t.seq >= 0 THEN t.seq END AS from_seq, t.to_seq, a.val, b.kind FROM t
