@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import exact_dedup, knn_quality, minhash, mixture, packing, phrase_dedup, pseudonyms, rank_language, secret_ledger, simhash
+from palimpsest.llm import exact_dedup, knn_quality, line_index, minhash, mixture, packing, phrase_dedup, pseudonyms, rank_language, secret_ledger, simhash
 from palimpsest.llm.common import documents, table
 
 
@@ -62,6 +62,11 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.edited_fingerprints(documents(spark, sf_dir))
 
 
+def op11_line_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that a document of smaller id holds too."""
+    return line_index.summary(line_index.deduplicated(documents(spark, sf_dir)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_knn_quality": op1_knn_quality,
     "op2_exact_dedup": op2_exact_dedup,
@@ -73,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_ledger": op8_secret_ledger,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_minhash": op10_minhash,
+    "op11_line_index": op11_line_index,
 }
 
 #: Pattern, group that must have so many characters, and the places of its matches, in SQL.
@@ -123,4 +129,17 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
     """,
     "op8_secret_ledger": _SECRET_SQL,
+    "op11_line_index": r"""
+        WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+        l AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS i FROM d),
+        k AS (
+            SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+                                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+            FROM l
+        ),
+        f AS (SELECT key, min(doc_id) AS keep_id FROM k WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) > 1)
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (doc_id > keep_id) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (keep_id IS NULL OR doc_id = keep_id), '')) AS kept_sha256
+        FROM k LEFT JOIN f USING (key) GROUP BY doc_id
+    """,
 }
