@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from palimpsest.llm import exact_dedup, knn_quality, line_index, minhash, mixture, packing, phrase_dedup, pseudonyms, rank_language, secret_ledger, simhash
+from palimpsest.llm import exact_dedup, knn_quality, line_index, minhash, mixture, packing, periodic_runs, phrase_dedup, pseudonyms, rank_language, secret_ledger, simhash
 from palimpsest.llm.common import documents, table
 
 
@@ -67,6 +68,22 @@ def op11_line_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_index.summary(line_index.deduplicated(documents(spark, sf_dir)))
 
 
+def _with_periodic_tails(docs: DataFrame) -> DataFrame:
+    """`docs` in which, from word a on, every tenth id's text goes on in a period of p of its own words (a, p by the id)."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    chosen = F.when(h % 10 == 0, periodic_runs.words_of(F.col("text")))
+    docs = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), chosen.alias("words"))
+    docs = docs.withColumn("n", F.size("words")).withColumn("a", F.expr("g % n"))
+    docs = docs.withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    said = F.expr("array_join(transform(sequence(0, n - 1), i -> words[cast(if(i < a, i, a + (i - a) % p) AS int)]), ' ')")
+    return docs.select("doc_id", F.when(F.col("n") > 0, said).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's runs of words, and its text with each run cut to one period."""
+    return periodic_runs.summary(periodic_runs.collapsed(_with_periodic_tails(documents(spark, sf_dir))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_knn_quality": op1_knn_quality,
     "op2_exact_dedup": op2_exact_dedup,
@@ -79,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_minhash": op10_minhash,
     "op11_line_index": op11_line_index,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 #: Pattern, group that must have so many characters, and the places of its matches, in SQL.
