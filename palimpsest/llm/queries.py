@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import exact_dedup, knn_quality, line_index, minhash, mixture, packing, periodic_runs, phrase_dedup, pseudonyms, rank_language, secret_ledger, simhash
+from palimpsest.llm import best_position, exact_dedup, knn_quality, line_index, minhash, mixture, packing, periodic_runs, phrase_dedup, pseudonyms, rank_language, secret_ledger, simhash
 from palimpsest.llm.common import documents, table
 
 
@@ -84,6 +84,11 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.summary(periodic_runs.collapsed(_with_periodic_tails(documents(spark, sf_dir))))
 
 
+def op13_best_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 highest-scoring documents of every benchmark item."""
+    return best_position.search(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_knn_quality": op1_knn_quality,
     "op2_exact_dedup": op2_exact_dedup,
@@ -97,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_minhash": op10_minhash,
     "op11_line_index": op11_line_index,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_best_position": op13_best_position,
 }
 
 #: Pattern, group that must have so many characters, and the places of its matches, in SQL.
@@ -160,4 +166,26 @@ ORACLES: dict[str, str] = {
                sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (keep_id IS NULL OR doc_id = keep_id), '')) AS kept_sha256
         FROM k LEFT JOIN f USING (key) GROUP BY doc_id
     """,
+    "op13_best_position": r"""
+        WITH parts AS (
+            SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                     '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+            FROM documents
+        ),
+        d AS (SELECT doc_id, count(*) AS n FROM parts GROUP BY doc_id),
+        s AS (SELECT count(*) AS documents, sum(n)::BIGINT AS terms FROM d),
+        q AS (
+            SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                               '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+            FROM benchmark
+        ),
+        t AS (SELECT term, doc_id, count(*) AS tf FROM parts SEMI JOIN q USING (term) GROUP BY term, doc_id),
+        w AS (SELECT term, floor(1000 * ln((2 * any_value(documents) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM t, s GROUP BY term),
+        r AS (
+            SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * documents) // terms))))::BIGINT AS score
+            FROM q JOIN t USING (term) JOIN w USING (term) JOIN d USING (doc_id), s GROUP BY item_id, doc_id
+        )
+        SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score
+        FROM r WHERE score > 0 QUALIFY rank <= 50
+    """,
 }
