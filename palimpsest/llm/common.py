@@ -54,7 +54,5 @@ ROW = "_row_key"
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """`docs` with a key of each row: where it stands in the written table; what isn't one is written first."""
-    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
-        docs = cut(docs)
-    return docs.select("*", F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias(ROW))
+    """`docs`, written, with a key of each row: where it stands in the written table."""
+    return cut(docs).select("*", F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias(ROW))

@@ -22,8 +22,8 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -49,8 +49,7 @@ _SHAPES = bytes(
 _RUNS = re.compile(rb"(.)\1+", re.DOTALL)
 
 
-@dataclass
-class Model:
+class Model(NamedTuple):
     """projection: FEATURES × rank, with the features' inverse frequencies; vectors: labelled unit vectors."""
 
     projection: np.ndarray
@@ -169,14 +168,24 @@ def _scores(texts: list[bytes | None], model: Model | None, known: Features) ->
     return vote(latent(texts, model.projection, known), model)
 
 
+def _shared(docs: DataFrame, model: Model | None) -> Callable[[], Model | None]:
+    """Hands a task the model. Its arrays alone are broadcast: a class would be looked up on the executor by its module's name."""
+    arrays = docs.sparkSession.sparkContext.broadcast(None if model is None else tuple(model))
+
+    def held() -> Model | None:
+        return None if arrays.value is None else Model(*arrays.value)
+
+    return held
+
+
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of `docs`."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = _shared(docs, model)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Features()
+        known, held = Features(), shared()
         for batch in small_batches(batches):
-            scores = _scores(batch.column(1).to_pylist(), shared.value, known)
+            scores = _scores(batch.column(1).to_pylist(), held, known)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], ["doc_id", "score"])
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
@@ -186,12 +195,12 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
 
 def accepted(docs: DataFrame, model: Model | None, least: float = 0.5) -> DataFrame:
     """Rows of `docs`, with all their columns, that score `least` or more; nothing is shuffled."""
-    shared, place = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+    shared, place = _shared(docs, model), docs.columns.index("text")
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Features()
+        known, held = Features(), shared()
         for batch in small_batches(batches):
             texts = batch.column(place).cast(pa.binary()).to_pylist()
-            yield batch.filter(pa.array(_scores(texts, shared.value, known) >= least))
+            yield batch.filter(pa.array(_scores(texts, held, known) >= least))
 
     return docs.mapInArrow(kept, docs.schema)

@@ -1,14 +1,17 @@
 """Packing documents into windows of tokens by best-fit decreasing.
 
-A document's ids, with the end id, are cut into full windows and a rest. Full
-windows are sequences of their own. Rests are dealt out by hash into groups of
-about GROUP; in a group they are placed from the longest to the shortest, each
-into the open window with the least room that still holds it. A segment tree
-over remaining capacities finds that window in log2(window) steps.
-
-Unless ids are asked for, only lengths and checksums are shuffled. Groups are independent, so a lost
-executor repeats only its own groups, and the padding of a group's last windows
-is the price of packing on many machines: it falls as 1 / GROUP.
+A document's ids, with the end id, are cut into full windows and a rest. Pieces
+are dealt out by hash into groups of about GROUP; in a group they are placed from
+the longest to the shortest, each into the open window with the least room that
+still holds it. A segment tree over remaining capacities finds that window in
+log2(window) steps.
+
+Only numbers, lengths and hashes of pieces are placed, a few hundred kB a group;
+the places then join the pieces, whose ids the JVM moves once and Python never
+sees again. Groups are independent, so a lost executor repeats only its own
+groups, and the padding of a group's last windows is the price of packing on
+many machines: it falls as 1 / GROUP. Rows of equal id and text of which there
+are more than GROUP are spread over all groups.
 
 Defined results: a null text is the empty text, whose only id is the end id.
 Rows that repeat a doc_id are packed one by one. An empty table gives an empty
@@ -22,9 +25,9 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,10 +37,10 @@ WINDOW = 4096
 END = 2
 GROUP = 16_384
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
-#: Stretches of a generation whose ids a Python worker remembers.
-REMEMBERED = 500_000
+#: Bytes of a generation of stretches, with their ids, that a Python worker remembers (about 200 each besides).
+REMEMBERED = 4_000_000
 
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, piece long, ids binary"
 
 
 class Ids:
@@ -46,7 +49,7 @@ class Ids:
     The tokenizer drops white space and never joins across it, so a text's ids
     are those of its stretches one after the other. New stretches are encoded
     together as one text and told apart by their offsets. Two generations of
-    at most REMEMBERED stretches are kept.
+    about REMEMBERED bytes are kept; one batch may go beyond.
     """
 
     def __init__(self, path: str):
@@ -56,13 +59,15 @@ class Ids:
         self.tokenizer = Tokenizer.from_file(path)
         self.now: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
+        self.held = 0
 
     def of(self, texts: list[str]) -> list[bytes]:
         split = [text.replace("\n", " ").split(" ") for text in texts]
         new = list(set().union(*split).difference(self.now))
-        if new and len(self.now) + len(new) > REMEMBERED:
-            self.now, self.before = {}, self.now
+        if new and self.held > REMEMBERED:
+            self.now, self.before, self.held = {}, self.now, 0
             new = list(set().union(*split))
+        self.held += sum(map(len, new))
         self.now.update((w, self.before[w]) for w in new if w in self.before)
         unknown = [w for w in new if w not in self.now]
         # a comma or full stop after a letter is a token of its own
@@ -83,11 +88,12 @@ class Ids:
 
 
 def pieces(docs: DataFrame, window: int = WINDOW, tokenizer: str = TOKENIZER, end: int = END, with_ids: bool = True) -> DataFrame:
-    """One row per piece of every document: where it starts, its length and checksum, and its ids."""
+    """One row per piece of every document: where it starts, its length and checksum, its number, and its ids."""
     last = np.array([end], "<u4").tobytes()
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = per_worker(f"ids {tokenizer}", lambda: Ids(tokenizer))
+        number = TaskContext.get().partitionId() << 36
         for batch in small_batches(batches):
             rows = []
             texts = known.of([t or "" for t in batch.column(1).to_pylist()])
@@ -95,9 +101,11 @@ def pieces(docs: DataFrame, window: int = WINDOW, tokenizer: str = TOKENIZER, en
                 ids += last
                 for at in range(0, len(ids), 4 * window):
                     part = ids[at : at + 4 * window]
-                    rows.append((doc_id, at // 4, len(part) // 4, zlib.crc32(part), len(ids) // 4, part if with_ids else None))
-            types = [pa.int64()] * 5 + [pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"])
+                    rows.append((doc_id, at // 4, len(part) // 4, zlib.crc32(part), len(ids) // 4, number, part if with_ids else None))
+                    number += 1
+            types = [pa.int64()] * 6 + [pa.binary()]
+            columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "piece", "ids"])
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return plain.mapInArrow(made, PIECES)
@@ -154,14 +162,12 @@ def best_fit(sizes: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.nd
 
 
 def _placed(window: int, stride: int):
-    columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        # an order of the pieces that does not hang on how they arrived
-        group = group.sort_values(["doc_id", "start", "ids_crc32", "length", "doc_tokens"], kind="stable")
-        number, offset = best_fit(group["length"].to_numpy(), window)
-        group["sequence_id"], group["offset"] = number * stride + group["part"].to_numpy(), offset
-        return group[columns + ["ids"] * ("ids" in group)]
+    def run(group: pa.Table) -> pa.Table:
+        # an order of the pieces that does not hang on how they arrived; equal ones may stand for each other
+        group = group.sort_by([("length", "descending"), ("key", "ascending"), ("piece", "ascending")])
+        number, offset = best_fit(group.column("length").to_numpy(), window)
+        sequence = number * stride + group.column("part").to_numpy()
+        return pa.table([group.column("piece"), pa.array(sequence), pa.array(offset)], ["piece", "sequence_id", "offset"])
 
     return run
 
@@ -172,8 +178,10 @@ def pack(
     """One row per piece with its sequence and place in it; with `with_ids` also its ids (32-bit little-endian)."""
     made = cut(pieces(docs, window, tokenizer, end, with_ids))
     groups = max(1, -(-made.count() // group))
-    if not with_ids:
-        made = made.drop("ids")
-    part = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "doc_tokens"), F.lit(groups))
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return made.withColumn("part", part).groupBy("part").applyInPandas(_placed(window, groups), schema + ", ids binary" * with_ids)
+    keys = made.select("piece", "length", F.xxhash64("doc_id", "start", "ids_crc32", "doc_tokens").alias("key"))
+    hot = cut(keys.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > group).select("key", F.lit(True).alias("hot")))
+    salt = F.when(F.col("hot"), F.col("piece")).otherwise(0)
+    dealt = keys.join(hot, "key", "left").select("piece", "length", "key", F.pmod(F.xxhash64("key", salt), F.lit(groups)).alias("part"))
+    places = dealt.groupBy("part").applyInArrow(_placed(window, groups), "piece long, sequence_id long, offset long")
+    columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
+    return made.join(places.hint("shuffle_hash"), "piece").select(columns)

@@ -26,7 +26,7 @@ one component if they link. An empty table gives an empty result.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -65,17 +65,18 @@ def simhash(raw: bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and the fingerprint as a long (its 64 bits, sign included)."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, carried: Sequence[str] = ()) -> DataFrame:
+    """doc_id, the fingerprint as a long (its 64 bits, sign included) and the columns `carried`."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
             texts = batch.column(1).to_pylist()
             bits = np.fromiter((simhash(t or b"", shingle) for t in texts), np.uint64, len(texts)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits), *batch.columns[2:]], ["doc_id", "fp", *carried])
 
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return plain.mapInArrow(made, "doc_id long, fp long")
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), *carried)
+    more = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carried)
+    return plain.mapInArrow(made, "doc_id long, fp long" + more)
 
 
 def plan_keys(distinct: int, radius: int = RADIUS) -> list[int]:
@@ -225,13 +226,23 @@ def links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     return tiles.mapInPandas(_compare(radius), "a long, b long")
 
 
+def _rooted(distinct: DataFrame, radius: int) -> DataFrame:
+    """`distinct` (column fp) with the root of each fingerprint's component."""
+    ends = components(links(distinct.select("fp"), radius))
+    return cut(distinct.join(ends.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+
+
 def near_groups(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (least doc_id of the component) for every row of `docs`."""
     rows = cut(fingerprints(docs, shingle))
-    distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
-    ends = components(links(distinct.select("fp"), radius))
-    rooted = distinct.join(ends.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    rooted = cut(rooted)
+    rooted = _rooted(cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"))), radius)
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     component = rooted.join(least, "root").select("fp", "component_id")
     return rows.join(component, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def first_rows(docs: DataFrame, row: str, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+    """`row` of one row of `docs` for each component: that of the least doc_id (null last), then of the least `row`."""
+    rank = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", row)
+    distinct = cut(fingerprints(docs, shingle, [row]).groupBy("fp").agg(F.min(rank).alias("first")))
+    return _rooted(distinct, radius).groupBy("root").agg(F.min("first").alias("first")).select(f"first.{row}")

@@ -1,5 +1,10 @@
 from __future__ import annotations
 
+import os
+import subprocess
+import sys
+from pathlib import Path
+
 import numpy as np
 import pytest
 from palimpsest.llm import knn_quality as op
@@ -69,3 +74,21 @@ def test_held_out_accuracy(spark):
     for value in (0, 1):
         own = [r["predicted"] == value for r in found if r["quality"] == value]
         assert sum(own) / len(own) > 0.9
+
+
+def test_executors_need_no_package(tmp_path):
+    """The package is on the driver's path only, and its folder is not the workers' own."""
+    script = f"""
+import sys
+sys.path.insert(0, {str(Path(__file__).resolve().parents[2])!r})
+from pyspark.sql import SparkSession
+from palimpsest.llm import knn_quality as op
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+docs = spark.createDataFrame([(i, ("good words here " if i % 2 else "X | Y !! ") * 9) for i in range(40)], "doc_id long, text string")
+labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as quality")
+model = op.fit(docs, labels)
+print("rows", op.score(docs, model).filter("predicted = doc_id % 2").count(), op.accepted(docs, model).count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "rows 40 20" in done.stdout, done.stderr[-2000:]

@@ -19,7 +19,7 @@ def test_ids_are_the_tokenizers_own():
 
 
 def test_memory_of_words_is_bounded(monkeypatch):
-    monkeypatch.setattr(op, "REMEMBERED", 50)
+    monkeypatch.setattr(op, "REMEMBERED", 200)
     known = op.Ids(op.TOKENIZER)
     texts = [prose(i, 40) for i in range(12)]
     for text in texts + texts:
@@ -87,5 +87,13 @@ def test_pieces_and_sequences(spark):
     check(spark, rows, 512, 60)
 
 
+def test_equal_rows_are_dealt_to_all_groups(spark):
+    out = op.pack(docs(spark, [(None, "same text")] * 4000), window=64, group=500).collect()
+    groups = [r["sequence_id"] % 8 for r in out]
+    assert len(out) == 4000 and max(map(groups.count, range(8))) < 700
+    places = {(r["sequence_id"], r["offset"]) for r in out}
+    assert len(places) == 4000
+
+
 def test_empty_table(spark):
     assert op.pack(docs(spark, [])).collect() == []
