@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from palimpsest.llm import exact_dedup, knn_quality, mixture, near_copies, packing
+from palimpsest.llm import exact_dedup, knn_quality, mixture, packing, simhash
 from palimpsest.llm.common import ROW, cut, documents, keyed, table
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,9 +40,9 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies: 80 of 100 five-word shingles in common, or more."""
+    """One document of each component of near copies, as the SimHash operator links them."""
     rows = keyed(docs)
-    return _only(rows, near_copies.first_rows(rows, ROW))
+    return _only(rows, simhash.first_rows(rows, ROW))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
