@@ -6,6 +6,7 @@ import corpus_pipeline as op
 from palimpsest.llm import mixture
 
 from .helpers import docs, prose
+from .test_simhash import near, plain_simhash
 
 
 def texts(df):
@@ -18,8 +19,9 @@ def test_exact_leaves_one_row_of_each_group(spark):
 
 
 def test_near_leaves_one_row_of_each_component(spark):
-    one, two, three = (prose(k, 200) for k in range(3))
-    close = one.replace(one.split()[100], "edit", 1)
+    one, two, three = (prose(k, 600) for k in range(3))
+    close = one.replace(one.split()[300], "edit", 1)
+    assert near(plain_simhash(one), plain_simhash(close)) and not near(plain_simhash(one), plain_simhash(two))
     rows = [(1, one), (None, close), (None, two), (None, two), (7, three), (7, close), (7, three)]
     assert texts(op.near(spark, docs(spark, rows), "")) == sorted([(1, one), (None, two), (7, three)], key=str)
 
