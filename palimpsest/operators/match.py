@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.similarity import COLUMN_THRESHOLD, PRESELECT, TABLE_THRESHOLD, column_similarity, confidence
 from palimpsest.operators.catalog import PROJECT, SCOPE, TABLE, Catalog, plain_columns
+from palimpsest.operators.classes import Classes, serve
 from palimpsest.operators.spread import number_within
 from palimpsest.session import cut
 
@@ -64,15 +65,16 @@ def _tokens(columns: DataFrame, tables: DataFrame) -> DataFrame:
     return first.join(sizes, SCOPE)
 
 
-def table_similarity(head: DataFrame, new: DataFrame) -> DataFrame:
-    """`(project_id, old_id, new_id, score)` for every pair of tables that
-    reaches the threshold; inputs are columns as `(…, name, type, position)`.
+def table_classes(head: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """`(tables of head with their class a, tables of new with their class b,
+    (project_id, a, b, score) of the classes that reach the threshold)`; inputs
+    are columns as `(…, name, type, position)`.
 
-    score = 2 × shared (name, type) / (columns of both). A pair that reaches it
+    Tables alike in all columns are one class and score alike. score = 2 ×
+    shared (name, type) / (columns of both). A pair that reaches the threshold
     shares at least a quarter of each side, so it also shares a token among the
     rarest three quarters plus one of each: only those are joined (prefix
     filter), and a token that every table has, such as an id, joins nothing.
-    Tables alike in all columns score alike; one of them stands for all.
     """
     a = _tokens(head, head.select(*SCOPE).distinct())
     b = _tokens(new, new.select(*SCOPE).distinct())
@@ -88,8 +90,15 @@ def table_similarity(head: DataFrame, new: DataFrame) -> DataFrame:
     scored = shared.agg(F.count(F.lit(1)).alias("m"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
     score = 2 * F.col("m") / (F.col("n_a") + F.col("n_b"))
     good = scored.select(PROJECT, "a", "b", score.alias("score")).where(F.col("score") >= TABLE_THRESHOLD)
-    old = a.select(PROJECT, F.col("like").alias("a"), F.col(TABLE).alias("old_id")).distinct()
-    fresh = b.select(PROJECT, F.col("like").alias("b"), F.col(TABLE).alias("new_id")).distinct()
+    old = a.select(PROJECT, F.col(TABLE).alias("old_id"), F.col("like").alias("a")).distinct()
+    fresh = b.select(PROJECT, F.col(TABLE).alias("new_id"), F.col("like").alias("b")).distinct()
+    return old, fresh, good
+
+
+def table_similarity(head: DataFrame, new: DataFrame) -> DataFrame:
+    """`(project_id, old_id, new_id, score)` for every pair of tables that
+    reaches the threshold. Its rows are pairs: matching itself goes by classes."""
+    old, fresh, good = table_classes(head, new)
     return good.join(old, [PROJECT, "a"]).join(fresh, [PROJECT, "b"]).select(PROJECT, "old_id", "new_id", "score")
 
 
@@ -114,16 +123,15 @@ def _prefix(sets: DataFrame, frequency: DataFrame, out: str) -> DataFrame:
     return kept.select(PROJECT, "token", F.col("like").alias(out))
 
 
-def table_candidates(head: Catalog, new: Catalog, matched: DataFrame) -> DataFrame:
-    """`(project_id, old_id, old_order, new_id, new_order, score)` of tables
-    that found no equal name."""
+def table_candidates(head: Catalog, new: Catalog, matched: DataFrame) -> Classes:
+    """Tables that found no equal name, by class."""
     lost = head.tables.join(matched.select(PROJECT, F.col("old_id").alias(TABLE)), SCOPE, "left_anti")
     fresh = new.tables.join(matched.select(PROJECT, F.col("new_id").alias(TABLE)), SCOPE, "left_anti")
     cols = lambda cat, t: plain_columns(cat.columns).join(t.select(*SCOPE), SCOPE, "left_semi")
-    scores = table_similarity(cols(head, lost), cols(new, fresh))
+    a, b, edges = table_classes(cols(head, lost), cols(new, fresh))
     old = lost.select(PROJECT, F.col(TABLE).alias("old_id"), F.col("name").alias("old_name"), F.col("ordinal").alias("old_order"))
     nxt = fresh.select(PROJECT, F.col(TABLE).alias("new_id"), F.col("name").alias("new_name"), F.col("ordinal").alias("new_order"))
-    return scores.join(old, [PROJECT, "old_id"]).join(nxt, [PROJECT, "new_id"])
+    return Classes(cut(old.join(a, [PROJECT, "old_id"])), cut(nxt.join(b, [PROJECT, "new_id"])), cut(edges))
 
 
 def column_candidates(head: Catalog, new: Catalog, tables: DataFrame, matched: DataFrame) -> DataFrame:
@@ -195,17 +203,19 @@ def assign(candidates: DataFrame, scope: list[str]) -> DataFrame:
         alive = cut(left)
 
 
-def _decided(
-    candidates: DataFrame, decisions: DataFrame | None, scope: list[str], kind: str
-) -> tuple[DataFrame | None, DataFrame]:
-    """`(accepted assignments, candidates open for a proposal)`. Of two answers
-    for one object the acceptance counts."""
+def _answers(decisions: DataFrame | None, kind: str) -> DataFrame | None:
+    """One answer for each object; of two the acceptance counts."""
     if decisions is None:
-        return None, candidates
+        return None
     mine = decisions.where(F.col("kind") == kind) if "kind" in decisions.columns else decisions
-    on = [c for c in (PROJECT, "old_id") if c in decisions.columns]
-    answers = mine.groupBy(*on).agg(F.max("rename").alias("rename"))
-    marked = cut(candidates.join(answers, on, "left"))
+    return mine.groupBy(*[c for c in (PROJECT, "old_id") if c in decisions.columns]).agg(F.max("rename").alias("rename"))
+
+
+def _decided(candidates: DataFrame, answers: DataFrame | None, scope: list[str]) -> tuple[DataFrame | None, DataFrame]:
+    """`(accepted assignments, candidates open for a proposal)`."""
+    if answers is None:
+        return None, candidates
+    marked = cut(candidates.join(answers, [c for c in (PROJECT, "old_id") if c in answers.columns], "left"))
     accepted = assign(marked.where(F.col("rename")).drop("rename"), scope)
     claims = accepted.select(*scope, "new_id", F.col("old_order").alias("claimed_at"))
     undecided = marked.where(F.col("rename").isNull()).join(claims, [*scope, "new_id"], "left")
@@ -213,8 +223,7 @@ def _decided(
     return accepted, open_.drop("rename", "claimed_at")
 
 
-def _proposals(open_: DataFrame, kind: str, scope: list[str], table: Column) -> DataFrame:
-    best = _best(open_, [*scope, "old_id"])
+def _proposals(best: DataFrame, kind: str, scope: list[str], table: Column) -> DataFrame:
     rivals = best.groupBy(*scope, "new_id").agg(F.count(F.lit(1)).alias("rivals"))
     flagged = best.join(rivals, [*scope, "new_id"])
     sure = confidence(F.col("score"))
@@ -245,17 +254,16 @@ def rename_proposals(head: Catalog, new: Catalog, decisions: DataFrame | None =
     `decisions(old_id, rename)` may carry `kind` (table or column) and
     `project_id` where ids are not unique across them."""
     tables = cut(match_tables(head.tables, new.tables))
-    found = table_candidates(head, new, tables)
-    accepted, open_ = _decided(found, decisions, [PROJECT], "table")
-    proposals = _proposals(open_, "table", [PROJECT], F.lit(None).cast("string"))
-    if accepted is not None:
+    accepted, offered, _ = serve(table_candidates(head, new, tables), _answers(decisions, "table"))
+    proposals = _proposals(offered, "table", [PROJECT], F.lit(None).cast("string"))
+    if decisions is not None:
         tables = cut(tables.unionByName(accepted.select(PROJECT, "old_id", "new_id")))
     columns = cut(match_columns(head.columns, new.columns, tables))
     scope = [PROJECT, "old_table", "new_table"]
     found = column_candidates(head, new, tables, columns)
-    accepted, open_ = _decided(found, decisions, scope, "column")
+    accepted, open_ = _decided(found, _answers(decisions, "column"), scope)
     named = new.tables.select(PROJECT, F.col(TABLE).alias("new_table"), F.col("name").alias("_table"))
-    placed = open_.join(named, [PROJECT, "new_table"])
+    placed = _best(open_, [*scope, "old_id"]).join(named, [PROJECT, "new_table"])
     proposals = proposals.unionByName(_proposals(placed, "column", scope, F.col("_table")))
     if accepted is not None:
         columns = columns.unionByName(accepted.select(*scope, "old_id", "new_id"))
