@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.words import has_text
 from palimpsest.operators.catalog import PROJECT, SCOPE, TABLE, Catalog, plain_columns, typed_columns
-from palimpsest.operators.spread import WIDTH, number_within, running_last
+from palimpsest.operators.spread import ROWS, number_within, running_last
 from palimpsest.session import cut
 
 BASE = -1
@@ -63,8 +63,8 @@ def _alive(seq: Column | str = "seq") -> Column:
 
 
 class _Replay:
-    def __init__(self, base: Catalog, log: DataFrame, width: int):
-        self.base, self.log, self.width = base, cut(log), width
+    def __init__(self, base: Catalog, log: DataFrame, rows: int):
+        self.base, self.log, self.rows = base, cut(log), rows
         self._tables()
         self._columns()
         self._members()
@@ -137,7 +137,7 @@ class _Replay:
     def _entries(self, named: DataFrame, space: str, scope: Column, part: list[str], ident: str) -> DataFrame:
         """Take and free a slot for every change of name: `named(part…, seq,
         name)` with a null name where the object goes."""
-        held = running_last(named, part, "seq", {"before": F.struct("name")}, inclusive=False, width=self.width)
+        held = running_last(named, part, "seq", {"before": F.struct("name")}, inclusive=False, rows=self.rows)
         moved = held.where(F.col("name").isNotNull() | F.col("before.name").isNotNull())
         slot = lambda name, obj: F.struct(name.alias("name"), obj.alias("holder"))
         obj = F.col(ident).cast("string")
@@ -189,7 +189,7 @@ class _Replay:
             ]
         )
         part = [PROJECT, "space", "scope", "name"]
-        before = running_last(cut(entries), part, "seq", {"last": F.struct("holder")}, inclusive=False, width=self.width)
+        before = running_last(cut(entries), part, "seq", {"last": F.struct("holder")}, inclusive=False, rows=self.rows)
         other = F.col("last.holder").isNotNull() & (F.col("last.holder") != F.col("holder"))
         return before.where(F.col("holder").isNotNull() & other & (F.col("seq") >= 0)).select(PROJECT, "seq", "space").distinct()
 
@@ -292,7 +292,7 @@ class _Replay:
                 self._of("set_nullable").where(F.col("nullable")).select(*key, "seq", none.alias("member"), flag(True).alias("asks")),
             ]
         )
-        seen = running_last(marks, key, "seq", {"is_member": F.col("member")}, inclusive=False, width=self.width)
+        seen = running_last(marks, key, "seq", {"is_member": F.col("member")}, inclusive=False, rows=self.rows)
         return seen.where(F.col("asks") & F.col("is_member"))
 
     # --- result ---------------------------------------------------------------
@@ -337,7 +337,7 @@ class _Replay:
         rank = F.when(F.col("born") < 0, F.col("place")).otherwise(F.col("born")).alias("rank")
         columns = standing(self.columns).join(final, key).select("*", new, rank)
         columns = number_within(
-            columns, SCOPE, "rank", "position", leading=["new"], tie=["place", "column_id"], width=self.width
+            columns, SCOPE, "rank", "position", leading=["new"], tie=["place", "column_id"], rows=self.rows
         )
 
         def members_of(df: DataFrame, ident: str, fields: list[str], like: DataFrame) -> DataFrame:
@@ -361,8 +361,8 @@ class _Replay:
         )
 
 
-def replay_catalog(base: Catalog, log: DataFrame, *, width: int = WIDTH) -> tuple[Catalog, DataFrame]:
+def replay_catalog(base: Catalog, log: DataFrame, *, rows: int = ROWS) -> tuple[Catalog, DataFrame]:
     """`(state, errors(project_id, seq, op, reason))`."""
-    run = _Replay(base, log, width)
+    run = _Replay(base, log, rows)
     errors = cut(run.errors())
     return run.state(errors), errors

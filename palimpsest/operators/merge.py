@@ -180,7 +180,7 @@ def final_resolutions(resolutions: DataFrame) -> DataFrame:
     )
 
 
-def _problem(cls_cols: DataFrame, dtypes: Mapping[str, T.DataType]) -> Column:
+def answer_problem(cls_cols: DataFrame, dtypes: Mapping[str, T.DataType]) -> Column:
     """Why an answer cannot be used; null when it can."""
     unparsable = any_of(
         [
@@ -204,7 +204,7 @@ def resolution_problems(
     conflict, or are given more than once."""
     answers = final_resolutions(resolutions)
     known = conflicts.select("conflict_id", "property", "allow_custom")
-    joined = answers.join(known, "conflict_id", "left").withColumn("wrong", _problem(conflicts, dtypes or {}))
+    joined = answers.join(known, "conflict_id", "left").withColumn("wrong", answer_problem(conflicts, dtypes or {}))
     row = lambda code, severity: F.struct(F.lit(code).alias("problem"), F.lit(severity).alias("severity"))
     notes = F.array_compact(
         F.array(
@@ -221,10 +221,10 @@ def usable_answers(
 ) -> DataFrame:
     """Conflicts with a valid answer: all conflict columns, `choice`, `custom`."""
     joined = conflicts.join(final_resolutions(resolutions).drop("n_answers"), "conflict_id")
-    return joined.where(_problem(conflicts, dtypes or {}).isNull())
+    return joined.where(answer_problem(conflicts, dtypes or {}).isNull())
 
 
-_PART = r"((?:[^:\\]|\\.)*)"  # one key column inside a conflict id
+KEY_PART = r"((?:[^:\\]|\\.)*)"  # one key column inside a conflict id
 
 
 def answers_by_key(
@@ -250,9 +250,9 @@ def answers_by_key(
         custom = F.when(mine, F.lit(accepts)).otherwise(custom)
         rest = F.when(mine, F.substr("conflict_id", F.lit(len(prefix) + 2))).otherwise(rest)
     final = final_resolutions(resolutions).withColumns({"property": prop, "allow_custom": custom, "_rest": rest})
-    usable = final.where(F.col("property").isNotNull() & _problem(final, dtypes).isNull())
+    usable = final.where(F.col("property").isNotNull() & answer_problem(final, dtypes).isNull())
     # an empty match may follow the last part
-    cut_up = usable.withColumn("_parts", F.regexp_extract_all("_rest", F.lit(_PART + "(?::|$)"), F.lit(1)))
+    cut_up = usable.withColumn("_parts", F.regexp_extract_all("_rest", F.lit(KEY_PART + "(?::|$)"), F.lit(1)))
     parts = []
     for i, k in enumerate(key):
         part = F.regexp_replace(F.get("_parts", F.lit(i)), r"\\(.)", "$1")

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.operators.spread import WIDTH, ordered_scan, running_last
+from palimpsest.operators.spread import ROWS, ordered_scan, running_last
 
 BASE_SEQ = -(1 << 62)
 
@@ -28,10 +28,10 @@ def _events(base: DataFrame, log: DataFrame, key: Sequence[str], cols: Sequence[
     return start.unionByName(edits)
 
 
-def _judged(base: DataFrame, log: DataFrame, key: Sequence[str], cols: Sequence[str], width: int) -> DataFrame:
+def _judged(base: DataFrame, log: DataFrame, key: Sequence[str], cols: Sequence[str], rows: int) -> DataFrame:
     events = _events(base, log, key, cols)
     alive = F.when(F.col("op") == "insert", True).when(F.col("op") == "delete", False)
-    known = running_last(events, key, "seq", {"_alive": alive}, inclusive=False, width=width)
+    known = running_last(events, key, "seq", {"_alive": alive}, inclusive=False, rows=rows)
     there = F.coalesce("_alive", F.lit(False))
     reason = (
         F.when(~F.col("op").isin("insert", "update", "delete"), "unknown_operation")
@@ -48,16 +48,16 @@ def _boxed(col: str) -> Column:
 
 
 def replay_errors(
-    base: DataFrame, log: DataFrame, key: Sequence[str], cols: Sequence[str], *, width: int = WIDTH
+    base: DataFrame, log: DataFrame, key: Sequence[str], cols: Sequence[str], *, rows: int = ROWS
 ) -> DataFrame:
-    return _judged(base, log, key, cols, width).where(F.col("reason").isNotNull()).select(*key, "seq", "op", "reason")
+    return _judged(base, log, key, cols, rows).where(F.col("reason").isNotNull()).select(*key, "seq", "op", "reason")
 
 
 def replay_rows(
-    base: DataFrame, log: DataFrame, key: Sequence[str], cols: Sequence[str], *, width: int = WIDTH
+    base: DataFrame, log: DataFrame, key: Sequence[str], cols: Sequence[str], *, rows: int = ROWS
 ) -> DataFrame:
     """Final rows after the whole log; one fold per key and cell."""
-    valid = _judged(base, log, key, cols, width).where(F.col("reason").isNull())
+    valid = _judged(base, log, key, cols, rows).where(F.col("reason").isNull())
     life = F.when(F.col("op").isin("insert", "delete"), F.col("seq"))
     folded = valid.groupBy(*key).agg(
         F.max_by("op", life).alias("_life"),
@@ -67,22 +67,22 @@ def replay_rows(
 
 
 def as_of(
-    base: DataFrame, log: DataFrame, key: Sequence[str], cols: Sequence[str], seq: int, *, width: int = WIDTH
+    base: DataFrame, log: DataFrame, key: Sequence[str], cols: Sequence[str], seq: int, *, rows: int = ROWS
 ) -> DataFrame:
     """Rows after the edits up to and including `seq`."""
-    return replay_rows(base, log.where(F.col("seq") <= seq), key, cols, width=width)
+    return replay_rows(base, log.where(F.col("seq") <= seq), key, cols, rows=rows)
 
 
 def validity_intervals(
-    base: DataFrame, log: DataFrame, key: Sequence[str], cols: Sequence[str], *, width: int = WIDTH
+    base: DataFrame, log: DataFrame, key: Sequence[str], cols: Sequence[str], *, rows: int = ROWS
 ) -> DataFrame:
     """`(key…, from_seq, to_seq, cells…)`: every version of every row.
 
     `from_seq` is null for rows of the base, `to_seq` for rows still current.
     """
-    valid = _judged(base, log, key, cols, width).where(F.col("reason").isNull())
+    valid = _judged(base, log, key, cols, rows).where(F.col("reason").isNull())
     boxes = {f"_b_{c}": _boxed(c) for c in cols}
-    filled = ordered_scan(valid, key, "seq", upto=boxes, ahead={"to_seq": F.col("seq")}, width=width)
+    filled = ordered_scan(valid, key, "seq", upto=boxes, ahead={"to_seq": F.col("seq")}, rows=rows)
     started = F.when(F.col("seq") != BASE_SEQ, F.col("seq"))
     return filled.where(F.col("op") != "delete").select(
         *key, started.alias("from_seq"), "to_seq", *[F.col(f"_b_{c}")["v"].alias(c) for c in cols]

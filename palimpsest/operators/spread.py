@@ -2,8 +2,9 @@
 
 A plain window over a hot group sorts that group in one task. The functions
 here cut a group into ordered buckets, work inside the buckets in parallel, and
-carry only one summary row per bucket across. `width` is the length of a bucket in units of the order
-column: choose it so that a bucket of a hot group holds about a million rows.
+carry only one summary row per bucket across. Where a hot group is cut follows
+from a sample of its rows, so buckets hold about as many rows whatever the order
+columns are: dense numbers, microseconds, a few values with long ties, or text.
 """
 
 from __future__ import annotations
@@ -14,8 +15,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SALTS = 16
-WIDTH = 1 << 20
 HOT_ROWS = 1 << 22
+#: Rows of a bucket, about, and sampled rows for each of them.
+ROWS = 1 << 20
+SAMPLES = 8
 
 
 def lookup(
@@ -69,6 +72,37 @@ def lookup_large(
     return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
 
 
+def bucketed(df: DataFrame, part: Sequence[str], order: Sequence[str], rows: int = ROWS) -> DataFrame:
+    """Add `_bucket`: buckets of a group hold about `rows` rows each, and come in the order of the columns `order`.
+
+    Rows are sampled by a hash of part and order, about SAMPLES for `rows`. Of a
+    group's sample in order every SAMPLES-th row starts a bucket; a group with a
+    smaller sample is one bucket. There are at most about |df| / `rows` such
+    starts, which bounds what is broadcast.
+    """
+    part, at = list(part), F.struct(*[F.col(f"`{c}`").alias(f"o{i}") for i, c in enumerate(order)])
+    drawn = df.where(F.pmod(F.xxhash64(F.lit("bucket"), *part, *order), F.lit(max(1, rows // SAMPLES))) == 0)
+    sample = drawn.groupBy(*[F.col(f"`{c}`").alias(f"_p{i}") for i, c in enumerate(part)]).agg(F.sort_array(F.collect_list(at)).alias("_sample"))
+    places = F.sequence(F.lit(SAMPLES), F.size("_sample"), F.lit(SAMPLES))
+    large = sample.where(F.size("_sample") >= SAMPLES)
+    starts = large.select(*[f"_p{i}" for i in range(len(part))], F.transform(places, lambda i: F.element_at("_sample", i)).alias("_starts"))
+    same = F.lit(True)
+    for i, c in enumerate(part):
+        same &= F.col(f"`{c}`").eqNullSafe(F.col(f"_p{i}"))
+    passed = F.size(F.filter("_starts", lambda start: start <= at))
+    met = df.join(F.broadcast(starts), same, "left")
+    return met.withColumn("_bucket", F.when(F.col("_starts").isNull(), 0).otherwise(passed)).drop("_starts", *[f"_p{i}" for i in range(len(part))])
+
+
+def _carried(rows: DataFrame, summary: DataFrame, part: Sequence[str]) -> DataFrame:
+    """`rows` with what `summary` says of their bucket; a null in `part` is a group of its own."""
+    names = {c: f"_p{i}" for i, c in enumerate(part)}
+    same = F.col("_bucket") == F.col("_b")
+    for c, other in names.items():
+        same &= F.col(f"`{c}`").eqNullSafe(F.col(other))
+    return rows.join(summary.withColumnsRenamed({**names, "_bucket": "_b"}), same, "left").drop("_b", *names.values())
+
+
 def ordered_scan(
     df: DataFrame,
     part: Sequence[str],
@@ -78,9 +112,9 @@ def ordered_scan(
     upto: Mapping[str, Column] | None = None,
     ahead: Mapping[str, Column] | None = None,
     tie: Sequence[str] = (),
-    width: int = WIDTH,
+    rows: int = ROWS,
 ) -> DataFrame:
-    """Add values of the neighbours of each row in the order of the numeric
+    """Add values of the neighbours of each row in the order of the
     column `seq` (and `tie`, where it is equal) inside `part`: `before` the last non-null among the rows
     before it, `upto` the same including it, `ahead` the value of the next row.
 
@@ -88,7 +122,7 @@ def ordered_scan(
     """
     before, upto, ahead = before or {}, upto or {}, ahead or {}
     last = {**before, **upto}
-    staged = df.withColumn("_bucket", F.floor(F.col(seq) / F.lit(width)))
+    staged = bucketed(df, part, [seq, *tie], rows)
     staged = staged.withColumns(
         {**{f"_v_{n}": v for n, v in last.items()}, **{f"_v_{n}": F.struct(v.alias("v")) for n, v in ahead.items()}}
     )
@@ -114,7 +148,7 @@ def ordered_scan(
         *[F.last(f"_h_{n}", ignorenulls=True).over(earlier).alias(f"_c_{n}") for n in last],
         *[F.lead(f"_h_{n}").over(buckets).alias(f"_c_{n}") for n in ahead],
     )
-    joined = local.join(carried, [*part, "_bucket"], "left")
+    joined = _carried(local, carried, part)
     found = {n: F.coalesce(f"_l_{n}", f"_c_{n}") for n in (*last, *ahead)}
     out = joined.withColumns({n: c["v"] if n in ahead else c for n, c in found.items()})
     return out.drop("_bucket", *[f"{p}{n}" for n in found for p in ("_v_", "_l_", "_c_")])
@@ -128,12 +162,12 @@ def running_last(
     *,
     inclusive: bool,
     tie: Sequence[str] = (),
-    width: int = WIDTH,
+    rows: int = ROWS,
 ) -> DataFrame:
     """The last non-null of each value before each row (`inclusive`: up to it)."""
     if inclusive:
-        return ordered_scan(df, part, seq, upto=values, tie=tie, width=width)
-    return ordered_scan(df, part, seq, before=values, tie=tie, width=width)
+        return ordered_scan(df, part, seq, upto=values, tie=tie, rows=rows)
+    return ordered_scan(df, part, seq, before=values, tie=tie, rows=rows)
 
 
 def number_within(
@@ -144,14 +178,15 @@ def number_within(
     *,
     leading: Sequence[str] = (),
     tie: Sequence[str] = (),
-    width: int = WIDTH,
+    rows: int = ROWS,
 ) -> DataFrame:
     """Number rows 1..n inside `part`, ordered by `leading`, `ordinal`, `tie`."""
-    staged = df.withColumn("_bucket", F.floor(F.col(ordinal) / F.lit(width)))
-    near = Window.partitionBy(*part, *leading, "_bucket").orderBy(ordinal, *tie)
+    order = [*leading, ordinal, *tie]
+    staged = bucketed(df, part, order, rows)
+    near = Window.partitionBy(*part, "_bucket").orderBy(*order)
     local = staged.withColumn("_near", F.row_number().over(near))
-    sizes = staged.groupBy(*part, *leading, "_bucket").agg(F.count(F.lit(1)).alias("_size"))
-    far = Window.partitionBy(*part).orderBy(*leading, "_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*part, *leading, "_bucket", F.coalesce(F.sum("_size").over(far), F.lit(0)).alias("_before"))
-    joined = local.join(offsets, [*part, *leading, "_bucket"], "left")
+    sizes = staged.groupBy(*part, "_bucket").agg(F.count(F.lit(1)).alias("_size"))
+    far = Window.partitionBy(*part).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*part, "_bucket", F.coalesce(F.sum("_size").over(far), F.lit(0)).alias("_before"))
+    joined = _carried(local, offsets, part)
     return joined.withColumn(out, (F.col("_near") + F.col("_before")).cast("int")).drop("_bucket", "_near", "_before")

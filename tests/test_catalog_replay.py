@@ -118,7 +118,7 @@ def test_replay_equals_sequential_application(spark):
             failed[p] = error
     log = spark.createDataFrame([log_row(p, e) for p, es in logs.items() for e in es], LOG)
     # A narrow bucket makes every carry between buckets happen.
-    state, errors = replay_catalog(frames(spark, states), log, width=4)
+    state, errors = replay_catalog(frames(spark, states), log, rows=8)
     got = {r.project_id: (r.seq, r.reason) for r in errors.collect()}
     assert got == failed
     assert 30 < len(failed) < 140

@@ -184,11 +184,11 @@ def test_bucketed_scans_equal_plain_order(spark):
     rng = random.Random(1)
     data = [(rng.choice("ab") if rng.random() < 0.3 else "hot", s, rng.choice([None, s])) for s in rng.sample(range(500), 200)]
     df = spark.createDataFrame(data, "g string, s long, v long")
-    for width in (7, 1 << 20):
-        last = {(r.g, r.s): r.p for r in spread.running_last(df, ["g"], "s", {"p": F.col("v")}, inclusive=False, width=width).collect()}
-        upto = {(r.g, r.s): r.p for r in spread.running_last(df, ["g"], "s", {"p": F.col("v")}, inclusive=True, width=width).collect()}
-        nxt = {(r.g, r.s): r.n for r in spread.ordered_scan(df, ["g"], "s", ahead={"n": F.col("s")}, width=width).collect()}
-        num = {(r.g, r.s): r.n for r in spread.number_within(df, ["g"], "s", "n", width=width).collect()}
+    for rows in (8, 1 << 20):
+        last = {(r.g, r.s): r.p for r in spread.running_last(df, ["g"], "s", {"p": F.col("v")}, inclusive=False, rows=rows).collect()}
+        upto = {(r.g, r.s): r.p for r in spread.running_last(df, ["g"], "s", {"p": F.col("v")}, inclusive=True, rows=rows).collect()}
+        nxt = {(r.g, r.s): r.n for r in spread.ordered_scan(df, ["g"], "s", ahead={"n": F.col("s")}, rows=rows).collect()}
+        num = {(r.g, r.s): r.n for r in spread.number_within(df, ["g"], "s", "n", rows=rows).collect()}
         for g in "ab", "hot":
             seen = None
             line = sorted((s, v) for gg, s, v in data if gg == g)
@@ -200,6 +200,28 @@ def test_bucketed_scans_equal_plain_order(spark):
                 assert num[g, s] == i + 1
 
 
+def test_buckets_hold_equal_numbers_of_rows_in_any_unit(spark):
+    """Dense numbers, microseconds with gaps, text, long ties; null groups too."""
+    n = 40_000
+    at = F.col("id")
+    df = spark.range(n).select(
+        F.when(at % 10 == 0, F.lit(None)).otherwise(F.lit("hot")).alias("g"),
+        at.alias("dense"),
+        (F.lit(1_700_000_000_000_000) + at * at * 7).alias("micros"),
+        F.lpad(at.cast("string"), 9, "0").alias("word"),
+        F.floor(at / 20_000).alias("tied"),
+        F.xxhash64(at).alias("id"),
+    ).repartition(7)
+    for order in (["dense"], ["micros"], ["word"], ["tied", "id"]):
+        got = spread.bucketed(df, ["g"], order, rows=1000).where("g is not null")
+        sizes = [r["n"] for r in got.groupBy("_bucket").agg(F.count("*").alias("n")).collect()]
+        assert 18 <= len(sizes) <= 72 and max(sizes) < 4000, (order, sizes)
+        ends = got.groupBy("_bucket").agg(F.min(F.struct(*order)).alias("a"), F.max(F.struct(*order)).alias("b")).orderBy("_bucket").collect()
+        assert all(x["b"] < y["a"] for x, y in zip(ends, ends[1:], strict=False))
+        numbered = spread.number_within(df, ["g"], order[0], "n", tie=order[1:], rows=1000).where("g is null")
+        assert sorted(r["n"] for r in numbered.select("n").collect()) == list(range(1, n // 10 + 1))
+
+
 def test_lookups_keep_every_row_of_a_hot_key(spark):
     big = spark.range(3000).select(F.when(F.col("id") % 3 < 2, 1).otherwise(F.col("id")).alias("k"), F.col("id").alias("i"))
     small = spark.createDataFrame([(1, "hot"), (2, "two"), (5, "five")], "k long, v string")
@@ -236,11 +258,11 @@ def test_replay_equals_sequential_log(spark):
         else:
             state[k] = (a if "a" in assigned else state[k][0], b if "b" in assigned else state[k][1])
         states[s] = dict(state)
-    for width in (16, 1 << 20):
-        assert as_dict(replay.replay_rows(start, df, KEY, COLS, width=width)) == state
-        assert as_dict(replay.as_of(start, df, KEY, COLS, 77, width=width)) == states[77]
-        assert {(r.seq, r.reason) for r in replay.replay_errors(start, df, KEY, COLS, width=width).collect()} == errors
-        spans = replay.validity_intervals(start, df, KEY, COLS, width=width).collect()
+    for rows in (16, 1 << 20):
+        assert as_dict(replay.replay_rows(start, df, KEY, COLS, rows=rows)) == state
+        assert as_dict(replay.as_of(start, df, KEY, COLS, 77, rows=rows)) == states[77]
+        assert {(r.seq, r.reason) for r in replay.replay_errors(start, df, KEY, COLS, rows=rows).collect()} == errors
+        spans = replay.validity_intervals(start, df, KEY, COLS, rows=rows).collect()
         for s in (0, 50, 133, 199):
             at = {r.k: (r.a, r.b) for r in spans if (r.from_seq is None or r.from_seq <= s) and (r.to_seq is None or r.to_seq > s)}
             assert at == states[s]

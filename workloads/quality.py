@@ -273,7 +273,7 @@ SELECT t.k, CASE WHEN t.seq >= 0 THEN t.seq END AS from_seq, t.to_seq, a.val, b.
 JOIN v a ON a.k = t.k AND a.seq = t.vs JOIN v b ON b.k = t.k AND b.seq = t.ks WHERE t.op <> 'delete'""",
 )
 def validity_intervals_orders(d):
-    return replay.validity_intervals(d["balances"], _log(d), ["k"], ["val", "kind"], width=1000)
+    return replay.validity_intervals(d["balances"], _log(d), ["k"], ["val", "kind"])
 
 
 # --- evolution ----------------------------------------------------------------
