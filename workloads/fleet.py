@@ -7,13 +7,13 @@ from pyspark.sql import types as T
 
 from palimpsest.functions import words
 from palimpsest.functions.types import render_type
-from palimpsest.operators import catalog_checks, catalog_diff, catalog_merge, catalog_replay
+from palimpsest.operators import catalog_checks, catalog_diff, catalog_merge, catalog_replay, collisions
 from palimpsest.operators.catalog import describe_constraints, describe_indexes
 from palimpsest.plans import migration
 from palimpsest.session import cut
 from palimpsest.sources.snapshots import explode_snapshots, nest_snapshots
 from workloads.data import Data, oracle
-from workloads.fleet_data import catalog, snapshots
+from workloads.fleet_data import FAULTS, catalog, snapshots
 
 QUERIES, ORACLES = {}, {}
 
@@ -471,6 +471,26 @@ def name_collisions(d):
     return catalog_merge.name_collisions(catalog(d, "broken")).select("project_id", "table_id", "object_id", "scope")
 
 
+@query(
+    "collision_answers",
+    """WITH RECURSIVE m AS (SELECT *, row_number() OVER (PARTITION BY space, project_id, home, name ORDER BY ord, id) AS rn FROM {claims}),
+w AS (SELECT space, project_id, home, name, rn, id, id AS holder, cast(NULL AS bigint) AS met, cast(NULL AS varchar) AS choice, cast(NULL AS varchar) AS custom FROM m WHERE rn = 1
+  UNION ALL SELECT m.space, m.project_id, m.home, m.name, m.rn, m.id, CASE WHEN a.choice = 'theirs' THEN m.id ELSE w.holder END, w.holder, a.choice, a.custom
+  FROM w JOIN m ON m.space = w.space AND m.project_id = w.project_id AND m.home = w.home AND m.name = w.name AND m.rn = w.rn + 1
+  LEFT JOIN {claim_answers} a ON a.conflict_id = 'name_collision:' || m.space || ':' || cast(w.holder AS varchar) || ':' || m.space || ':' || cast(m.id AS varchar))
+SELECT space, project_id, home, id, coalesce(custom, name) AS name,
+  CASE WHEN met IS NOT NULL AND choice IS NULL THEN 'name_collision:' || space || ':' || cast(met AS varchar) || ':' || space || ':' || cast(id AS varchar) END AS open_conflict
+FROM w WHERE (choice IS NULL OR choice <> 'ours') AND (space, id) NOT IN (SELECT (space, met) FROM w WHERE choice = 'theirs')""",
+)
+def collision_answers(d):
+    """Names of tables, columns and indexes claimed by several objects, answered by conflict ids."""
+    kept, still = collisions.resolve_collisions(
+        d["claims"], ["space", "project_id", "home", "name"], "name", ["space", "id"], ["ord"], d["claim_answers"]
+    )
+    told = still.select("space", "id", F.col("conflict_id").alias("open_conflict"))
+    return kept.join(told, ["space", "id"], "left").select("space", "project_id", "home", "id", "name", "open_conflict")
+
+
 # --- evolution plans ----------------------------------------------------------
 
 
@@ -568,6 +588,34 @@ def oplog_errors_catalog(d):
     return catalog_replay.replay_catalog(catalog(d, "base"), _log(d))[1]
 
 
+_REASONS = " ".join(f"WHEN {n} THEN '{reason}'" for n, (_, reason) in enumerate(FAULTS))
+
+
+@query(
+    "oplog_error_reasons",
+    f"""SELECT e.project_id, e.seq, e.op, CASE e.project_id % {len(FAULTS)} {_REASONS} END AS reason FROM {{faulty_edits}} e
+WHERE e.seq = 2 AND (e.project_id % {len(FAULTS)} <> 18 OR EXISTS (SELECT 1 FROM {{constraints_solo}} k WHERE k.project_id = e.project_id AND k.kind = 'primary_key'))
+  AND (e.project_id % {len(FAULTS)} <> 17 OR EXISTS (SELECT 1 FROM {{columns_solo}} c WHERE c.column_id = e.column_id AND c.name <> e.name))""",
+)
+def oplog_error_reasons(d):
+    """One faulty edit in each stream, of every kind that a stream can be refused for."""
+    one = lambda c: F.when(F.col(c).isNotNull(), F.array(c)).otherwise(F.array().cast("array<bigint>"))
+    made, adds = F.col("op") == "create_table", F.col("op") == "add_constraint"
+    column = lambda kind: F.struct(
+        (F.col("table_id") + 1).alias("column_id"), F.lit("a").alias("name"), kind.alias("type"), F.lit(True).alias("nullable"), F.lit("").alias("default_expr")
+    )
+    blank = F.col("project_id") % len(FAULTS) == 10
+    some = F.array(column(F.when(blank, F.lit(" ")).otherwise(F.lit("text"))))
+    log = d["faulty_edits"].withColumns(
+        {
+            "columns": F.when(made & (F.col("project_id") % len(FAULTS) != 9), some),
+            "column_ids": F.when(adds, one("c1")),
+            "ref_column_ids": F.when(adds, one("r1")),
+        }
+    )
+    return catalog_replay.replay_catalog(catalog(d, "solo"), _with_unused(log.drop("c1", "r1")))[1]
+
+
 @query(
     "oplog_replay_catalog",
     f"""WITH {_EDIT_ERRORS}, ok AS (SELECT DISTINCT project_id FROM {{columns_base}} WHERE project_id NOT IN (SELECT project_id FROM bad)),

@@ -104,10 +104,10 @@ view(
     """
 SELECT project_id, table_id, index_id, CASE WHEN table_id % 12 = 0 THEN 'ix_x' ELSE name END AS name,
        CASE WHEN table_id % 5 = 0 THEN i1 + 2 ELSE i1 END AS i1, i2, is_unique, method, ordinal
-FROM {indexes_base} WHERE table_id % 23 <> 0
+FROM {indexes_base} WHERE table_id % 23 <> 0 AND table_id % 19 <> 6
 UNION ALL
 SELECT project_id, table_id, table_id + 700000000, 'ix_new', table_id * 8, table_id * 8 + 1, false, 'hash', 2
-FROM {tables_base} WHERE table_id % 25 = 0 AND table_id % 23 <> 0
+FROM {tables_base} WHERE table_id % 25 IN (0, 4) AND table_id % 23 <> 0
 """,
 )
 
@@ -171,13 +171,13 @@ FROM {tables_base} WHERE table_id % 25 = 1 AND table_id % 29 <> 0
 
 view(
     "tables_broken",
-    "SELECT project_id, table_id, CASE WHEN table_id % 33 = 0 THEN 't1' ELSE name END AS name, ordinal FROM {tables_ours}",
+    "SELECT project_id, table_id, CASE WHEN table_id % 33 IN (0, 2) THEN 't1' ELSE name END AS name, ordinal FROM {tables_ours}",
 )
-view("columns_broken", "SELECT * FROM {columns_ours} WHERE table_id % 37 <> 0")
+view("columns_broken", "SELECT * FROM {columns_ours} WHERE table_id % 37 NOT IN (0, 3)")
 view(
     "constraints_broken",
     """
-SELECT project_id, table_id, constraint_id, name, kind, CASE WHEN kind = 'unique' AND table_id % 31 = 0 THEN NULL ELSE c1 END AS c1,
+SELECT project_id, table_id, constraint_id, name, kind, CASE WHEN kind = 'unique' AND table_id % 31 IN (0, 4) THEN NULL ELSE c1 END AS c1,
        ref_table_id, CASE WHEN table_id % 16 = 0 THEN NULL ELSE r1 END AS r1, on_delete,
        CASE WHEN table_id % 15 = 0 THEN '' ELSE expr END AS expr, ordinal
 FROM {constraints_ours}
@@ -189,8 +189,9 @@ FROM {tables_ours} WHERE table_id % 20 = 1
 view(
     "indexes_broken",
     """
-SELECT project_id, table_id, index_id, name, CASE WHEN table_id % 27 = 0 THEN NULL ELSE i1 END AS i1,
-       CASE WHEN table_id % 27 = 0 THEN NULL ELSE i2 END AS i2, is_unique, method, ordinal
+SELECT project_id, table_id, index_id, CASE WHEN table_id % 21 IN (7, 8) THEN 'ix_twice' ELSE name END AS name,
+       CASE WHEN table_id % 27 IN (0, 5) THEN NULL ELSE i1 END AS i1,
+       CASE WHEN table_id % 27 IN (0, 5) THEN NULL ELSE i2 END AS i2, is_unique, method, ordinal
 FROM {indexes_ours}
 """,
 )
@@ -362,6 +363,108 @@ SELECT project_id, 7000000000 + table_id, 'drop_table', table_id + 10000000, NUL
 """,
 )
 
+# --- one faulty edit for every table, each table a project of its own ----------
+
+view("tables_solo", "SELECT table_id AS project_id, table_id, name, ordinal FROM {tables_base}")
+view(
+    "columns_solo",
+    "SELECT table_id AS project_id, table_id, column_id, name, type_base, type_param, nullable, default_expr, position FROM {columns_base}",
+)
+view(
+    "constraints_solo",
+    """
+SELECT table_id AS project_id, table_id, constraint_id, name, kind, c1, ref_table_id, r1, on_delete, expr, ordinal
+FROM {constraints_base} WHERE kind <> 'foreign_key'
+""",
+)
+view("indexes_solo", "SELECT table_id AS project_id, table_id, index_id, name, i1, i2, is_unique, method, ordinal FROM {indexes_base}")
+#: What is wrong with the edit of a table, by table_id modulo their number.
+FAULTS = [
+    ("explode_table", "unknown_operation"),
+    ("rename_table", "missing_table_id"),
+    ("rename_table", "table_not_found"),
+    ("drop_column", "missing_column_id"),
+    ("rename_column", "column_not_found"),
+    ("drop_constraint", "constraint_not_found"),
+    ("drop_index", "index_not_found"),
+    ("rename_table", "name_empty"),
+    ("retype_column", "type_missing"),
+    ("create_table", "no_columns"),
+    ("create_table", "column_incomplete"),
+    ("set_nullable", "value_missing"),
+    ("add_constraint", "unknown_kind"),
+    ("add_constraint", "no_columns"),
+    ("add_constraint", "column_lists_differ"),
+    ("add_constraint", "no_expression"),
+    ("add_constraint", "ref_table_not_found"),
+    ("rename_column", "name_taken"),
+    ("add_constraint", "has_primary_key"),
+    ("drop_column", "still_referenced"),
+    ("add_constraint", "ref_column_not_found"),
+    ("create_table", "id_in_use"),
+]
+
+
+def _fault(reason: str, what: str, otherwise: str = "NULL") -> str:
+    """SQL: `what` where the edit of the table has this fault."""
+    n = [r for _, r in FAULTS].index(reason) if reason != "no_columns" else 13
+    return f"CASE WHEN table_id % {len(FAULTS)} = {n} THEN {what} ELSE {otherwise} END"
+
+
+_FAR = "5000000000"
+_CASE = " ".join(f"WHEN {n} THEN '{op}'" for n, (op, _) in enumerate(FAULTS))
+_KINDS = " ".join(f"WHEN {n} THEN '{kind}'" for n, kind in [(12, "exclude"), (13, "unique"), (14, "foreign_key"), (15, "check"), (16, "foreign_key"), (18, "primary_key"), (20, "foreign_key")])
+view(
+    "faulty_edits",
+    f"""
+SELECT table_id AS project_id, cast(1 AS bigint) AS seq, 'set_default' AS op, table_id, table_id * 8 AS column_id, cast(NULL AS bigint) AS constraint_id,
+       cast(NULL AS bigint) AS index_id, cast(NULL AS string) AS name, cast(NULL AS string) AS type, cast(NULL AS boolean) AS nullable,
+       '1' AS default_expr, cast(NULL AS string) AS kind, cast(NULL AS string) AS expr, cast(NULL AS bigint) AS ref_table_id,
+       cast(NULL AS bigint) AS c1, cast(NULL AS bigint) AS r1
+FROM {{tables_base}}
+UNION ALL
+SELECT table_id, 2, CASE table_id % {len(FAULTS)} {_CASE} END,
+       CASE WHEN table_id % {len(FAULTS)} = 1 THEN NULL WHEN table_id % {len(FAULTS)} IN (2, 9, 10) THEN table_id + {_FAR} ELSE table_id END,
+       CASE WHEN table_id % {len(FAULTS)} = 3 THEN NULL WHEN table_id % {len(FAULTS)} = 4 THEN table_id * 8 + {_FAR}
+            WHEN table_id % {len(FAULTS)} = 19 THEN table_id * 8 + 2 ELSE table_id * 8 END,
+       {_fault("constraint_not_found", f"table_id + {_FAR}", "table_id + 6000000000")}, table_id + 7000000000,
+       CASE WHEN table_id % {len(FAULTS)} = 7 THEN '' WHEN table_id % {len(FAULTS)} = 17
+            THEN (SELECT max(c.name) FROM {{columns_base}} c WHERE c.column_id = t.table_id * 8 + 1) ELSE 'other' END,
+       {_fault("type_missing", "'  '", "'text'")}, CAST(NULL AS boolean), NULL, CASE table_id % {len(FAULTS)} {_KINDS} END, '  ',
+       {_fault("ref_table_not_found", f"table_id + {_FAR}", "table_id")},
+       CASE WHEN table_id % {len(FAULTS)} = 13 THEN NULL ELSE table_id * 8 END,
+       CASE WHEN table_id % {len(FAULTS)} = 16 THEN table_id * 8 WHEN table_id % {len(FAULTS)} = 20 THEN table_id * 8 + {_FAR} END
+FROM {{tables_base}} t
+""",
+)
+
+# --- names that several objects claim, and answers -----------------------------
+
+view(
+    "claims",
+    """
+SELECT 'table' AS space, project_id, cast(0 AS bigint) AS home, table_id AS id, 't' || cast(table_id % 3 AS string) AS name, cast(ordinal AS bigint) AS ord
+FROM {tables_base}
+UNION ALL
+SELECT 'column', project_id, table_id, column_id, substr(name, 1, 1), cast(position AS bigint) FROM {columns_base}
+UNION ALL
+SELECT 'index', project_id, 0, index_id, 'ix_' || cast(table_id % 2 AS string), table_id FROM {indexes_base}
+""",
+)
+# Each object is answered against the one before it and against the first; which
+# of the answers count depends on who holds the name by then.
+view(
+    "claim_answers",
+    """
+SELECT DISTINCT 'name_collision:' || space || ':' || cast(other AS string) || ':' || space || ':' || cast(id AS string) AS conflict_id,
+       CASE WHEN (id + other) % 5 = 0 THEN 'ours' WHEN (id + other) % 5 = 3 THEN 'custom' ELSE 'theirs' END AS choice,
+       CASE WHEN (id + other) % 5 = 3 THEN name || '_' || cast(id AS string) END AS custom
+FROM (SELECT *, lag(id) OVER (PARTITION BY space, project_id, home, name ORDER BY ord, id) AS other FROM {claims}
+      UNION ALL SELECT *, first_value(id) OVER (PARTITION BY space, project_id, home, name ORDER BY ord, id) FROM {claims}) t
+WHERE other <> id AND (id + other) % 5 <> 4
+""",
+)
+
 # --- snapshots of the commit graph --------------------------------------------
 # One table of two or three columns per commit; what an event carried becomes
 # the type of a column.
@@ -393,6 +496,24 @@ SELECT m.project_id AS pair_id, m.branch_id AS from_ref, cast(f.head_commit_id A
 FROM {ref_branches} m JOIN {ref_branches} f ON m.project_id = f.project_id WHERE m.name = 'main' AND f.name = 'feature'
 """,
 )
+# Into main, back into the feature, into itself, across projects, into nowhere.
+view(
+    "merge_requests",
+    """
+SELECT m.project_id * 10 AS merge_id, m.branch_id AS into_ref, f.branch_id AS from_ref
+FROM {ref_branches} m JOIN {ref_branches} f ON m.project_id = f.project_id WHERE m.name = 'main' AND f.name = 'feature'
+UNION ALL
+SELECT m.project_id * 10 + 1, f.branch_id, m.branch_id
+FROM {ref_branches} m JOIN {ref_branches} f ON m.project_id = f.project_id WHERE m.name = 'main' AND f.name = 'feature'
+UNION ALL
+SELECT project_id * 10 + 2, branch_id, branch_id FROM {ref_branches} WHERE name = 'main'
+UNION ALL
+SELECT m.project_id * 10 + 3, m.branch_id, o.branch_id FROM {ref_branches} m JOIN {ref_branches} o ON o.project_id = m.project_id + 1 AND o.name = m.name
+WHERE m.name = 'main'
+UNION ALL
+SELECT project_id * 10 + 4, branch_id, 'nowhere' FROM {ref_branches} WHERE name = 'main' AND project_id % 4 = 0
+""",
+)
 
 
 def snapshots(d: Data) -> Catalog:
@@ -409,3 +530,24 @@ def snapshots(d: Data) -> Catalog:
     )
     columns = d["snapshot_columns"].withColumn("type_params", F.array("type_param")).drop("type_param")
     return Catalog(d["snapshot_tables"], columns, constraints, indexes)
+
+
+def keyed_snapshots(d: Data) -> Catalog:
+    """The snapshots, and a key on the note in every fourth commit: coherent there, not in each merge."""
+    plain = snapshots(d)
+    keys = d["commits"].where("commit_id % 4 = 0").select(
+        "project_id",
+        "commit_id",
+        F.col("project_id").alias("table_id"),
+        F.lit(1).cast("long").alias("constraint_id"),
+        F.lit("").alias("name"),
+        F.lit("unique").alias("kind"),
+        F.array(F.lit(3).cast("long")).alias("column_ids"),
+        F.lit(None).cast("long").alias("ref_table_id"),
+        F.array().cast("array<bigint>").alias("ref_column_ids"),
+        F.lit("").alias("on_delete"),
+        F.lit("").alias("on_update"),
+        F.lit("").alias("expr"),
+        F.lit(1).cast("long").alias("ordinal"),
+    )
+    return Catalog(plain.tables, plain.columns, keys, plain.indexes)

@@ -41,9 +41,7 @@ def ancestors(d):
 
 # The oracle walks generation by generation and builds the parent choices only
 # along shortest links to nodes no deeper than the first hit.
-@query(
-    "merge_base",
-    f"""WITH RECURSIVE {_PARENTS}, pairs AS (SELECT DISTINCT a, b FROM {{commit_pairs}}),
+MERGE_BASE = f"""WITH RECURSIVE {_PARENTS}, pairs AS (SELECT DISTINCT a, b FROM {{commit_pairs}}),
 anc AS (SELECT DISTINCT a, a AS node FROM pairs UNION SELECT x.a, l.parent FROM anc x JOIN links l ON l.commit_id = x.node),
 walk AS (SELECT a, b, b AS node, 0 AS depth FROM pairs
   UNION SELECT w.a, w.b, l.parent, w.depth + 1 FROM walk w JOIN links l ON l.commit_id = w.node),
@@ -56,8 +54,10 @@ path AS (SELECT a, b, b AS node, 0 AS depth, '' AS p FROM pairs
 won AS (SELECT p.a, p.b, arg_min(p.node, p.p) AS base FROM path p JOIN hit h ON h.a = p.a AND h.b = p.b AND p.depth = h.best
   JOIN anc x ON x.a = p.a AND x.node = p.node GROUP BY p.a, p.b)
 SELECT q.a, q.b, w.base, CASE WHEN w.base IS NULL THEN 'no_common_ancestor' ELSE 'found' END AS status
-FROM pairs q LEFT JOIN won w ON w.a = q.a AND w.b = q.b""",
-)
+FROM pairs q LEFT JOIN won w ON w.a = q.a AND w.b = q.b"""
+
+
+@query("merge_base", MERGE_BASE)
 def merge_base(d):
     return history.merge_base(history.graph(d["commits"]), d["commit_pairs"])
 
