@@ -44,16 +44,20 @@ def _stays(has) -> str:
 
 _NOTE = _stays(lambda c: f"{c} % 2 = 0")
 _KEY = _stays(lambda c: f"{c} % 4 = 0")
-_SIDES = "JOIN {snapshot_columns} b ON b.commit_id = x.base JOIN {snapshot_columns} o ON o.commit_id = x.ours AND o.column_id = b.column_id JOIN {snapshot_columns} t ON t.commit_id = x.theirs AND t.column_id = b.column_id"
-_MERGES = f"""bs AS ({MERGE_BASE.replace("{commit_pairs}", _ENDS)}),
+_SIDES = "FROM vb b JOIN vo o ON o.merge_id = b.merge_id AND o.column_id = b.column_id JOIN vt t ON t.merge_id = b.merge_id AND t.column_id = b.column_id"
+_SIDE = lambda name, commit: f"{name} AS MATERIALIZED (SELECT x.merge_id, c.* FROM x JOIN {{snapshot_columns}} c ON c.commit_id = x.{commit})"
+_STEPS, _FOUND = MERGE_BASE.replace("{commit_pairs}", _ENDS).removeprefix("WITH RECURSIVE ").rsplit("\nSELECT q.a", 1)
+_MERGES = f"""{_STEPS},
+bs AS MATERIALIZED (SELECT q.a{_FOUND}),
 r AS (SELECT r.merge_id, i.head_commit_id AS ours, f.head_commit_id AS theirs, CASE WHEN i.branch_id IS NULL OR f.branch_id IS NULL THEN 'unknown_branch'
    WHEN i.project_id <> f.project_id THEN 'cross_project' WHEN i.branch_id = f.branch_id THEN 'same_branch' END AS refused
   FROM {{merge_requests}} r LEFT JOIN {{ref_branches}} i ON i.branch_id = r.into_ref LEFT JOIN {{ref_branches}} f ON f.branch_id = r.from_ref),
-x AS (SELECT r.*, bs.base FROM r LEFT JOIN bs ON bs.a = r.ours AND bs.b = r.theirs AND r.refused IS NULL),
-n AS (SELECT x.merge_id, sum({_apart(lambda s: f"{s}.name")} + {_apart(_TYPE)} + {_apart(lambda s: f"{s}.nullable")}) AS n
-  FROM x {_SIDES} WHERE b.column_id IN (1, 2) GROUP BY x.merge_id),
+x AS MATERIALIZED (SELECT r.*, bs.base FROM r LEFT JOIN bs ON bs.a = r.ours AND bs.b = r.theirs AND r.refused IS NULL),
+{_SIDE("vb", "base")}, {_SIDE("vo", "ours")}, {_SIDE("vt", "theirs")},
+n AS (SELECT b.merge_id, sum({_apart(lambda s: f"{s}.name")} + {_apart(_TYPE)} + {_apart(lambda s: f"{s}.nullable")}) AS n
+  {_SIDES} WHERE b.column_id IN (1, 2) GROUP BY b.merge_id),
 s AS (SELECT x.*, coalesce(n.n, 0) AS n_conflicts, CASE WHEN x.base IS NOT NULL AND ({_KEY}) AND NOT ({_NOTE}) THEN 1 ELSE 0 END AS n_problems FROM x LEFT JOIN n ON n.merge_id = x.merge_id),
-m AS (SELECT *, CASE WHEN refused IS NOT NULL THEN refused WHEN base IS NULL THEN 'no_common_ancestor' WHEN n_conflicts > 0 THEN 'conflicts'
+m AS MATERIALIZED (SELECT *, CASE WHEN refused IS NOT NULL THEN refused WHEN base IS NULL THEN 'no_common_ancestor' WHEN n_conflicts > 0 THEN 'conflicts'
    WHEN n_problems > 0 THEN 'problems' ELSE 'merged' END AS status FROM s)"""
 
 
@@ -63,7 +67,7 @@ def _merged(d) -> merging.RefMerges:
 
 @query(
     "merge_refs",
-    f"WITH {_MERGES} SELECT merge_id, status, base, cast(n_conflicts AS bigint) AS n_conflicts, cast(n_problems AS bigint) AS n_problems, cast(n_problems AS bigint) AS n_new_problems FROM m",
+    f"WITH RECURSIVE {_MERGES} SELECT merge_id, status, base, cast(n_conflicts AS bigint) AS n_conflicts, cast(n_problems AS bigint) AS n_problems, cast(n_problems AS bigint) AS n_new_problems FROM m",
 )
 def merge_refs(d):
     return _merged(d).status.select("merge_id", "status", "base", "n_conflicts", "n_problems", "n_new_problems")
@@ -74,8 +78,8 @@ _PICK = lambda of: f"CASE WHEN {of('b')} = {of('o')} THEN {of('t')} ELSE {of('o'
 
 @query(
     "merge_refs_columns",
-    f"""WITH {_MERGES} SELECT x.merge_id, b.column_id, {_PICK(lambda s: f"{s}.name")} AS name, {_PICK(_TYPE)} AS type, {_PICK(lambda s: f"{s}.nullable")} AS nullable
-FROM m x {_SIDES} WHERE x.status = 'merged' AND b.column_id IN (1, 2)
+    f"""WITH RECURSIVE {_MERGES} SELECT b.merge_id, b.column_id, {_PICK(lambda s: f"{s}.name")} AS name, {_PICK(_TYPE)} AS type, {_PICK(lambda s: f"{s}.nullable")} AS nullable
+{_SIDES} JOIN m ON m.merge_id = b.merge_id WHERE m.status = 'merged' AND b.column_id IN (1, 2)
 UNION ALL SELECT merge_id, 3, 'note', 'text(1)', true FROM m x WHERE status = 'merged' AND ({_NOTE})""",
 )
 def merge_refs_columns(d):
