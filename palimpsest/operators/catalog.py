@@ -18,9 +18,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.functions.cells import any_of
 from palimpsest.functions.types import action_words, render_type
 from palimpsest.functions.words import has_text
-from palimpsest.operators.align import counts_by_key, skipped_keys
 from palimpsest.operators.spread import lookup
 
 PROJECT, TABLE = "project_id", "table_id"
@@ -54,15 +54,20 @@ OBJECTS = {
 
 def skipped_objects(sides: Mapping[str, Catalog]) -> DataFrame:
     """`(project_id, table_id, what, object_id, problem, n_<side>…)`: objects whose
-    id is repeated or null on a side, which are therefore not compared."""
-    parts = []
+    id is repeated or null on a side, which are therefore not compared.
+
+    All kinds and sides are counted in one exchange of their ids."""
+    stacked = []
     for what, (attr, ident) in OBJECTS.items():
-        key = SCOPE if what == "table" else [*SCOPE, ident]
-        rows = {s: getattr(cat, attr) for s, cat in sides.items()}
-        found = skipped_keys(counts_by_key(rows, key), rows, key)
-        counts = [f"n_{s}" for s in sides]
-        parts.append(found.select(*SCOPE, F.lit(what).alias("what"), F.col(ident).cast("string").alias("object_id"), "problem", *counts))
-    return reduce(DataFrame.unionByName, parts)
+        for side, cat in sides.items():
+            own = F.col(ident).cast("string").alias("object_id")
+            stacked.append(getattr(cat, attr).select(*SCOPE, F.lit(what).alias("what"), own, F.lit(side).alias("_side")))
+    counts = reduce(DataFrame.unionByName, stacked).groupBy(*SCOPE, "what", "object_id")
+    counts = counts.agg(*[F.count_if(F.col("_side") == s).alias(f"n_{s}") for s in sides])
+    absent = any_of([F.col(c).isNull() for c in (*SCOPE, "object_id")])
+    repeated = any_of([F.col(f"n_{s}") > 1 for s in sides])
+    found = counts.withColumn("problem", F.when(absent, "null_key").when(repeated, "duplicate_key")).where(F.col("problem").isNotNull())
+    return found.select(*SCOPE, "what", "object_id", "problem", *[f"n_{s}" for s in sides])
 
 
 def told(sides: Sequence[str]) -> Column:
