@@ -81,8 +81,11 @@ def referential_effects(
     for table, df in gone.items():
         # of the references that delete a row at its depth the first is told
         key, found = list(keys[table]), df.where("depth > 0").select(*keys[table], "depth")
-        ways = [_children(rows, keys, fk, gone[fk.parent]).withColumn("by", _reference(fk)) for fk in cascades if fk.table == table and fk.parent in gone]
-        if ways:
+        by = [fk for fk in cascades if fk.table == table and fk.parent in gone]
+        if len(by) == 1:
+            effects.append(_effect(found.withColumn("by", _reference(by[0])), table, key, "delete"))
+        elif by:
+            ways = [_children(rows, keys, fk, gone[fk.parent]).withColumn("by", _reference(fk)) for fk in by]
             told = reduce(DataFrame.unionByName, ways).join(found, [*key, "depth"]).groupBy(*key, "depth").agg(F.min("by").alias("by"))
             effects.append(_effect(told, table, key, "delete"))
     for fk in fks:
