@@ -282,9 +282,13 @@ def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return joined.mapInArrow(run, "doc_id long, n_bytes long, removed array<struct<start:long,stop:long>>, kept binary")
 
 
-def summary(found: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of `deduplicated` rows."""
+def summary(found: DataFrame, with_text: bool = False) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of `deduplicated` rows; `with_text` also the kept `text`.
+
+    A cut may part a character: in `text` what is left of one becomes U+FFFD, the digest is of the bytes.
+    """
     removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["stop"] - r["start"])
-    return found.select(
-        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
-    )
+    columns = [removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")]
+    if with_text:
+        columns.append(F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))
+    return found.select("doc_id", "n_bytes", *columns)

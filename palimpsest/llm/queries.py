@@ -45,7 +45,7 @@ def op6_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the bytes of repeated strings of 400 bytes."""
-    return phrase_dedup.summary(phrase_dedup.deduplicated(documents(spark, sf_dir)))
+    return phrase_dedup.summary(phrase_dedup.deduplicated(documents(spark, sf_dir)), with_text=True)
 
 
 def op8_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
