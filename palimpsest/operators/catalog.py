@@ -97,7 +97,7 @@ def plain_columns(columns: DataFrame) -> DataFrame:
 
 def typed_columns(columns: DataFrame) -> DataFrame:
     """The inverse of `plain_columns`."""
-    digits = F.regexp_extract_all(F.substring_index("type", "(", -1), F.lit(r"(\d+)"), F.lit(1))
+    digits = F.regexp_extract_all(F.substring_index("type", "(", -1), F.lit(r"(-?\d+)"), F.lit(1))
     params = F.when(F.contains(F.col("type"), F.lit("(")), F.transform(digits, lambda p: p.cast("int")))
     return columns.select(
         *SCOPE,

@@ -17,73 +17,25 @@ names. Nothing that is visible is ever changed.
 
 from __future__ import annotations
 
-import json
-import os
 import uuid
 from collections.abc import Callable, Mapping
 from functools import reduce
-from urllib.parse import urlparse
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions.cells import fingerprint
 from palimpsest.session import cut
+from palimpsest.sources.log import Log
 
 FULL = 16
 COMMITS = "entry long, branch_id string, commit_id string, parent_id string, parent2_id string, message string, hash_a long, hash_b long, n_rows long"
 PROPOSAL = ["branch_id", "commit_id", "expected_head", "parent2_id", "message"]
 
 
-class CommitStore:
+class CommitStore(Log):
     """Branches and their versions under `path`."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-        self._fs("log").mkdirs(self._at("log"))
-
-    # --- files -----------------------------------------------------------------
-
-    def _at(self, name: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-
-    def _fs(self, name: str):
-        return self._at(name).getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def entries(self, after: int = 0) -> list[tuple[int, dict]]:
-        """The log entries after number `after`, in order."""
-        listed = self._fs("log").listStatus(self._at("log"))
-        numbers = sorted(int(s.getPath().getName()) for s in listed if s.getPath().getName().isdigit())
-        return [(n, json.loads(self._read(f"log/{n:020d}"))) for n in numbers if n > after]
-
-    def _read(self, name: str) -> str:
-        stream = self._fs(name).open(self._at(name))
-        try:
-            return bytes(self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
-        finally:
-            stream.close()
-
-    def _claim(self, number: int, content: dict) -> bool:
-        """Create entry `number`, complete at once; False if it is there already."""
-        name, target = f"log/.{uuid.uuid4().hex}", f"log/{number:020d}"
-        out = self._fs(name).create(self._at(name), False)
-        out.write(bytearray(json.dumps(content).encode()))
-        out.close()
-        place = urlparse(self.path)
-        if place.scheme in ("", "file"):
-            # a local rename replaces its target; a link does not
-            try:
-                os.link(f"{place.path}/{name}", f"{place.path}/{target}")
-            except FileExistsError:
-                return False
-            finally:
-                self._fs(name).delete(self._at(name), False)
-            return True
-        if self._fs(target).exists(self._at(target)) or not self._fs(name).rename(self._at(name), self._at(target)):
-            self._fs(name).delete(self._at(name), False)
-            return False
-        return True
-
     # --- reading ---------------------------------------------------------------
 
     def _commits(self, entries: list[tuple[int, dict]]) -> DataFrame:
@@ -194,6 +146,6 @@ class CommitStore:
                 content["heads"] = f"heads-{k}"
             if before_claim is not None:
                 before_claim()
-            if self._claim(number, content):
+            if self.claim(number, content):
                 return judged.select("branch_id", "commit_id", "status")
         raise RuntimeError(f"other writers were faster {tries} times")

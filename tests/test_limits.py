@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.operators.catalog import Catalog
+from palimpsest.operators.catalog import Catalog, plain_columns, typed_columns
 from palimpsest.operators.catalog_checks import check_catalog
 from palimpsest.operators.catalog_diff import KINDS, order_changes
 from palimpsest.operators.catalog_replay import replay_catalog
@@ -73,3 +73,10 @@ def test_reading_orders(spark):
 def test_heads_of_no_proposals(spark):
     branches = spark.createDataFrame([("b", "c")], "branch_id string, head_commit_id string")
     assert head_moves(branches, spark.createDataFrame([], "branch_id string, seq long, commit_id string, expected_head string")).isEmpty()
+
+
+def test_type_parameters_keep_their_sign(spark):
+    rows = [(1, 1, i, f"c{i}", base, params, True, "", i) for i, (base, params) in enumerate([("numeric", [10, -2]), ("text", []), ("varchar", [255])])]
+    columns = spark.createDataFrame(rows, COLUMNS)
+    back = typed_columns(plain_columns(columns)).select("column_id", "type_base", "type_params").collect()
+    assert sorted(tuple(r) for r in back) == [(r[2], r[4], r[5]) for r in rows]

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
+import uuid
+
 from pyspark.sql import functions as F
 
 from palimpsest.operators import history
+from palimpsest.session import shared_dir
+from palimpsest.sources.graph_index import GraphIndex
 from workloads.data import Data, oracle
 
 QUERIES, ORACLES = {}, {}
@@ -78,6 +83,21 @@ def divergence(d):
     return history.divergence(history.graph(d["commits"]), d["commit_pairs"])
 
 
+def _kept(d):
+    """The graph of all commits, appended in three parts by their ids."""
+    index = GraphIndex(d.spark, f"{shared_dir(d.spark).rstrip('/')}/graph-{uuid.uuid4().hex}")
+    commits = d["commits"]
+    bounds = [float("-inf"), *commits.approxQuantile("commit_id", [0.4, 0.8], 0.01), float("inf")]
+    for low, high in itertools.pairwise(bounds):
+        index.append(commits.where((F.col("commit_id") > low) & (F.col("commit_id") <= high)))
+    return index.graph()
+
+
+@query("merge_base_kept", MERGE_BASE)
+def merge_base_kept(d):
+    return history.merge_base(_kept(d), d["commit_pairs"])
+
+
 _LINE = f"""line AS (SELECT start, 0 AS depth, start AS commit_id FROM ({_HEADS})
   UNION ALL SELECT l.start, l.depth + 1, c.parent_id FROM line l JOIN {{commits}} c ON c.commit_id = l.commit_id
   WHERE c.parent_id IS NOT NULL AND l.depth + 1 < 100)"""
@@ -88,6 +108,11 @@ def first_parent_history(d):
     return history.first_parent_history(history.graph(d["commits"]), _starts(d), 100)
 
 
+@query("first_parent_history_kept", ORACLES["first_parent_history"])
+def first_parent_history_kept(d):
+    return history.first_parent_history(_kept(d), _starts(d), 100)
+
+
 @query(
     "commit_list",
     f"""WITH RECURSIVE {_LINE}, n AS (SELECT commit_id, count(*) AS n FROM {{commit_tables}} GROUP BY commit_id)
