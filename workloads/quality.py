@@ -12,6 +12,7 @@ from palimpsest.operators import diff, evolve, integrity, merge, referential, re
 from palimpsest.operators.integrity import Check, ForeignKey, NotNull, Unique
 from palimpsest.session import shared_dir
 from palimpsest.sources import ingest, versions
+from palimpsest.sources.deltas import DeltaVersions
 from workloads import rows
 from workloads.data import Data, oracle
 
@@ -537,6 +538,44 @@ def versions_orders(d):
     return versions.load_versions(d.spark, path, wanted).select("commit_id", "k", "status", F.col("price").cast("string").alias("price"))
 
 
+_ORDER = ["cust", "status", "prio", "price", "code"]
+_LINES = (("base", None), ("ours", "base"), ("theirs", "base"), ("after", "theirs"))
+
+
+def _deltas(d):
+    """base, two versions after it, and one that goes back from theirs to ours."""
+    store = DeltaVersions(d.spark, f"{shared_dir(d.spark).rstrip('/')}/deltas-{uuid.uuid4().hex}", ["k"], _ORDER)
+    for version, parent in _LINES:
+        store.write(version, d["orders_ours" if version == "after" else f"orders_{version}"], parent)
+    return store
+
+
+@query(
+    "delta_versions_orders",
+    """SELECT 'ours' AS version, k, cust, status, prio, cast(price AS string) AS price, code FROM {orders_ours}
+UNION ALL SELECT 'theirs', k, cust, status, prio, cast(price AS string), code FROM {orders_theirs}
+UNION ALL SELECT 'after', k, cust, status, prio, cast(price AS string), code FROM {orders_ours}""",
+)
+def delta_versions_orders(d):
+    """Versions kept as changes read back whole, one of them two changes after the full copy."""
+    store = _deltas(d)
+    read = lambda v: store.load(v).select(F.lit(v).alias("version"), "k", "cust", "status", "prio", F.col("price").cast("string").alias("price"), "code")
+    return read("ours").unionByName(read("theirs")).unionByName(read("after"))
+
+
+@query(
+    "delta_changes_orders",
+    """WITH m AS (SELECT coalesce(n.k, w.k) AS k, n.k IS NULL AS gone, w.k IS NULL AS added, n.cust, n.status, n.prio, cast(n.price AS string) AS price, n.code,
+  (n.cust IS NOT DISTINCT FROM w.cust AND n.status IS NOT DISTINCT FROM w.status AND n.prio IS NOT DISTINCT FROM w.prio
+   AND n.price IS NOT DISTINCT FROM w.price AND n.code IS NOT DISTINCT FROM w.code) AS alike
+  FROM {orders_ours} n FULL JOIN {orders_theirs} w ON n.k = w.k)
+SELECT k, gone, cust, status, prio, price, code FROM m WHERE gone OR added OR NOT alike""",
+)
+def delta_changes_orders(d):
+    """What the version after theirs keeps: the rows that differ, and the keys that went."""
+    return _deltas(d).changes("after").select("k", F.col("_gone").alias("gone"), "cust", "status", "prio", F.col("price").cast("string").alias("price"), "code")
+
+
 @query(
     "merged_coverage_customer",
     f"""WITH q AS ({_FAULTS}), t AS (SELECT row_key, construct, object, detail FROM q UNION SELECT cast(c_custkey AS string), 'too_long', 'c_mktsegment', c_mktsegment
