@@ -17,7 +17,12 @@ topic everywhere, nothing is fitted.
 
 Cells are summed before they are shuffled. Up to CELLS of them (checked) are
 raked in the driver and broadcast; beyond that the same steps run as
-aggregates of the cell table. Draws hash the doc_id, so they repeat.
+aggregates of the cell table, with the same stop and the same halvings. Draws hash
+the doc_id, so they repeat.
+
+Raking ends when no cell moves by CLOSE, after ROUNDS at most. Targets that the
+cells cannot meet together (a language that only one source has) never settle;
+`margin_gap` tells the largest distance of a margin's share from its target.
 
 Defined results: null source and language are values of their own. A text
 without words has no tokens, topic 0, and its cell's probability. Rows that
@@ -44,6 +49,8 @@ TOPIC_BITS = 3
 #: Shortest words, in bytes, that speak for a topic.
 TOPIC_WORD = 5
 ROUNDS = 100
+#: 64 halvings of an interval of which the answer is a quarter at least reach the last bit of a double.
+HALVINGS = 64
 CLOSE = 1e-9
 CELLS = 200_000
 SEED = 7
@@ -106,8 +113,8 @@ def shares(tokens: pd.Series, wanted: Mapping[str | None, float] | None, temper:
     return out / out.sum() if out.sum() > 0 else have
 
 
-def rake(cells: pd.DataFrame, wanted: Targets | None = None, temper: float = TEMPER) -> np.ndarray:
-    """Share of each cell (source, lang, topic, tokens) such that every margin has its target; 0 where there are no tokens."""
+def margins_of(cells: pd.DataFrame, wanted: Targets | None = None, temper: float = TEMPER) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each margin the number of each cell's value, and the target shares by that number."""
     weight = cells["tokens"].to_numpy(float)
     weight = weight / weight.sum()
     margins = []
@@ -116,6 +123,14 @@ def rake(cells: pd.DataFrame, wanted: Targets | None = None, temper: float = TEM
         keys = [None if v == "\0null" else v for v in values]
         held = pd.Series(np.bincount(codes, weight, len(keys)), index=pd.Index(keys, dtype=object))
         margins.append((codes, shares(held, (wanted or {}).get(name), temper).to_numpy()))
+    return margins
+
+
+def rake(cells: pd.DataFrame, wanted: Targets | None = None, temper: float = TEMPER) -> np.ndarray:
+    """Share of each cell (source, lang, topic, tokens) such that every margin has its target; 0 where there are no tokens."""
+    weight = cells["tokens"].to_numpy(float)
+    weight = weight / weight.sum()
+    margins = margins_of(cells, wanted, temper)
     for _ in range(ROUNDS):
         before = weight
         for codes, target in margins:
@@ -126,6 +141,11 @@ def rake(cells: pd.DataFrame, wanted: Targets | None = None, temper: float = TEM
     return weight
 
 
+def margin_gap(cells: pd.DataFrame, weight: np.ndarray, wanted: Targets | None = None, temper: float = TEMPER) -> float:
+    """The largest distance of a margin's share from its target."""
+    return max(float(np.abs(np.bincount(codes, weight, len(target)) - target).max()) for codes, target in margins_of(cells, wanted, temper))
+
+
 def rates(tokens: np.ndarray, weight: np.ndarray, keep: float = KEEP) -> np.ndarray:
     """Probability of each cell's documents: in proportion to weight / tokens, at most 1, `keep` of all tokens in the mean."""
     lift = np.divide(weight, tokens, out=np.zeros_like(weight), where=tokens > 0)
@@ -134,7 +154,7 @@ def rates(tokens: np.ndarray, weight: np.ndarray, keep: float = KEEP) -> np.ndar
         return np.full(len(tokens), keep)
     while (np.minimum(1, high * lift) * tokens).sum() < goal and high < 1e300:
         high *= 4
-    for _ in range(200):
+    for _ in range(HALVINGS):
         mid = (low + high) / 2
         low, high = (mid, high) if (np.minimum(1, mid * lift) * tokens).sum() < goal else (low, mid)
     return np.where(tokens > 0, np.minimum(1, high * lift), keep)
@@ -171,16 +191,22 @@ def rake_table(cells: DataFrame, wanted: Targets | None = None, temper: float =
         current = raked.drop("was")
         if moved < CLOSE:
             break
+    gap = 0.0
+    for name in MARGINS:
+        have = current.groupBy(F.col(name).alias("value")).agg(F.sum("weight").alias("have"))
+        met = have.join(goals[name], F.col("value").eqNullSafe(F.col(name)))
+        gap = max(gap, met.agg(F.max(F.abs(F.col("have") - F.col("goal")))).first()[0] or 0.0)
     lift = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(0.0)
     goal = keep * (current.filter(lift > 0).agg(F.sum("tokens")).first()[0] or 0)
     low, high = 0.0, 1.0
     got = lambda x: current.agg(F.sum(F.least(F.lit(1.0), F.lit(x) * lift) * F.col("tokens"))).first()[0] or 0.0
     while goal > 0 and got(high) < goal and high < 1e300:
         high *= 4
-    for _ in range(60 if goal > 0 else 0):
+    for _ in range(HALVINGS if goal > 0 else 0):
         mid = (low + high) / 2
         low, high = (mid, high) if got(mid) < goal else (low, mid)
-    return current.withColumn("probability", F.when((F.col("tokens") > 0) & F.lit(goal > 0), F.least(F.lit(1.0), F.lit(high) * lift)).otherwise(keep))
+    chance = F.when((F.col("tokens") > 0) & F.lit(goal > 0), F.least(F.lit(1.0), F.lit(high) * lift)).otherwise(keep)
+    return current.withColumns({"probability": chance, "margin_gap": F.lit(gap if total else 0.0)})
 
 
 def drawn(doc_id, seed: int = SEED):
@@ -198,25 +224,26 @@ def mix(
     seed: int = SEED,
     carried: Sequence[str] = (),
 ) -> DataFrame:
-    """doc_id, source, lang, topic, tokens, weight (share of the cell), probability, sampled and `carried` for every row of `docs`."""
+    """doc_id, source, lang, topic, tokens, weight (share of the cell), probability, margin_gap, sampled and `carried` for every row of `docs`."""
     rows = cut(measured(docs, topic, carried))
     cells = cut(rows.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens")))
     if cells.count() <= most_cells:
         known = cells.toPandas().sort_values(list(MARGINS), na_position="first", ignore_index=True)
         if not len(known) or not known["tokens"].sum():
-            known["weight"], known["probability"] = 0.0, keep
+            known["weight"], known["probability"], known["margin_gap"] = 0.0, keep, 0.0
         else:
             known["weight"] = rake(known, wanted, temper)
             known["probability"] = rates(known["tokens"].to_numpy(float), known["weight"].to_numpy(), keep)
+            known["margin_gap"] = margin_gap(known, known["weight"].to_numpy(), wanted, temper)
         records = [tuple(r) for r in known.astype(object).where(known.notna(), None).itertuples(index=False)]
-        rated = docs.sparkSession.createDataFrame(records, "source string, lang string, topic string, tokens long, weight double, probability double")
+        rated = docs.sparkSession.createDataFrame(records, "source string, lang string, topic string, tokens long, weight double, probability double, margin_gap double")
         rated = F.broadcast(rated.drop("tokens"))  # at most `most_cells` rows
     else:
         rated = cut(rake_table(cells, wanted, temper, keep)).drop("tokens")
-    rated = rated.select(*(F.col(m).alias(f"cell_{m}") for m in MARGINS), "weight", "probability")
+    rated = rated.select(*(F.col(m).alias(f"cell_{m}") for m in MARGINS), "weight", "probability", "margin_gap")
     same = F.lit(True)
     for m in MARGINS:
         same &= F.col(m).eqNullSafe(F.col(f"cell_{m}"))
     return rows.join(rated, same).select(
-        "doc_id", *MARGINS, "tokens", "weight", "probability", (drawn(F.col("doc_id"), seed) < F.col("probability")).alias("sampled"), *carried
+        "doc_id", *MARGINS, "tokens", "weight", "probability", "margin_gap", (drawn(F.col("doc_id"), seed) < F.col("probability")).alias("sampled"), *carried
     )

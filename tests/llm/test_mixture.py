@@ -86,3 +86,12 @@ def test_draws_follow_probabilities(spark):
 def test_nothing_to_weigh(spark, given, most):
     out = op.mix(docs(spark, given), most_cells=most).collect()
     assert len(out) == len(given) and all(r["tokens"] == 0 and r["probability"] == op.KEEP for r in out)
+
+
+@pytest.mark.parametrize("most", [0, 100])
+def test_margins_that_cannot_be_met_are_told(spark, monkeypatch, most):
+    monkeypatch.setattr(op, "ROUNDS", 6)
+    table = docs(spark, [(i, prose(i, 20), "fr" if i % 2 else "en", "a" if i % 2 else "b") for i in range(200)])
+    met = op.mix(table, {"source": {"a": 0.3}, "lang": {"fr": 0.3}}, most_cells=most).select("margin_gap").distinct().collect()
+    torn = op.mix(table, {"source": {"a": 0.3}, "lang": {"fr": 0.8}}, most_cells=most).select("margin_gap").distinct().collect()
+    assert len(met) == len(torn) == 1 and met[0][0] < 0.02 and torn[0][0] > 0.3
