@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from palimpsest.operators.spread import lookup, lookup_large
 from palimpsest.session import cut
 from workloads.data import Data
 
@@ -29,3 +30,15 @@ def test_files_of_many_rows_are_exchanged(spark, tmp_path):
 def test_few_rows_are_left_to_spark(spark):
     small = cut(spark.range(100))
     assert "BroadcastHashJoin" in plan(spark.range(1000).join(small, "id"))
+
+
+def test_repeats_are_not_taken_for_the_rows_they_come_from(spark):
+    few = cut(spark.range(300).withColumn("k", F.col("id") % 3))
+    big = few.withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(999))))
+    small = cut(spark.range(1000).select(F.col("id").cast("int").alias("at"), (F.col("id") * 2).alias("v")))
+    for met in (lookup_large(big, small, ["at"], ["id"]), lookup(big, small, ["at"], ["id"])):
+        got = met.select("id", "at", "v").collect()
+        last = plan(met.select("id", "at", "v"))
+        assert len(got) == 300_000 and all(r["v"] == 2 * r["at"] for r in got)
+        assert "SortMergeJoin" in last
+        assert met._jdf.queryExecution().optimizedPlan().toString().count("strategy=merge") == 1
