@@ -59,7 +59,8 @@ def match_by_name(head: Catalog, new: Catalog) -> tuple[DataFrame, DataFrame]:
 def _tokens(columns: DataFrame, tables: DataFrame) -> DataFrame:
     """`(project_id, table_id, token, n)`: distinct (name, type) of the first
     column of each name, and the number of columns of the table."""
-    inside = columns.join(tables.select(*SCOPE), SCOPE, "left_semi")
+    # as many rows as tables and columns: exchanged, whatever the files' size promises
+    inside = columns.join(tables.select(*SCOPE).hint("merge"), SCOPE, "left_semi").hint("merge")
     sizes = inside.groupBy(*SCOPE).agg(F.count(F.lit(1)).alias("n"))
     first = _firsts(inside, SCOPE, ["position", "column_id"]).select(*SCOPE, F.struct("name", "type").alias("token"))
     return first.join(sizes, SCOPE)
@@ -116,7 +117,7 @@ def _sets(tokens: DataFrame) -> DataFrame:
 
 def _prefix(sets: DataFrame, frequency: DataFrame, out: str) -> DataFrame:
     ranked = Window.partitionBy(PROJECT, "like").orderBy("f", "token")
-    placed = sets.join(frequency, [PROJECT, "token"]).withColumn("rank", F.row_number().over(ranked))
+    placed = sets.join(frequency.hint("merge"), [PROJECT, "token"]).withColumn("rank", F.row_number().over(ranked))
     total = F.count(F.lit(1)).over(Window.partitionBy(PROJECT, "like"))
     needed = F.ceil(F.col("n") * (TABLE_THRESHOLD / (2 - TABLE_THRESHOLD)) - 1e-9)
     kept = placed.withColumn("total", total).where(F.col("rank") <= F.col("total") - needed + 1)
