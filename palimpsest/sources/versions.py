@@ -34,6 +34,12 @@ def load_version(
 
 def load_versions(spark: SparkSession, path: str, commits: DataFrame | None = None) -> DataFrame:
     """All versions with their `commit_id`; folders are pruned by a filter or by
-    the join with `commits`."""
+    the join with `commits`.
+
+    Of `commits` only the ids of folders are broadcast, which the driver has listed
+    anyway: an exchange by `commit_id` would put a version into one task."""
     df = spark.read.option("mergeSchema", "true").parquet(path).withColumn(COMMIT, F.col(COMMIT).cast("string"))
-    return df if commits is None else df.join(commits.select(COMMIT), COMMIT, "left_semi")
+    if commits is None:
+        return df
+    wanted = df.select(COMMIT).distinct().join(commits.select(COMMIT), COMMIT, "left_semi")
+    return df.join(F.broadcast(wanted), COMMIT, "left_semi")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.operators.spread import lookup, lookup_large
 from palimpsest.session import cut
+from palimpsest.sources.versions import load_versions, write_version
 from workloads.data import Data
 
 
@@ -42,3 +43,13 @@ def test_repeats_are_not_taken_for_the_rows_they_come_from(spark):
         assert len(got) == 300_000 and all(r["v"] == 2 * r["at"] for r in got)
         assert "SortMergeJoin" in last
         assert met._jdf.queryExecution().optimizedPlan().toString().count("strategy=merge") == 1
+
+
+def test_versions_are_not_exchanged_by_their_commit(spark, tmp_path):
+    path = f"{tmp_path}/versions"
+    for name in ("a", "b", "c"):
+        write_version(spark.range(50).withColumn("x", F.lit(name)), path, name)
+    wanted = spark.createDataFrame([("a",), ("a",), ("c",), ("gone",), (None,)], "commit_id string")
+    got = load_versions(spark, path, wanted)
+    assert sorted((r["commit_id"], r["n"]) for r in got.groupBy("commit_id").agg(F.count("id").alias("n")).collect()) == [("a", 50), ("c", 50)]
+    assert "SortMergeJoin" not in plan(got).split("BroadcastExchange")[0]
