@@ -228,7 +228,8 @@ def head_moves(branches: DataFrame, proposals: DataFrame) -> DataFrame:
     start = branches.select("branch_id", F.col("head_commit_id").alias("commit_id"))
     # A commit already on the branch cannot be committed again: the first stays.
     first = proposals.groupBy(*ids).agg(F.min("seq").alias("seq"))
-    new = first.join(start, ids, "left_anti").join(proposals, [*ids, "seq"], "left_semi")
+    # read five times below
+    new = cut(first.join(start, ids, "left_anti").join(proposals, [*ids, "seq"], "left_semi"))
     holders = new.select("branch_id", F.col("commit_id").alias("expected_head"), F.col("seq").alias("since")).unionByName(
         start.select("branch_id", F.col("commit_id").alias("expected_head"), F.lit(None).cast("long").alias("since"))
     )

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from palimpsest.functions.cells import any_of, comparable, key_text, same, text
 from palimpsest.operators.history import head_moves
+from palimpsest.session import cut
 from palimpsest.sources.ingest import Column, Reference, ingest
 
 
@@ -127,7 +128,9 @@ def head_moves_stream(branches: DataFrame, proposals: DataFrame, out: str) -> St
         seen = _earlier(spark, out, "judged", epoch, judged_schema).select(*ids)
         seen = seen.unionByName(start.select("branch_id", F.col("head_commit_id").alias("commit_id"))).distinct()
         repeated = batch.join(seen, ids, "left_semi").withColumn("status", F.lit("repeated_commit"))
-        judged = head_moves(heads, batch.join(seen, ids, "left_anti")).unionByName(repeated)
+        # stored: a batch may be one file, which one task would read each time it is asked for
+        unseen = cut(batch.join(seen, ids, "left_anti"))
+        judged = head_moves(heads, unseen).unionByName(repeated)
         judged_at = _epoch(out, "judged", epoch)
         judged.select(*judged_schema.names).write.mode("overwrite").parquet(judged_at)
         accepted = spark.read.schema(judged_schema).parquet(judged_at).where("status = 'accepted'")
