@@ -53,3 +53,12 @@ def test_versions_are_not_exchanged_by_their_commit(spark, tmp_path):
     got = load_versions(spark, path, wanted)
     assert sorted((r["commit_id"], r["n"]) for r in got.groupBy("commit_id").agg(F.count("id").alias("n")).collect()) == [("a", 50), ("c", 50)]
     assert "SortMergeJoin" not in plan(got).split("BroadcastExchange")[0]
+
+
+def test_commits_are_derived_once(spark, tmp_path):
+    kinds = F.element_at(F.array(*[F.lit(k) for k in ("view", "error", "purchase")]), (F.col("id") % 3 + 1).cast("int"))
+    rows = spark.range(30).select(F.col("id").alias("event_id"), F.timestamp_seconds("id").alias("ts"), (F.col("id") % 2).alias("user_id"), kinds.alias("event_type"))
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    d = Data(spark, str(tmp_path))
+    assert "Window" not in plan(d["commits"]) and d["commits"].count() == 30
+    assert d["branches"].count() == 4
