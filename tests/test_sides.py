@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from palimpsest.operators.spread import lookup, lookup_large
+from palimpsest.operators import spread
+from palimpsest.operators.spread import lookup, lookup_large, number_within, running_last
 from palimpsest.session import cut
 from palimpsest.sources.versions import load_versions, write_version
 from workloads.data import Data
@@ -62,3 +63,15 @@ def test_commits_are_derived_once(spark, tmp_path):
     d = Data(spark, str(tmp_path))
     assert "Window" not in plan(d["commits"]) and d["commits"].count() == 30
     assert d["branches"].count() == 4
+
+
+def test_groups_of_one_bucket_carry_nothing(spark, monkeypatch):
+    """Many small groups are numbered and scanned without collecting a row for each."""
+    stored = cut(spark.range(20_000).select((F.col("id") % 5000).alias("g"), F.col("id").alias("s"), F.col("id").alias("v")))
+    carried, plain = [], spread._carried
+    monkeypatch.setattr(spread, "_carried", lambda rows, summary, part: carried.append(summary) or plain(rows, summary, part))
+    numbered = number_within(stored, ["g"], "s", "n")
+    scanned = running_last(stored, ["g"], "s", {"p": F.col("v")}, inclusive=False)
+    assert all(r["n"] == r["s"] // 5000 + 1 for r in numbered.collect())
+    assert all(r["p"] == (r["s"] - 5000 if r["s"] >= 5000 else None) for r in scanned.collect())
+    assert [summary.count() for summary in carried] == [0, 0]
