@@ -84,7 +84,8 @@ def table_classes(head: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame
     both = a.select(PROJECT, "token").unionByName(b.select(PROJECT, "token"))
     frequency = both.groupBy(PROJECT, "token").agg(F.count(F.lit(1)).alias("f"))
     pa, pb = _prefix(sets_a, frequency, "a"), _prefix(sets_b, frequency, "b")
-    pairs = pa.join(pb, [PROJECT, "token"]).select(PROJECT, "a", "b").distinct()
+    # as many rows as classes have tokens: exchanged, like those of `_tokens`
+    pairs = pa.join(pb.hint("merge"), [PROJECT, "token"]).select(PROJECT, "a", "b").distinct()
     left = sets_a.select(PROJECT, F.col("like").alias("a"), "token", F.col("n").alias("n_a"))
     right = sets_b.select(PROJECT, F.col("like").alias("b"), "token", F.col("n").alias("n_b"))
     shared = pairs.join(left, [PROJECT, "a"]).join(right, [PROJECT, "b", "token"]).groupBy(PROJECT, "a", "b")
@@ -334,5 +335,6 @@ def _reuse(new: DataFrame, head: DataFrame, ident: str, shape: Column) -> DataFr
         df.withColumn("_shape", shape), [*SCOPE, "_shape"], "ordinal", "_nth", tie=[ident]
     )
     known = place(head).select(*SCOPE, "_shape", "_nth", F.col(ident).alias("_head"))
-    out = place(new).join(known, [*SCOPE, "_shape", "_nth"], "left")
+    # as many rows as members, however few bytes their files hold
+    out = place(new).join(known.hint("merge"), [*SCOPE, "_shape", "_nth"], "left")
     return out.withColumn(ident, F.coalesce("_head", ident)).select(*new.columns)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from palimpsest.operators import spread
+from palimpsest.operators.match import _reuse, table_classes
 from palimpsest.operators.spread import lookup, lookup_large, number_within, running_last
 from palimpsest.session import cut
 from palimpsest.sources.versions import load_versions, write_version
@@ -75,3 +76,18 @@ def test_groups_of_one_bucket_carry_nothing(spark, monkeypatch):
     assert all(r["n"] == r["s"] // 5000 + 1 for r in numbered.collect())
     assert all(r["p"] == (r["s"] - 5000 if r["s"] >= 5000 else None) for r in scanned.collect())
     assert [summary.count() for summary in carried] == [0, 0]
+
+
+def test_tokens_of_classes_are_exchanged(spark):
+    columns = cut(spark.range(400).selectExpr("id % 50 project_id", "id table_id", "id column_id", "'n' || id name", "'t' type", "1 position"))
+    _, _, good = table_classes(columns, columns)
+    assert {(r["a"] == r["b"], r["score"]) for r in good.collect()} == {(True, 1.0)} and good.count() == 400
+    assert good._jdf.queryExecution().optimizedPlan().toString().count("strategy=merge") == 3
+
+
+def test_members_of_the_head_are_exchanged(spark):
+    members = cut(spark.range(60).selectExpr("id % 5 project_id", "id % 10 table_id", "id constraint_id", "'n' || id name", "1 ordinal"))
+    fresh = members.withColumn("constraint_id", F.col("constraint_id") + 1000)
+    got = _reuse(fresh, members, "constraint_id", F.col("name"))
+    assert sorted(r["constraint_id"] for r in got.collect()) == list(range(60))
+    assert "strategy=merge" in got._jdf.queryExecution().optimizedPlan().toString()
