@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from palimpsest.operators import spread
+from palimpsest.operators.catalog import Catalog
+from palimpsest.operators.catalog_merge import shown_conflicts
 from palimpsest.operators.match import _reuse, table_classes
 from palimpsest.operators.spread import lookup, lookup_large, number_within, running_last
 from palimpsest.session import cut
@@ -91,3 +93,22 @@ def test_members_of_the_head_are_exchanged(spark):
     got = _reuse(fresh, members, "constraint_id", F.col("name"))
     assert sorted(r["constraint_id"] for r in got.collect()) == list(range(60))
     assert "strategy=merge" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_descriptions_of_conflicts_are_exchanged(spark):
+    ids = "project_id long, table_id long, "
+    side = Catalog(
+        spark.createDataFrame([(1, 1, "t", 1)], ids + "name string, ordinal long"),
+        spark.createDataFrame([(1, 1, 5, "c", "text", [], True, "", 1)], ids + "column_id long, name string, type_base string, type_params array<int>, nullable boolean, default_expr string, position int"),
+        spark.createDataFrame(
+            [(1, 1, 7, "u", "unique", [5], None, [], "", "", "", 1)],
+            ids + "constraint_id long, name string, kind string, column_ids array<long>, ref_table_id long, ref_column_ids array<long>, on_delete string, on_update string, expr string, ordinal long",
+        ),
+        spark.createDataFrame([(1, 1, 9, "x", [(5, True)], False, "", 1)], ids + "index_id long, name string, columns array<struct<column_id:long,desc:boolean>>, is_unique boolean, method string, ordinal long"),
+    )
+    told = "base_value string, ours_value string, theirs_value string"
+    rows = [(1, 1, "7", "constraint:1:1:7", "a", "b", "c"), (1, 1, "9", "index:1:1:9", "a", "b", "c")]
+    shown = shown_conflicts(spark.createDataFrame(rows, ids + f"object_id string, conflict_id string, {told}"), side, side, side)
+    assert sorted({r["base_value"], r["theirs_value"]} == {r["ours_value"]} and r["ours_value"] for r in shown.collect()) == ["(c DESC)", "UNIQUE (c)"]
+    # six descriptions, and the three lookups of referenced tables
+    assert shown._jdf.queryExecution().optimizedPlan().toString().count("strategy=merge") == 9
