@@ -48,8 +48,10 @@ class Ids:
 
     The tokenizer drops white space and never joins across it, so a text's ids
     are those of its stretches one after the other. New stretches are encoded
-    together as one text and told apart by their offsets. Two generations of
-    about REMEMBERED bytes are kept; one batch may go beyond.
+    together as one text. A stretch of letters is one word, and a word's last id
+    says that it ends one; if there are not as many ends as stretches, and for
+    other stretches, offsets tell them apart. Two generations of about REMEMBERED
+    bytes are kept; one batch may go beyond.
     """
 
     def __init__(self, path: str):
@@ -57,6 +59,10 @@ class Ids:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for word, i in vocab.items() if suffix and word.endswith(suffix)]] = True
         self.now: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
         self.held = 0
@@ -73,10 +79,25 @@ class Ids:
         # a comma or full stop after a letter is a token of its own
         marked = [w for w in unknown if w[-1:] in (",", ".") and w[-2:-1].isascii() and w[-2:-1].isalpha()]
         plain = set(unknown).difference(marked).union([",", "."], (w[:-1] for w in marked)).difference(self.now)
-        self._learn(list(plain))
+        words = [w for w in plain if w.isalpha()]
+        self._learn([*plain.difference(words), *self._learn_words(words)])
         self.now.update((w, self.now[w[:-1]] + self.now[w[-1]]) for w in marked)
         return [b"".join(map(self.now.__getitem__, stretches)) for stretches in split]
 
+    def _learn_words(self, words: list[str]) -> list[str]:
+        """Learns words of letters; returns those of parts in which the ends do not tell them apart."""
+        left = []
+        for k in range(0, len(words), 8192):
+            part = words[k : k + 8192]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(part) or ends[-1] != len(ids):
+                left += part
+                continue
+            found, at = ids.tobytes(), (4 * ends).tolist()
+            self.now.update((w, found[a:b]) for w, a, b in zip(part, [0, *at[:-1]], at, strict=True))
+        return left
+
     def _learn(self, stretches: list[str]) -> None:
         for k in range(0, len(stretches), 8192):
             part = stretches[k : k + 8192]

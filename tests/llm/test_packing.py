@@ -18,6 +18,17 @@ def test_ids_are_the_tokenizers_own():
         assert np.frombuffer(raw, "<u4").tolist() == known.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_words_of_letters_are_told_apart_by_their_ends():
+    plain = prose(3, 60) + " Straße ñü ǅ ﬁ ʰa 漢字 x&&& a.b don't 12 x̀y"
+    # a letter whose small form is not all letters makes two words of one: offsets tell
+    for text, by_ends in ((plain, True), (plain + " İstanbul", False)):
+        known, by_offsets = op.Ids(op.TOKENIZER), []
+        learn = known._learn
+        known._learn = lambda stretches, learn=learn, seen=by_offsets: seen.extend(stretches) or learn(stretches)
+        assert np.frombuffer(known.of([text])[0], "<u4").tolist() == known.tokenizer.encode(text, add_special_tokens=False).ids
+        assert any(w.isalpha() for w in by_offsets) != by_ends
+
+
 def test_memory_of_words_is_bounded(monkeypatch):
     monkeypatch.setattr(op, "REMEMBERED", 200)
     known = op.Ids(op.TOKENIZER)
